@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from quillon.functions import units
 from quillon.functions.names import NameIndex, trailing_units
-from quillon.session import cut
 
 _NUMBER = r"[-+]?(?:\d[\d.,]*|\.\d+)(?:[eE][-+]?\d+)?(?:\s*[×x*·⋅]\s*10\s*\^?\s*[-+]?\d+)?"
 _ERROR = r"\s*(?:±|\+/-|\+-)\s*" + r"(?:\d[\d.,]*)(?:[eE][-+]?\d+)?"
@@ -76,6 +75,8 @@ def resolve_names(values: DataFrame, column: str, forms: list[tuple[str, str]])
             yield b[b["entry"].notna()]
 
     rest = values.select(column).where(F.col(column).isNotNull() & (F.trim(column) != "") & ~F.col(column).isin(exact)).distinct()
+    # Few bytes, much work: spread beyond what the size of the values would ask for.
+    rest = rest.repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), column)
     return rest.mapInPandas(run, f"`{column}` string, entry string")
 
 
@@ -115,7 +116,7 @@ def common_units(
     ).where(F.col("_key").isNotNull() & F.col("_name").isNotNull())
     known = F.col("_name").isin([e for e, _ in forms])
     # Distinct free-entered names only: pre-aggregated, each resolved once, then joined back.
-    found = cut(resolve_names(base.select("_name"), "_name", forms).withColumnRenamed("entry", "_found"))
+    found = resolve_names(base.select("_name"), "_name", forms).withColumnRenamed("entry", "_found")
     free = base.where(~known).join(found, "_name").withColumnRenamed("_found", "_entry")
     rows = base.where(known).withColumn("_entry", F.col("_name")).unionByName(free).join(F.broadcast(meta), "_entry")
 
