@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.canonical import forms_of, map_to_canonical
+from quillon.llm.lookalike import normalize_looks, same_looking_pairs
 from quillon.llm.tokens import decode_corpus, encode_corpus
 from quillon.plans.registry import Registry
 from quillon.sources.tables import table
@@ -32,3 +33,15 @@ def p6_decoded(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents", "doc_id", "text")
     back = decode_corpus(encode_corpus(docs)).withColumnRenamed("text", "decoded")
     return docs.join(back, "doc_id").select("doc_id", F.length("decoded").alias("n_chars"), (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("same"))
+
+
+@registry.query("p8_found")
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of documents whose texts look the same but are not the same string."""
+    return same_looking_pairs(table(spark, folder, "documents", "doc_id", "text"))
+
+
+@registry.query("p8_normalized")
+def p8_normalized(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's text in one form of characters."""
+    return normalize_looks(table(spark, folder, "documents", "doc_id", "text")).select("doc_id", "looks")
