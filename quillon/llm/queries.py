@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm.canonical import forms_of, map_to_canonical
 from quillon.llm.lookalike import normalize_looks, same_looking_pairs
+from quillon.llm.setjoin import classed, overlapping_pairs, set_records, similar_classes
 from quillon.llm.tokens import decode_corpus, encode_corpus
 from quillon.plans.registry import Registry
 from quillon.sources.tables import table
@@ -45,3 +46,23 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 def p8_normalized(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's text in one form of characters."""
     return normalize_looks(table(spark, folder, "documents", "doc_id", "text")).select("doc_id", "looks")
+
+
+def _keyword_sets(spark: SparkSession, folder: str) -> DataFrame:
+    papers = set_records(table(spark, folder, "papers", "paper_id", "keywords"), "paper_id", "keywords", "paper")
+    return papers.unionByName(set_records(table(spark, folder, "paper_pairs", "pair_id", "bridge_keywords"), "pair_id", "bridge_keywords", "pair"))
+
+
+@registry.query("p4_found")
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Two papers, or a paper and a paper pair, whose sets of at least four key words overlap by 0.7 or more."""
+    return overlapping_pairs(_keyword_sets(spark, folder), 0.7, least=4, apart=("pair",)).select("key_a", "key_b")
+
+
+@registry.query("p4_classes")
+def p4_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Each record with its class of equal sets and the number of other classes that overlap with it."""
+    classes, members = classed(_keyword_sets(spark, folder), 4)
+    links = similar_classes(classes, 0.7, least=4)
+    degree = links.select(F.explode(F.array("id_a", "id_b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
+    return members.join(degree, "id", "left").select("kind", "key", F.col("id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
