@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from quillon.llm.canonical import forms_of, map_to_canonical
 from quillon.llm.lookalike import normalize_looks, same_looking_pairs
+from quillon.llm.nearcopies import near_copies, near_pairs
 from quillon.llm.setjoin import classed, overlapping_pairs, set_records, similar_classes
 from quillon.llm.tokens import decode_corpus, encode_corpus
+from quillon.operators.components import components
 from quillon.plans.registry import Registry
-from quillon.sources.tables import table
+from quillon.sources.tables import first_per_key, table
 
 registry = Registry()
 
@@ -66,3 +68,26 @@ def p4_classes(spark: SparkSession, folder: str) -> DataFrame:
     links = similar_classes(classes, 0.7, least=4)
     degree = links.select(F.explode(F.array("id_a", "id_b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
     return members.join(degree, "id", "left").select("kind", "key", F.col("id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def _paper_copies(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    papers = first_per_key(table(spark, folder, "papers", "paper_id", "title", "abstract", "ingested_at"), "paper_id", "ingested_at")
+    text = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("abstract", F.lit("")))
+    return near_copies(papers, "paper_id", text, threshold=0.5, words=3, least=30)
+
+
+@registry.query("p2_found")
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Two records of papers whose sets of three-word runs have a similarity of at least 0.5."""
+    links, members = _paper_copies(spark, folder)
+    return near_pairs(links, members, "paper_id")
+
+
+@registry.query("p2_groups")
+def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Each record of at least 30 runs with the group of records that it is linked to, over any number of links."""
+    links, members = _paper_copies(spark, folder)
+    groups = components(links, "a", "b")
+    label = members.join(groups, F.col("class") == F.col("node"), "left").select("paper_id", F.coalesce("component", "class").alias("g"))
+    least = label.groupBy("g").agg(F.min("paper_id").alias("group_id"), F.count("*").alias("records"))
+    return label.join(least, "g").select("paper_id", "group_id", "records")
