@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.canonical import forms_of, map_to_canonical
+from quillon.llm.linkage import link
 from quillon.llm.lookalike import normalize_looks, same_looking_pairs
+from quillon.llm.mixing import mixture, shares
 from quillon.llm.nearcopies import near_copies, near_pairs
 from quillon.llm.setjoin import classed, overlapping_pairs, set_records, similar_classes
 from quillon.llm.tokens import decode_corpus, encode_corpus
@@ -91,3 +93,38 @@ def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
     label = members.join(groups, F.col("class") == F.col("node"), "left").select("paper_id", F.coalesce("component", "class").alias("g"))
     least = label.groupBy("g").agg(F.min("paper_id").alias("group_id"), F.count("*").alias("records"))
     return label.join(least, "g").select("paper_id", "group_id", "records")
+
+
+def _linked(spark: SparkSession, folder: str) -> DataFrame:
+    papers = table(spark, folder, "papers", "paper_id", "source", "year", "title", "abstract", "authors", "keywords", "ingested_at")
+    return link(first_per_key(papers, "paper_id", "ingested_at"))
+
+
+@registry.query("p1_found")
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Two records of papers from different sources that describe the same work."""
+    return _linked(spark, folder).where("confidence >= 0.5").select("paper_id_a", "paper_id_b")
+
+
+@registry.query("p1_confidence")
+def p1_confidence(spark: SparkSession, folder: str) -> DataFrame:
+    """Every candidate with its votes and the posterior of a match."""
+    return _linked(spark, folder).withColumn("votes", F.array_join(F.col("votes").cast("array<string>"), ",")).withColumn("confidence", F.round("confidence", 6))
+
+
+def _mixed(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text", "source", "lang", "section")
+    sizes = encode_corpus(docs).select("doc_id", F.size("ids").alias("tokens"))
+    return mixture(docs.drop("text").join(sizes, "doc_id"), table(spark, folder, "mix_targets"))
+
+
+@registry.query("p7_mixture")
+def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of a mixture with the target shares of mix_targets, and how often each is taken."""
+    return _mixed(spark, folder)
+
+
+@registry.query("p7_shares")
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and reached share of every source of mix_targets."""
+    return shares(_mixed(spark, folder), table(spark, folder, "mix_targets"))
