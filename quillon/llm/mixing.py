@@ -109,6 +109,6 @@ def mixture(sized: DataFrame, targets: DataFrame, *, key: str = "doc_id", tokens
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, target_share, max_repeats, documents, tokens, most_copies, actual_share) of every source with a target."""
     by = mixed.groupBy("source").agg(F.count("*").alias("documents"), F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.max("copies").alias("most_copies"))
-    all_tokens = by.agg(F.sum("tokens").alias("all_tokens"))
-    out = targets.select("source", "target_share", "max_repeats").join(F.broadcast(by), "source", "left").crossJoin(F.broadcast(all_tokens))
+    # One row per source with a target: few rows, so the sum over all of them is cheap.
+    out = targets.select("source", "target_share", "max_repeats").join(by, "source", "left").withColumn("all_tokens", F.sum("tokens").over(Window.partitionBy()))
     return out.select("source", "target_share", "max_repeats", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("documents", "tokens", "most_copies")], F.round(F.coalesce(F.col("tokens") / F.col("all_tokens"), F.lit(0.0)), 6).alias("actual_share"))
