@@ -182,10 +182,3 @@ def readings(value: str) -> list[str]:
     if (m := _UNIT_TAIL.match(raw)) and m["name"].strip():
         out += frames(simplify(m["name"]))
     return [x for x in dict.fromkeys(out) if x]
-
-
-def trailing_units(value: str) -> list[str]:
-    """What may be a unit at the end of a name: after a slash, a comma or ``in``, or in brackets."""
-    raw = re.sub(r"\s+", " ", value).strip()
-    m = _UNIT_TAIL.match(raw)
-    return [x.strip() for x in (m["a"], m["b"], m["c"], m["d"], m["e"]) if x] if m else []

@@ -14,10 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import units
-from quillon.functions.names import NameIndex, trailing_units
+from quillon.functions.names import NameIndex
 
 _NUMBER = r"[-+]?(?:\d[\d.,]*|\.\d+)(?:[eE][-+]?\d+)?(?:\s*[×x*·⋅]\s*10\s*\^?\s*[-+]?\d+)?"
 _ERROR = r"\s*(?:±|\+/-|\+-)\s*" + r"(?:\d[\d.,]*)(?:[eE][-+]?\d+)?"
+_REST = f"{_NUMBER}(?:{_ERROR})?(.*)$"
+_NAME_UNIT = r"(?:\s/\s+(.+)|\s*\[([^\]]+)\]|\s*\(((?:[^()]|\([^()]*\))+)\)|,\s+(.+)|[_\s]in[_\s](.+))\s*$"
 _POWER = r"^\(?\s*[×x*·⋅]?\s*(?:10\s*\^\s*([-+]?\d+)|1[eE]([-+]?\d+))(?:\s*[·⋅*×])?\s*"
 
 
@@ -28,11 +30,11 @@ def _plain(text: Column) -> Column:
 
 
 def read_number(text: Column) -> Column:
-    """The first number in ``text`` as a double, null if there is none.
+    """The first number in the plain ``text`` as a double, null if there is none.
 
     A comma before exactly three digits groups thousands, any other is a decimal sign.
     """
-    raw = F.regexp_extract(_plain(text), _NUMBER, 0)
+    raw = F.regexp_extract(text, _NUMBER, 0)
     head = F.regexp_extract(raw, r"^[-+]?[\d.,]+(?:[eE][-+]?\d+)?", 0)
     head = F.regexp_replace(F.regexp_replace(head, r",(?=\d{3}(?!\d))", ""), ",", ".")
     head = F.regexp_replace(head, r"\.+$", "").try_cast("double")
@@ -41,23 +43,17 @@ def read_number(text: Column) -> Column:
     return F.when(times, head * F.pow(F.lit(10.0), power.try_cast("double"))).otherwise(head)
 
 
-def unit_text(text: Column) -> Column:
-    """What follows the first number of a quotation and its error bar; '' if nothing does."""
-    return F.trim(F.regexp_extract(_plain(text), f"{_NUMBER}(?:{_ERROR})?(.*)$", 1))
+def name_unit(name: Column) -> Column:
+    """What may be a unit at the end of a name: after a slash, a comma or ``in``, or in brackets; '' if nothing is."""
+    return F.concat(*[F.coalesce(F.regexp_extract(name, _NAME_UNIT, k), F.lit("")) for k in range(1, 6)])
 
 
 def unit_power(unit: Column) -> Column:
-    """The power of ten written in a unit, as a factor."""
-    t = _plain(unit)
-    e = F.concat(F.regexp_extract(t, _POWER, 1), F.regexp_extract(t, _POWER, 2))
+    """The power of ten written in a plain unit, as a factor."""
+    e = F.concat(F.regexp_extract(unit, _POWER, 1), F.regexp_extract(unit, _POWER, 2))
     return F.when(e == "", 1.0).otherwise(F.pow(F.lit(10.0), e.try_cast("double")))
 
 
-def bare_unit(unit: Column) -> Column:
-    """A unit without its power of ten and the brackets around both."""
-    return F.regexp_replace(_plain(unit), _POWER, "")
-
-
 def name_forms(terms: DataFrame, name: str = "property_name", label: str | None = "label", aliases: str = "aliases") -> list[tuple[str, str]]:
     """(entry, surface form) of a reference table of bounded size."""
     cols = [name, *([label] if label else []), aliases]
@@ -120,17 +116,15 @@ def common_units(
     free = base.where(~known).join(found, "_name").withColumnRenamed("_found", "_entry")
     rows = base.where(known).withColumn("_entry", F.col("_name")).unionByName(free).join(F.broadcast(meta), "_entry")
 
-    quoted_number = read_number(F.col("_quoted"))
-    quoted_unit = unit_text(F.col("_quoted"))
-    tails = F.udf(lambda v: trailing_units(v) if v else [], "array<string>", useArrow=True)
+    keep = ["_key", "_entry", "_common", "_decimals", "_version"]
+    # Each step stands behind a generator: filters are not pushed through it, so no pattern is matched twice.
+    rows = rows.select(*keep, "_name", "_value", "_given", F.inline(F.array(F.struct(_plain(F.col("_quoted")).alias("_q")))))
+    rows = rows.select(*keep, "_name", "_value", "_given", F.inline(F.array(F.struct(read_number(F.col("_q")).alias("_read"), F.regexp_extract("_q", _REST, 1).alias("_tail")))))
     missing = lambda c: F.coalesce(F.trim(c), F.lit("")).isin("", "?", "-", "–")
-    rows = rows.withColumns({"_number": F.coalesce(quoted_number, F.col("_value")), "_u": F.when(quoted_number.isNotNull(), quoted_unit)}).where(F.col("_number").isNotNull() & ~F.isnan("_number"))
-    rows = rows.withColumn("_u", F.when(~missing(F.col("_u")), F.col("_u")).when(~missing(F.col("_given")), F.col("_given")))
-    keep = ["_key", "_entry", "_common", "_decimals", "_number", "_version"]
-    # Few rows have their unit in the name; only those pass through Python.
-    named = rows.where(F.col("_u").isNull() & F.col("_name").rlike(r"[/\[(,]|[_\s]in[_\s]")).withColumn("_u", F.explode(tails("_name")))
-    rows = rows.where(F.col("_u").isNotNull()).select(*keep, "_u").unionByName(named.select(*keep, "_u"))
-    rows = rows.select(*keep, units.unit_key(bare_unit(F.col("_u"))).alias("_unit"), unit_power(F.col("_u")).alias("_power"))
+    own = F.when(F.col("_read").isNotNull() & ~missing(F.col("_tail")), F.col("_tail")).when(~missing(F.col("_given")), F.col("_given")).otherwise(name_unit(F.col("_name")))
+    rows = rows.select(*keep, F.inline(F.array(F.struct(F.coalesce("_read", "_value").alias("_number"), _plain(own).alias("_u")))))
+    rows = rows.where(F.col("_number").isNotNull() & ~F.isnan("_number") & (F.col("_u") != ""))
+    rows = rows.select(*keep, "_number", F.inline(F.array(F.struct(units.unit_key(F.regexp_replace("_u", _POWER, "")).alias("_unit"), unit_power(F.col("_u")).alias("_power")))))
     joined = rows.join(F.broadcast(table), ["_unit", "_common"])
     common = F.col("_number") * F.col("_power") * F.col("_factor") + F.col("_offset")
     picked = joined.select("_key", "_version", F.struct("_entry", "_common", "_decimals", "_number", (F.col("_power") * F.col("_factor")).alias("f"), "_offset", common.alias("c")).alias("_s"))
