@@ -72,7 +72,7 @@ def resolve_names(values: DataFrame, column: str, forms: list[tuple[str, str]])
 
     rest = values.select(column).where(F.col(column).isNotNull() & (F.trim(column) != "") & ~F.col(column).isin(exact)).distinct()
     # Few bytes, much work: spread beyond what the size of the values would ask for.
-    rest = rest.repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), column)
+    rest = rest.repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(column))
     return rest.mapInPandas(run, f"`{column}` string, entry string")
 
 
@@ -119,7 +119,7 @@ def common_units(
     keep = ["_key", "_entry", "_common", "_decimals", "_version"]
     # Each step stands behind a generator: filters are not pushed through it, so no pattern is matched twice.
     rows = rows.select(*keep, "_name", "_value", "_given", F.inline(F.array(F.struct(_plain(F.col("_quoted")).alias("_q")))))
-    rows = rows.select(*keep, "_name", "_value", "_given", F.inline(F.array(F.struct(read_number(F.col("_q")).alias("_read"), F.regexp_extract("_q", _REST, 1).alias("_tail")))))
+    rows = rows.select(*keep, "_name", "_value", "_given", F.inline(F.array(F.struct(read_number(F.col("_q")).alias("_read"), F.regexp_replace(F.regexp_extract("_q", _REST, 1), f"{_ERROR}.*$", "").alias("_tail")))))
     missing = lambda c: F.coalesce(F.trim(c), F.lit("")).isin("", "?", "-", "–")
     own = F.when(F.col("_read").isNotNull() & ~missing(F.col("_tail")), F.col("_tail")).when(~missing(F.col("_given")), F.col("_given")).otherwise(name_unit(F.col("_name")))
     rows = rows.select(*keep, F.inline(F.array(F.struct(F.coalesce("_read", "_value").alias("_number"), _plain(own).alias("_u")))))
