@@ -11,12 +11,14 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
+from types import SimpleNamespace
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.names import edits
@@ -88,12 +90,15 @@ def prepare(title, abstract, authors, keywords) -> dict:
     blocks = set()
     if subject:
         blocks |= {f"{subject}|{n}" for n in names} | {f"{subject}<{head[:8]}", f"{subject}>{head[-8:]}"}
-    blocks |= {f"{n}<{head[a : a + 8]}" for n in names for a in (0, 8) if len(head) >= a + 8}
+    # Titles cut before or within their subject meet others by a name and a part of the title.
+    bare = not subject or not part and (subject not in words or words[-1] == subject)
+    loose = sorted({f"{n}<{head[a : a + 8]}" for n in names for a in (0, 8) if len(head) >= a + 8})
     if not names and not subject:
         blocks.add(f"={''.join(words)}")
-    return {"words": words, "part": part, "cut": cut_off, "names": names, "more": more, "runs": runs, "kws": sorted({k.strip().lower() for k in (keywords if keywords is not None else []) if k and k.strip()}), "blocks": sorted(blocks)}
+    return {"words": words, "part": part, "cut": cut_off, "names": names, "more": more, "runs": runs, "kws": sorted({k.strip().lower() for k in (keywords if keywords is not None else []) if k and k.strip()}), "blocks": sorted(blocks), "loose": loose, "bare": bare}
 
 
+@lru_cache(maxsize=200_000)
 def _near_word(a: str, b: str) -> bool:
     if a == b:
         return True
@@ -104,10 +109,15 @@ def _near_word(a: str, b: str) -> bool:
     return edits(a, b, most) <= most
 
 
+@lru_cache(maxsize=200_000)
 def _same_word(a: str, b: str) -> bool:
     return _near_word(a, b) or any((_near_word(a, x) and _near_word(b, y)) or (_near_word(a, y) and _near_word(b, x)) for x, y in _SAME)
 
 
+def _near_name(x: str, y: str) -> bool:
+    return min(len(x), len(y)) > 5 and abs(len(x) - len(y)) <= 1 and (x[0] == y[0] or x[-1] == y[-1]) and edits(x, y, 1) <= 1
+
+
 def _spell_out(a: list[str], b: list[str]) -> list[str]:
     """``a`` with an abbreviation written out where words of ``b`` have its letters as initials."""
     for k, w in enumerate(a):
@@ -144,7 +154,7 @@ def votes(a, b) -> tuple[int, ...]:
     na, nb = list(a.names), list(b.names)
     authors = 0
     if na and nb:
-        hit = sum(any(x == y or (min(len(x), len(y)) > 5 and edits(x, y, 1) <= 1) for y in nb) for x in na)
+        hit = sum(x in nb or any(_near_name(x, y) for y in nb) for x in na)
         least = min(len(na), len(nb))
         short = a.more or b.more
         authors = 1 if hit >= least and (short or abs(len(na) - len(nb)) <= 1 or least >= 2) else -1 if hit == 0 or (hit < 0.5 * least and not short) else 0
@@ -241,6 +251,13 @@ def belief(v: np.ndarray) -> np.ndarray:
     return np.where((v[:, 0] < 0) | (v[:, 1] < 0), 0.02, np.where(balance >= 2, 0.95, np.where(balance <= 0, 0.1, 0.5)))
 
 
+def _meet(ready: DataFrame, blocks: str, kept: Column) -> DataFrame:
+    """(id_a, id_b), id_a < id_b, of records from different sources that share one of their ``blocks``."""
+    at = ready.select("id", "src", "bare", F.explode(blocks).alias("block"))
+    x, y = (at.select(*[F.col(c).alias(f"{c}_{s}") for c in ("id", "src", "bare")], "block") for s in ("a", "b"))
+    return x.join(y, "block").where((F.col("id_a") < F.col("id_b")) & (F.col("src_a") != F.col("src_b")) & kept).select("id_a", "id_b")
+
+
 def link(records: DataFrame, *, key: str = "paper_id", source: str = "source", year: str = "year") -> DataFrame:
     """(key_a, key_b, votes, confidence), key_a < key_b, of all candidates from different sources.
 
@@ -254,20 +271,18 @@ def link(records: DataFrame, *, key: str = "paper_id", source: str = "source", y
 
     def prep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            done = pd.DataFrame([prepare(*x) for x in zip(b.title, b.abstract, b.authors, b.keywords)], index=b.index, columns=["words", "part", "cut", "names", "more", "runs", "kws", "blocks"])
+            done = pd.DataFrame([prepare(*x) for x in zip(b.title, b.abstract, b.authors, b.keywords)], index=b.index, columns=["words", "part", "cut", "names", "more", "runs", "kws", "blocks", "loose", "bare"])
             yield pd.concat([b[["id", "src", "year"]], done], axis=1)
 
-    ready = cut(base.mapInPandas(prep, "id string, src string, year double, words array<string>, part int, cut boolean, names array<string>, more boolean, runs array<long>, kws array<string>, blocks array<string>"))
-    at = ready.select("id", "src", F.explode("blocks").alias("block"))
-    x, y = at.select(F.col("id").alias("id_a"), F.col("src").alias("src_a"), "block"), at.select(F.col("id").alias("id_b"), F.col("src").alias("src_b"), "block")
-    met = x.join(y, "block").where((F.col("id_a") < F.col("id_b")) & (F.col("src_a") != F.col("src_b"))).select("id_a", "id_b").distinct()
+    ready = cut(base.mapInPandas(prep, "id string, src string, year double, words array<string>, part int, cut boolean, names array<string>, more boolean, runs array<long>, kws array<string>, blocks array<string>, loose array<string>, bare boolean"))
+    met = _meet(ready, "blocks", F.lit(True)).unionByName(_meet(ready, "loose", F.col("bare_a") | F.col("bare_b"))).distinct()
     facts = ["year", "words", "part", "cut", "names", "more", "runs", "kws"]
     side = lambda s: ready.select(F.col("id").alias(f"id_{s}"), F.struct(*facts).alias(s))
     both = met.join(side("a"), "id_a").join(side("b"), "id_b")
 
     def ballot(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            a, c = (pd.DataFrame(list(b[s]), columns=facts).itertuples(index=False) if not isinstance(b[s], pd.DataFrame) else b[s].itertuples(index=False) for s in ("a", "b"))
+            a, c = ([SimpleNamespace(**(x if isinstance(x, dict) else x.asDict())) for x in b[s]] for s in ("a", "b"))
             yield pd.DataFrame({"id_a": b.id_a, "id_b": b.id_b, "votes": [list(votes(p, q)) for p, q in zip(a, c)]})
 
     voted = cut(both.mapInPandas(ballot, "id_a string, id_b string, votes array<int>"))
