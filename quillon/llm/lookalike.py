@@ -155,7 +155,8 @@ def character_counts(docs: DataFrame, text: str = "text") -> dict[str, int]:
         for b in batches:
             for t in b["t"]:
                 total.update(t)
-        yield pd.DataFrame({"c": list(total), "n": list(total.values())})
+        if total:
+            yield pd.DataFrame({"c": list(total), "n": list(total.values())})
 
     counted = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("t")).mapInPandas(run, "c string, n long")
     return {r["c"]: r["n"] for r in counted.groupBy("c").agg(F.sum("n").alias("n")).collect()}
