@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from quillon.functions.text import unigrams, with_bigrams
 
 
+FEWEST = 10  # a limit on shared tokens never falls below so many documents
+
+
 def term_counts(docs: DataFrame, key: str, text: str, bigrams: bool = True) -> DataFrame:
     """(key, token, tf) of each document; null and empty texts give no rows."""
     words = docs.select(F.col(key).alias(key), unigrams(F.col(text)).alias("_w"))
@@ -23,7 +26,7 @@ def vocabulary(counts: DataFrame, n_docs: int, *, max_features: int = 2000, max_
     least = max(1, n_docs // 100)
     most = float(n_docs) if n_docs < 20 else max_df * n_docs
     if most_postings is not None:
-        most = min(most, most_postings)
+        most = min(max(most, FEWEST), most_postings)
         least = min(least, 2)
     df = counts.groupBy("token").agg(F.count("*").alias("df")).where((F.col("df") >= least) & (F.col("df") <= most))
     return df.orderBy(F.desc("df"), "token").limit(max_features).withColumn("idf", F.log((1 + F.lit(float(n_docs))) / (1 + F.col("df"))) + 1)
