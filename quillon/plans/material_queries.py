@@ -108,16 +108,21 @@ def triple_coverage_gap(spark: SparkSession, folder: str) -> DataFrame:
     the first, so the join is on distinct sets and not on compositions.
     """
     t = triples(spark, folder, "composition", "structure", "property_name").where("composition is not null")
-    names = F.broadcast(table(spark, folder, "property_terms", "property_name"))
+    # Properties as bits of one number: the reference list is of fixed size and has fewer than 63 entries.
+    names = [r[0] for r in table(spark, folder, "property_terms", "property_name").orderBy("property_name").collect()]
+    if len(names) > 62:
+        raise ValueError("too many properties for the bits of one number")
+    bits = F.broadcast(spark.createDataFrame([(n, 1 << i) for i, n in enumerate(names)], "property_name string, bit long"))
     structures = F.broadcast(table(spark, folder, "structure_terms", F.col("structure_name").alias("structure")))
-    props = t.select("composition", "property_name").distinct().join(names, "property_name").groupBy("composition").agg(F.array_sort(F.collect_set("property_name")).alias("props"))
-    k = t.select("composition", "structure").distinct().join(structures, "structure").join(props, "composition")
-    sets = k.groupBy("structure", "props").agg(F.min("composition").alias("peer"))
-    second = sets.select("structure", F.col("props").alias("theirs"), "peer")
-    met = sets.select("structure", "props").join(second, "structure").withColumn("missing", F.array_except("theirs", "props")).where((F.size("props") >= 2) & F.size("missing").between(1, 3))
-    best = met.groupBy("structure", "props").agg(F.min(F.struct("peer", "missing")).alias("b"))
-    found = k.join(best, ["structure", "props"]).groupBy("composition").agg(F.min("b").alias("b"))
-    return found.select("composition", "b.peer", F.array_join("b.missing", "|").alias("missing"))
+    masks = t.select("composition", "property_name").join(bits, "property_name").groupBy("composition").agg(F.bit_or("bit").alias("mine"))
+    k = t.select("composition", "structure").distinct().join(structures, "structure").join(masks, "composition")
+    sets = k.groupBy("structure", "mine").agg(F.min("composition").alias("peer"))
+    missing = F.col("theirs").bitwiseAND(F.bitwise_not("mine"))
+    met = sets.select("structure", "mine").join(sets.select("structure", F.col("mine").alias("theirs"), "peer"), "structure").where((F.bit_count("mine") >= 2) & F.bit_count(missing).between(1, 3))
+    best = met.groupBy("structure", "mine").agg(F.min(F.struct("peer", missing.alias("missing"))).alias("b"))
+    found = k.join(best, ["structure", "mine"]).groupBy("composition").agg(F.min("b").alias("b"))
+    named = F.filter(F.array(*[F.when(F.col("b.missing").bitwiseAND(F.lit(1 << i)) != 0, F.lit(n)) for i, n in enumerate(names)]), lambda x: x.isNotNull())
+    return found.select("composition", "b.peer", F.array_join(named, "|").alias("missing"))
 
 
 @registry.query("shared_property_pairs", f"""WITH {TRIPLES}, pp AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY paired_at) rn FROM paper_pairs) WHERE rn = 1),

@@ -66,7 +66,7 @@ _VECS = f"""WITH {PAPERS}, n AS (SELECT count(*) AS n FROM papers1),
     t AS (SELECT paper_id, unnest({bigrams_sql("w")}) AS token FROM (SELECT paper_id, {words_sql(PAPER_TEXT)} AS w FROM papers1)),
     tf AS (SELECT paper_id, token, count(*) AS tf FROM t GROUP BY ALL),
     v AS (SELECT token, ln((1.0 + n) / (1 + df)) + 1 AS idf FROM (SELECT token, count(*) AS df FROM tf GROUP BY token), n
-          WHERE df >= least(greatest(1, n // 100), 2) AND df <= least(greatest(10, CASE WHEN n < 20 THEN n ELSE 0.02 * n END), 1000) ORDER BY df DESC, token LIMIT 2000),
+          WHERE df >= least(greatest(1, n // 100), 2) AND df <= least(greatest(10, CASE WHEN n < 20 THEN n ELSE 0.01 * n END), 1000) ORDER BY df DESC, token LIMIT 2000),
     raw AS (SELECT paper_id, token, tf * idf AS w FROM tf JOIN v USING (token)),
     vec AS (SELECT paper_id, token, w / sqrt(sum(w * w) OVER (PARTITION BY paper_id)) AS w FROM raw)"""
 
@@ -74,8 +74,8 @@ _VECS = f"""WITH {PAPERS}, n AS (SELECT count(*) AS n FROM papers1),
 def _vectors(spark: SparkSession, folder: str) -> DataFrame:
     p = papers(spark, folder, "title", "abstract").withColumn("t", paper_text())
     counts = tfidf.term_counts(p, "paper_id", "t")
-    # Common tokens (over 2 % of the papers, or 1000 postings) say little and would make lists that grow with the corpus.
-    return tfidf.vectors(counts, tfidf.vocabulary(counts, p.count(), max_df=0.02, most_postings=1000), "paper_id")
+    # Common tokens (over 1 % of the papers, or 1000 postings) say little and would make lists that grow with the corpus.
+    return tfidf.vectors(counts, tfidf.vocabulary(counts, p.count(), max_df=0.01, most_postings=1000), "paper_id")
 
 
 @registry.query("tfidf_topk_per_paper", _VECS + " SELECT paper_id, token, round(w, 6) AS w, rn FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY round(w, 9) DESC, token) AS rn FROM vec) WHERE rn <= 5")
