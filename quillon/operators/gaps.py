@@ -46,3 +46,22 @@ def scores(p: Column, c: Column, exact: Column, overlap: Column, comp: Column, c
     weak = F.when(p < 2, 0.3).otherwise(1.0)
     review = F.when((p >= 3) & (counter == 0) & (c >= 1), "strong").when((p >= 2) & (counter <= 1), "moderate").when((p >= 2) & (counter <= 3), "conditional").otherwise("weak")
     return {"evidence": evidence * weak, "novelty": novelty * weak, "feasibility": feasibility, "review": review}
+
+
+def counter_evidence(gaps: DataFrame, triples: DataFrame, mentioned: DataFrame, supporting: DataFrame, most: int = MOST_COUNTER) -> DataFrame:
+    """(gap_id, paper_id, role): papers that speak against a gap, without its supporters.
+
+    In order: papers whose triple has the very composition and property (all of them),
+    papers with two of its key words or more, papers with its composition; of the latter
+    two as many as bring the list to ``most``. ``gaps``: gap_id, composition,
+    property_name. ``mentioned``: gap_id, paper_id, hits, has_composition. ``supporting``:
+    gap_id, paper_id.
+    """
+    low = lambda c: F.lower(F.col(c))
+    known = triples.where("property_value is not null and source_paper_id is not null").select(low("composition").alias("_c"), low("property_name").alias("_p"), F.col("source_paper_id").alias("paper_id")).distinct()
+    exact = gaps.select("gap_id", low("composition").alias("_c"), low("property_name").alias("_p")).join(known, ["_c", "_p"]).select("gap_id", "paper_id", F.lit(1).alias("rank"), F.lit(0).alias("less"))
+    rest = mentioned.select("gap_id", "paper_id", F.when(F.col("hits") >= 2, 2).when(F.col("has_composition"), 3).alias("rank"), (-F.col("hits")).cast("int").alias("less")).where("rank is not null")
+    best = exact.unionByName(rest).join(supporting.select("gap_id", "paper_id"), ["gap_id", "paper_id"], "left_anti").groupBy("gap_id", "paper_id").agg(F.min(F.struct("rank", "less")).alias("r"))
+    listed = best.groupBy("gap_id").agg(F.array_sort(F.collect_list(F.struct("r", "paper_id"))).alias("l"), F.count_if(F.col("r.rank") == 1).alias("exact"))
+    kept = listed.select("gap_id", F.explode(F.slice("l", F.lit(1), F.greatest(F.col("exact").cast("int"), F.lit(most)))).alias("x"))
+    return kept.select("gap_id", "x.paper_id", F.element_at(F.array(F.lit("exact_match"), F.lit("keyword_overlap"), F.lit("composition_covered")), F.col("x.r.rank")).alias("role"))
