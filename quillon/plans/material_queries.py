@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quillon.functions import chemistry as ch
 from quillon.functions.lexicons import sql_list
+from quillon.operators.extraction import extract
+from quillon.operators.quantities import name_forms
 from quillon.plans.registry import Registry
 from quillon.plans.text_queries import PAPERS, papers
 from quillon.sources.tables import first_per_key, table
@@ -169,3 +171,11 @@ def structure_property_mentions(spark: SparkSession, folder: str) -> DataFrame:
     pr = [r[0].lower() for r in table(spark, folder, "property_terms", "label").collect()]
     x = papers(spark, folder, "title", "abstract").select("paper_id", F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("abstract", F.lit("")))).alias("t"))
     return x.select("paper_id", F.size(ch.mentioned(F.col("t"), st)).cast("bigint").alias("structures"), F.size(ch.mentioned(F.col("t"), pr)).cast("bigint").alias("properties"))
+
+
+@registry.query("csp_extract")
+def csp_extract(spark: SparkSession, folder: str) -> DataFrame:
+    """Facts of every abstract (tested sentence by sentence)."""
+    forms = name_forms(table(spark, folder, "property_terms"))
+    structures = [r[0] for r in table(spark, folder, "structure_terms", "structure_name").orderBy("structure_name").collect()]
+    return extract(papers(spark, folder, "abstract"), forms, structures)
