@@ -89,13 +89,16 @@ def prepare(title, abstract, authors, keywords) -> dict:
     runs = sorted({crc32(" ".join(x).encode()) for x in zip(text, text[1:], text[2:])}) if len(text) >= 12 else []
     blocks = set()
     if subject:
-        blocks |= {f"{subject}|{n}" for n in names} | {f"{subject}<{head[:8]}", f"{subject}>{head[-8:]}"}
+        # Either end of a name, as a misspelling seldom spoils both.
+        blocks |= {f"{subject}|{n[:4]}" for n in names} | {f"{subject}|>{n[-4:]}" for n in names}
+    # Records without names meet others of their subject by either end of the title.
+    ends = sorted({f"{subject}<{head[:8]}", f"{subject}>{head[-8:]}"}) if subject else []
     # Titles cut before or within their subject meet others by a name and a part of the title.
     bare = not subject or not part and (subject not in words or words[-1] == subject)
     loose = sorted({f"{n}<{head[a : a + 8]}" for n in names for a in (0, 8) if len(head) >= a + 8})
     if not names and not subject:
         blocks.add(f"={''.join(words)}")
-    return {"words": words, "part": part, "cut": cut_off, "names": names, "more": more, "runs": runs, "kws": sorted({k.strip().lower() for k in (keywords if keywords is not None else []) if k and k.strip()}), "blocks": sorted(blocks), "loose": loose, "bare": bare}
+    return {"words": words, "part": part, "cut": cut_off, "names": names, "more": more, "runs": runs, "kws": sorted({k.strip().lower() for k in (keywords if keywords is not None else []) if k and k.strip()}), "blocks": sorted(blocks), "ends": ends, "loose": loose, "bare": bare, "nameless": not names}
 
 
 @lru_cache(maxsize=200_000)
@@ -253,8 +256,8 @@ def belief(v: np.ndarray) -> np.ndarray:
 
 def _meet(ready: DataFrame, blocks: str, kept: Column) -> DataFrame:
     """(id_a, id_b), id_a < id_b, of records from different sources that share one of their ``blocks``."""
-    at = ready.select("id", "src", "bare", F.explode(blocks).alias("block"))
-    x, y = (at.select(*[F.col(c).alias(f"{c}_{s}") for c in ("id", "src", "bare")], "block") for s in ("a", "b"))
+    at = ready.select("id", "src", "bare", "nameless", F.explode(blocks).alias("block"))
+    x, y = (at.select(*[F.col(c).alias(f"{c}_{s}") for c in ("id", "src", "bare", "nameless")], "block") for s in ("a", "b"))
     return x.join(y, "block").where((F.col("id_a") < F.col("id_b")) & (F.col("src_a") != F.col("src_b")) & kept).select("id_a", "id_b")
 
 
@@ -271,11 +274,12 @@ def link(records: DataFrame, *, key: str = "paper_id", source: str = "source", y
 
     def prep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            done = pd.DataFrame([prepare(*x) for x in zip(b.title, b.abstract, b.authors, b.keywords)], index=b.index, columns=["words", "part", "cut", "names", "more", "runs", "kws", "blocks", "loose", "bare"])
+            done = pd.DataFrame([prepare(*x) for x in zip(b.title, b.abstract, b.authors, b.keywords)], index=b.index, columns=["words", "part", "cut", "names", "more", "runs", "kws", "blocks", "ends", "loose", "bare", "nameless"])
             yield pd.concat([b[["id", "src", "year"]], done], axis=1)
 
-    ready = cut(base.mapInPandas(prep, "id string, src string, year double, words array<string>, part int, cut boolean, names array<string>, more boolean, runs array<long>, kws array<string>, blocks array<string>, loose array<string>, bare boolean"))
-    met = _meet(ready, "blocks", F.lit(True)).unionByName(_meet(ready, "loose", F.col("bare_a") | F.col("bare_b"))).distinct()
+    ready = cut(base.mapInPandas(prep, "id string, src string, year double, words array<string>, part int, cut boolean, names array<string>, more boolean, runs array<long>, kws array<string>, blocks array<string>, ends array<string>, loose array<string>, bare boolean, nameless boolean"))
+    # A subject that fills a third of the rows is split by names; the other blocks serve the few records that lack a name or a subject.
+    met = _meet(ready, "blocks", F.lit(True)).unionByName(_meet(ready, "ends", F.col("nameless_a") | F.col("nameless_b"))).unionByName(_meet(ready, "loose", F.col("bare_a") | F.col("bare_b"))).distinct()
     facts = ["year", "words", "part", "cut", "names", "more", "runs", "kws"]
     side = lambda s: ready.select(F.col("id").alias(f"id_{s}"), F.struct(*facts).alias(s))
     both = met.join(side("a"), "id_a").join(side("b"), "id_b")
