@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MOST_SUPPORT, MOST_COUNTER = 5, 8
@@ -33,7 +33,10 @@ def mentions(needles: DataFrame, key: str, words: str, papers: DataFrame) -> Dat
 
 def support(mentioned: DataFrame, key: str, least: int = 2, most: int = MOST_SUPPORT) -> DataFrame:
     """(key, papers): up to ``most`` papers with at least ``least`` hits, by hits, then id."""
-    ranked = mentioned.where(F.col("hits") >= least).groupBy(key).agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("hits")).alias("h"), "paper_id"))), 1, most).alias("r"))
+    # Ranked before the shuffle too, so a key word that all papers have brings no more than ``most`` rows from each part.
+    w = Window.partitionBy(key).orderBy(F.desc("hits"), "paper_id")
+    top = mentioned.where(F.col("hits") >= least).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most)
+    ranked = top.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rn", "paper_id"))).alias("r"))
     return ranked.select(key, F.transform("r", lambda x: x["paper_id"]).alias("papers"))
 
 
@@ -62,6 +65,6 @@ def counter_evidence(gaps: DataFrame, triples: DataFrame, mentioned: DataFrame,
     exact = gaps.select("gap_id", low("composition").alias("_c"), low("property_name").alias("_p")).join(known, ["_c", "_p"]).select("gap_id", "paper_id", F.lit(1).alias("rank"), F.lit(0).alias("less"))
     rest = mentioned.select("gap_id", "paper_id", F.when(F.col("hits") >= 2, 2).when(F.col("has_composition"), 3).alias("rank"), (-F.col("hits")).cast("int").alias("less")).where("rank is not null")
     best = exact.unionByName(rest).join(supporting.select("gap_id", "paper_id"), ["gap_id", "paper_id"], "left_anti").groupBy("gap_id", "paper_id").agg(F.min(F.struct("rank", "less")).alias("r"))
-    listed = best.groupBy("gap_id").agg(F.array_sort(F.collect_list(F.struct("r", "paper_id"))).alias("l"), F.count_if(F.col("r.rank") == 1).alias("exact"))
-    kept = listed.select("gap_id", F.explode(F.slice("l", F.lit(1), F.greatest(F.col("exact").cast("int"), F.lit(most)))).alias("x"))
-    return kept.select("gap_id", "x.paper_id", F.element_at(F.array(F.lit("exact_match"), F.lit("keyword_overlap"), F.lit("composition_covered")), F.col("x.r.rank")).alias("role"))
+    w = Window.partitionBy("gap_id").orderBy("r", "paper_id")
+    kept = best.withColumn("rn", F.row_number().over(w)).where((F.col("rn") <= most) | (F.col("r.rank") == 1))
+    return kept.select("gap_id", "paper_id", F.element_at(F.array(F.lit("exact_match"), F.lit("keyword_overlap"), F.lit("composition_covered")), F.col("r.rank")).alias("role"))

@@ -140,10 +140,15 @@ def last_pairs_ratio(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @registry.query("title_containment", r"""WITH p AS (SELECT paper_id, trim(regexp_replace(regexp_replace(lower(coalesce(title, '')), '[^a-z0-9\s]', '', 'g'), '\s+', ' ', 'g')) AS k FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY ingested_at) rn FROM papers) WHERE rn = 1), w AS (SELECT paper_id, k, array_to_string(string_split(k, ' ')[1:4], ' ') AS head FROM p WHERE length(k) > 20)
-    SELECT a.paper_id AS short_id, b.paper_id AS long_id FROM w a JOIN w b ON a.head = b.head AND a.paper_id <> b.paper_id AND length(a.k) < length(b.k) AND starts_with(b.k, a.k)""")
+    SELECT a.paper_id AS short_id, b.paper_id AS long_id FROM w a JOIN w b ON a.head = b.head AND starts_with(b.k, a.k || ' ')""")
 def title_containment(spark: SparkSession, folder: str) -> DataFrame:
-    """Titles of over twenty characters that begin another title, met by their first four words."""
+    """Titles of over twenty characters that begin another title, word by word.
+
+    Every title gives out its beginnings, one for each word, and meets the whole titles
+    that equal one: an equi-join, in which only true pairs meet.
+    """
     k = F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce("title", F.lit(""))), r"[^a-z0-9\s]", ""), r"\s+", " "))
-    w = papers(spark, folder, "title").select("paper_id", k.alias("k")).where(F.length("k") > 20).withColumn("head", F.array_join(F.slice(F.split("k", " "), 1, 4), " "))
-    a, b = w.select(F.col("paper_id").alias("short_id"), F.col("k").alias("ka"), "head"), w.select(F.col("paper_id").alias("long_id"), F.col("k").alias("kb"), "head")
-    return a.join(b, "head").where((F.length("ka") < F.length("kb")) & F.startswith("kb", F.col("ka")) & (F.col("short_id") != F.col("long_id"))).select("short_id", "long_id")
+    w = papers(spark, folder, "title").select("paper_id", k.alias("k")).where(F.length("k") > 20).withColumn("words", F.split("k", " "))
+    ends = F.filter(F.sequence(F.lit(1), F.size("words")), lambda i: i < F.size("words"))
+    begun = w.select(F.col("paper_id").alias("long_id"), F.explode(F.transform(ends, lambda i: F.array_join(F.slice("words", F.lit(1), i), " "))).alias("k"))
+    return w.select(F.col("paper_id").alias("short_id"), "k").join(begun.where(F.length("k") > 20), "k").select("short_id", "long_id")
