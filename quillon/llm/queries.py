@@ -11,7 +11,7 @@ from quillon.llm.lookalike import normalize_looks, same_looking_pairs
 from quillon.llm.mixing import mixture, shares
 from quillon.llm.nearcopies import near_copies, near_pairs
 from quillon.llm.setjoin import classed, overlapping_pairs, set_records, similar_classes
-from quillon.llm.tokens import decode_corpus, encode_corpus
+from quillon.llm.tokens import count_tokens, decode_corpus, encode_corpus
 from quillon.operators.components import components
 from quillon.plans.registry import Registry
 from quillon.sources.tables import first_per_key, table
@@ -32,7 +32,7 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_corpus(table(spark, folder, "documents", "doc_id", "text"))
 
 
-@registry.query("p6_decoded")
+@registry.query("p6_decoded", "SELECT DISTINCT doc_id, length(coalesce(text, '')) AS n_chars, true AS same FROM documents")
 def p6_decoded(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's text decoded from its ids, and whether it equals the text."""
     docs = table(spark, folder, "documents", "doc_id", "text")
@@ -57,7 +57,13 @@ def _keyword_sets(spark: SparkSession, folder: str) -> DataFrame:
     return papers.unionByName(set_records(table(spark, folder, "paper_pairs", "pair_id", "bridge_keywords"), "pair_id", "bridge_keywords", "pair"))
 
 
-@registry.query("p4_found")
+@registry.query(
+    "p4_found",
+    r"""WITH r AS (SELECT 'paper' AS kind, paper_id AS k, keywords AS v FROM papers UNION ALL SELECT 'pair', pair_id, bridge_keywords FROM paper_pairs),
+    s AS (SELECT kind, k, list_sort(list_distinct(list_filter(list_transform(v, lambda x: lower(regexp_replace(x, '^\s+|\s+$', '', 'g'))), lambda x: x IS NOT NULL AND x <> ''))) AS s FROM r WHERE k IS NOT NULL),
+    u AS (SELECT DISTINCT kind, k, s FROM s WHERE len(s) >= 4), t AS (SELECT kind, k, len(s) AS n, unnest(s) AS w FROM u)
+    SELECT a.k AS key_a, b.k AS key_b FROM t a JOIN t b ON a.w = b.w AND a.k < b.k AND NOT (a.kind = 'pair' AND b.kind = 'pair') GROUP BY a.k, b.k, a.n, b.n HAVING count(*) * 10 >= 7 * (a.n + b.n - count(*))""",
+)
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Two papers, or a paper and a paper pair, whose sets of at least four key words overlap by 0.7 or more."""
     return overlapping_pairs(_keyword_sets(spark, folder), 0.7, least=4, apart=("pair",)).select("key_a", "key_b")
@@ -78,7 +84,13 @@ def _paper_copies(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFram
     return near_copies(papers, "paper_id", text, threshold=0.5, words=3, least=30)
 
 
-@registry.query("p2_found")
+@registry.query(
+    "p2_found",
+    r"""WITH p AS (SELECT DISTINCT paper_id, regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(abstract, '')), '[a-z0-9]+') AS w FROM papers),
+    s AS (SELECT paper_id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM p WHERE len(w) >= 3),
+    t AS (SELECT paper_id, len(s) AS n, unnest(s) AS r FROM s WHERE len(s) >= 30)
+    SELECT a.paper_id AS paper_id_a, b.paper_id AS paper_id_b FROM t a JOIN t b ON a.r = b.r AND a.paper_id < b.paper_id GROUP BY a.paper_id, b.paper_id, a.n, b.n HAVING count(*) * 2 >= a.n + b.n - count(*)""",
+)
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Two records of papers whose sets of three-word runs have a similarity of at least 0.5."""
     links, members = _paper_copies(spark, folder)
@@ -114,7 +126,7 @@ def p1_confidence(spark: SparkSession, folder: str) -> DataFrame:
 
 def _mixed(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents", "doc_id", "text", "source", "lang", "section")
-    sizes = encode_corpus(docs).select("doc_id", F.size("ids").alias("tokens"))
+    sizes = count_tokens(docs)
     return mixture(docs.drop("text").join(sizes, "doc_id"), table(spark, folder, "mix_targets"))
 
 

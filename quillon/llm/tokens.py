@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.session import cut
+
 DEFAULT_FOLDER = "/opt/tokenizers"
 HEAD = 50_000  # pre-tokens that are broadcast with their ids: at most some MB whatever the corpus
 
@@ -60,6 +62,26 @@ def encode_words(words: DataFrame, path: str) -> DataFrame:
     return words.mapInPandas(run, f"{fields}, ids array<int>")
 
 
+def _parts(docs: DataFrame, key: str, text: str, path: str | None, head: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Texts by key (_k, _t) in place, the coded distinct pre-tokens (word, n, ids), and the most frequent ``head`` of them."""
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
+    # Texts move once, by key: what is put together by key later then stays in place.
+    base = docs.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.min(text).alias("_t")).repartition(n, "_k")
+    words = docs.select(F.explode(pre_tokens(F.col(text))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    coded = cut(encode_words(words, path or vocabulary()))
+    return base, coded, coded.orderBy(F.desc("n"), "word").limit(head)
+
+
+def count_tokens(docs: DataFrame, *, key: str = "doc_id", text: str = "text", path: str | None = None, head: int = HEAD) -> DataFrame:
+    """(key, tokens): the number of ids of each text, without the ids; 0 for null and empty texts. Else as ``encode_corpus``."""
+    base, coded, top = _parts(docs, key, text, path, head)
+    at = base.select("_k", F.explode(pre_tokens(F.col("_t"))).alias("word")).join(F.broadcast(top.select("word", F.size("ids").alias("_n"))), "word", "left")
+    own = at.groupBy("_k").agg(F.sum("_n").alias("_own"))
+    rest = at.where(F.col("_n").isNull()).select("_k", "word").join(coded.select("word", F.size("ids").alias("m")), "word").groupBy("_k").agg(F.sum("m").alias("_rest"))
+    zero = F.lit(0).cast("bigint")
+    return base.select("_k").join(own, "_k", "left").join(rest, "_k", "left").select(F.col("_k").alias(key), (F.coalesce("_own", zero) + F.coalesce("_rest", zero)).alias("tokens"))
+
+
 def encode_corpus(docs: DataFrame, *, key: str = "doc_id", text: str = "text", path: str | None = None, head: int = HEAD) -> DataFrame:
     """(key, ids) for each row of ``docs``: ids of the whole text, special strings taken as ordinary text.
 
@@ -67,17 +89,8 @@ def encode_corpus(docs: DataFrame, *, key: str = "doc_id", text: str = "text", p
     (rows with a null key are left out; rows repeated under one key count once, with
     the least text). Other columns are not read. An empty table gives an empty result.
     """
-    path = path or vocabulary()
-    spark = docs.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
-    # Texts move once, by key: what is put together by key below then stays in place.
-    base = docs.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.min(text).alias("_t")).repartition(n, "_k")
-    words = docs.select(F.explode(pre_tokens(F.col(text))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    coded = encode_words(words, path)
-    from quillon.session import cut
-
-    coded = cut(coded)
-    top = coded.orderBy(F.desc("n"), "word").limit(head).select("word", F.col("ids").alias("_head"))
+    base, coded, top = _parts(docs, key, text, path, head)
+    top = top.select("word", F.col("ids").alias("_head"))
     at = base.select("_k", F.posexplode(pre_tokens(F.col("_t"))).alias("pos", "word"))
     near = at.join(F.broadcast(top), "word", "left")
     own = near.groupBy("_k").agg(F.collect_list(F.when(F.col("_head").isNotNull(), F.struct("pos", F.col("_head").alias("ids")))).alias("_own"))

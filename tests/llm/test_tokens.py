@@ -25,6 +25,8 @@ def test_as_the_tokenizer(spark, head):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'c' as ids", "'c' as word", "1 as pos", "2 as _k")
     got = {r.doc_id: list(r.ids) for r in tokens.encode_corpus(df, head=head).collect()}
     assert got == {i: reference(t) for i, t in enumerate(texts)}
+    counted = {r.doc_id: r.tokens for r in tokens.count_tokens(df, head=head).collect()}
+    assert counted == {i: len(v) for i, v in got.items()}
 
 
 def test_decoding_gives_the_text(spark):
