@@ -37,7 +37,7 @@ def p6_decoded(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's text decoded from its ids, and whether it equals the text."""
     docs = table(spark, folder, "documents", "doc_id", "text")
     back = decode_corpus(encode_corpus(docs)).withColumnRenamed("text", "decoded")
-    return docs.join(back, "doc_id").select("doc_id", F.length("decoded").alias("n_chars"), (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("same"))
+    return docs.join(back, "doc_id").select("doc_id", F.length("decoded").cast("bigint").alias("n_chars"), (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("same"))
 
 
 @registry.query("p8_found")
