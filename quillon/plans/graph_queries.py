@@ -10,7 +10,7 @@ from quillon.operators import ensemble as en
 from quillon.operators.components import components
 from quillon.plans.hypothesis_queries import _HYPO, hypotheses
 from quillon.plans.material_queries import TRIPLES, triples
-from quillon.plans.registry import Registry
+from quillon.plans.registry import Registry, typed
 from quillon.plans.text_queries import PAPERS, paper_pairs, papers
 from quillon.sources.tables import table
 
@@ -82,12 +82,12 @@ def gap_support(spark: SparkSession, folder: str) -> DataFrame:
     return gaps.support(m, "hypothesis_id").select("hypothesis_id", F.array_join("papers", "|").alias("papers"), F.size("papers").alias("n"))
 
 
-@registry.query("gap_score_rank", f"""WITH {_HYPO}, {TRIPLES}, g AS (SELECT * FROM h WHERE hypothesis_type IN ('gap', 'gap_filling')), k AS (SELECT DISTINCT hypothesis_id, lower(unnest(keywords)) AS kw FROM g), t AS (SELECT lower(composition) AS comp, lower(replace(property_name, '_', ' ')) AS prop, property_value FROM t1),
+@registry.query("gap_score_rank", typed(f"""WITH {_HYPO}, {TRIPLES}, g AS (SELECT * FROM h WHERE hypothesis_type IN ('gap', 'gap_filling')), k AS (SELECT DISTINCT hypothesis_id, lower(unnest(keywords)) AS kw FROM g), t AS (SELECT lower(composition) AS comp, lower(replace(property_name, '_', ' ')) AS prop, property_value FROM t1),
     c AS (SELECT hypothesis_id, count(*) AS n_comp, count(property_value) AS n_val FROM k JOIN t ON comp = kw GROUP BY hypothesis_id), e AS (SELECT a.hypothesis_id, count(*) AS n_exact FROM k a JOIN t ON comp = a.kw JOIN k b ON a.hypothesis_id = b.hypothesis_id AND b.kw = prop WHERE property_value IS NOT NULL GROUP BY a.hypothesis_id),
     s AS (SELECT hypothesis_id, 2 AS p, least(coalesce(n_comp, 0), 10) AS c, least(coalesce(n_exact, 0), 8) AS x, least(coalesce(n_val, 0), 8) AS m FROM g LEFT JOIN c USING (hypothesis_id) LEFT JOIN e USING (hypothesis_id)),
     f AS (SELECT hypothesis_id, least(1.0, 0.15 * p + 0.1 * c) AS evidence, CASE WHEN x > 0 THEN greatest(0.05, 0.2 - 0.05 * x) WHEN x + m = 0 THEN least(0.95, 0.55 + 0.08 * p) ELSE greatest(0.15, 0.65 - 0.12 * m) END AS novelty,
         least(0.95, greatest(0.1, 0.3 + CASE WHEN c > 0 THEN 0.2 ELSE 0 END + 0.2 + CASE WHEN x + m <= 1 THEN 0.15 ELSE 0 END - CASE WHEN x > 0 THEN 0.1 ELSE 0 END)) AS feasibility, CASE WHEN x + m <= 1 THEN 'moderate' WHEN x + m <= 3 THEN 'conditional' ELSE 'weak' END AS review FROM s)
-    SELECT hypothesis_id, review, round(evidence, 6) AS evidence, round(novelty, 6) AS novelty, round(feasibility, 6) AS feasibility, round(0.5 * novelty + 0.3 * evidence + 0.2 * feasibility, 6) AS rank_score FROM f""")
+    SELECT hypothesis_id, review, round(evidence, 6) AS evidence, round(novelty, 6) AS novelty, round(feasibility, 6) AS feasibility, round(0.5 * novelty + 0.3 * evidence + 0.2 * feasibility, 6) AS rank_score FROM f""", "DOUBLE", "evidence", "novelty", "feasibility", "rank_score"))
 def gap_score_rank(spark: SparkSession, folder: str) -> DataFrame:
     """Gap hypotheses scored by the triples that speak for or against them; each has its two papers as support."""
     g = hypotheses(spark, folder).where(F.col("hypothesis_type").isin("gap", "gap_filling"))
@@ -105,11 +105,11 @@ def gap_score_rank(spark: SparkSession, folder: str) -> DataFrame:
 _PARTS = "0.25 * evidence + 0.2 * novelty + 0.2 * plausibility + 0.15 * falsifiability + 0.1 * synthesizability + 0.1 * database_gap"
 
 
-@registry.query("fitness_score", f"""WITH {TRIPLES}, t AS (SELECT composition, coalesce(structure, 'unknown') AS structure, property_name, max((property_value IS NOT NULL)::INT) = 1 AS ranged FROM t1 WHERE composition IS NOT NULL AND property_name IS NOT NULL GROUP BY ALL ORDER BY composition, structure, property_name LIMIT 50),
+@registry.query("fitness_score", typed(f"""WITH {TRIPLES}, t AS (SELECT composition, coalesce(structure, 'unknown') AS structure, property_name, max((property_value IS NOT NULL)::INT) = 1 AS ranged FROM t1 WHERE composition IS NOT NULL AND property_name IS NOT NULL GROUP BY ALL ORDER BY composition, structure, property_name LIMIT 50),
     f AS (SELECT composition, count(*) AS n, count(DISTINCT source_paper_id) AS p, list(concat_ws('|', structure, property_name)) AS ex FROM t1 WHERE composition IS NOT NULL GROUP BY composition), j AS (SELECT t.*, n, p, list_contains(ex, structure || '|' || property_name) AS exact, length(regexp_replace(composition, '[^A-Z]', '', 'g')) AS el FROM t JOIN f USING (composition)),
     s AS (SELECT *, least(1.0, 0.15 * n + 0.1 * p) AS evidence, CASE WHEN p = 0 THEN 0.8 WHEN p <= 2 THEN 0.6 WHEN p <= 5 THEN 0.4 ELSE 0.2 END AS novelty, CASE WHEN {" OR ".join(f"(structure = '{k}' AND (el < {a} OR el > {b}))" for k, (a, b) in search.STOICHIOMETRY.items())} THEN 0.1 ELSE 0.8 END AS plausibility,
         CASE WHEN ranged THEN 0.9 ELSE 0.3 END AS falsifiability, CASE WHEN structure = 'unknown' THEN 0.3 ELSE 0.7 END AS synthesizability, CASE WHEN exact THEN 0.1 ELSE 0.8 END AS database_gap FROM j)
-    SELECT 'cand_' || substring(md5(composition || '|' || structure || '|' || property_name), 1, 8) AS candidate_id, composition, structure, property_name, round({_PARTS}, 6) AS fitness FROM s""")
+    SELECT 'cand_' || substring(md5(composition || '|' || structure || '|' || property_name), 1, 8) AS candidate_id, composition, structure, property_name, round({_PARTS}, 6) AS fitness FROM s""", "DOUBLE", "fitness"))
 def fitness_score(spark: SparkSession, folder: str) -> DataFrame:
     """Fitness of the fifty seeds of a search."""
     t = triples(spark, folder, "composition", "structure", "property_name", "property_value", "source_paper_id")

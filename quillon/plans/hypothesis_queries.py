@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.lexicons import sql_list
 from quillon.operators import ensemble as en
-from quillon.plans.registry import Registry
+from quillon.plans.registry import Registry, typed
 from quillon.plans.text_queries import PAPERS, papers
 from quillon.sources.tables import first_per_key, table
 
@@ -93,7 +93,7 @@ def verification_reports(spark: SparkSession, folder: str) -> DataFrame:
     return v.select("hypothesis_id", F.round("reproduce_rate", 6).alias("reproduce_rate"), F.round("cross_share", 6).alias("cross_share"), "stability", "discovery", "level")
 
 
-@registry.query("discovery_stats", _VERIFY + " SELECT count(*) AS verified, count_if(discovery) AS discoveries, count_if(level = 'gold') AS gold, count_if(level = 'silver') AS silver, count_if(level = 'bronze') AS bronze, round(avg(stability), 6) AS mean_stability, round(avg(reproduce_rate), 6) AS mean_reproduce, round(count_if(discovery) / count(*), 6) AS rate FROM v WHERE passed")
+@registry.query("discovery_stats", typed(_VERIFY + " SELECT count(*) AS verified, count_if(discovery) AS discoveries, count_if(level = 'gold') AS gold, count_if(level = 'silver') AS silver, count_if(level = 'bronze') AS bronze, round(avg(stability), 6) AS mean_stability, round(avg(reproduce_rate), 6) AS mean_reproduce, round(count_if(discovery) / count(*), 6) AS rate FROM v WHERE passed", "BIGINT", "discoveries", "gold", "silver", "bronze"))
 def discovery_stats(spark: SparkSession, folder: str) -> DataFrame:
     v = en.verify(en.trial(en.evaluate(hypotheses(spark, folder)))).where("passed")
     level = lambda x: F.count_if(F.col("level") == x).alias(x)
@@ -134,10 +134,10 @@ def pre_trial_evaluator(spark: SparkSession, folder: str) -> DataFrame:
     return h.select("hypothesis_id", F.round(score, 6).alias("score"), (score >= 0.4).alias("keep"))
 
 
-@registry.query("novelty_confidence", f"""WITH {PAPERS}, pp AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY paired_at) rn FROM paper_pairs) WHERE rn = 1),
+@registry.query("novelty_confidence", typed(f"""WITH {PAPERS}, pp AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY paired_at) rn FROM paper_pairs) WHERE rn = 1),
     t AS (SELECT pair_id, cross_domain, similarity AS sim, CASE pair_type WHEN 'cross_domain_bridge' THEN 'analogy' WHEN 'method_transfer' THEN 'analogy' WHEN 'concept_complement' THEN 'combination' WHEN 'contradiction' THEN 'contradiction' ELSE 'gap' END AS kind FROM pp WHERE similarity IS NOT NULL)
     SELECT pair_id, kind, round(least(1.0, 0.5 + CASE WHEN cross_domain THEN 0.2 ELSE 0 END + CASE WHEN sim < 0.3 THEN 0.15 ELSE 0 END + CASE kind WHEN 'contradiction' THEN 0.1 WHEN 'combination' THEN 0.05 ELSE 0 END), 6) AS novelty,
-    round(least(0.9, greatest(0.1, 0.3 + 0.5 * sim + CASE WHEN kind = 'gap' THEN 0.1 ELSE 0 END - CASE WHEN cross_domain THEN 0.05 ELSE 0 END)), 6) AS confidence, 'hypo_' || substring(md5(pair_id), 1, 8) AS hypothesis_id FROM t""")
+    round(least(0.9, greatest(0.1, 0.3 + 0.5 * sim + CASE WHEN kind = 'gap' THEN 0.1 ELSE 0 END - CASE WHEN cross_domain THEN 0.05 ELSE 0 END)), 6) AS confidence, 'hypo_' || substring(md5(pair_id), 1, 8) AS hypothesis_id FROM t""", "DOUBLE", "novelty"))
 def novelty_confidence(spark: SparkSession, folder: str) -> DataFrame:
     """Kind, novelty, confidence and id of the hypothesis that each pair leads to."""
     pp = first_per_key(table(spark, folder, "paper_pairs", "pair_id", "similarity", "cross_domain", "pair_type", "paired_at"), "pair_id", "paired_at").where("similarity is not null")
@@ -161,7 +161,7 @@ def top_validated(spark: SparkSession, folder: str) -> DataFrame:
     return t.select("hypothesis_id", F.round(0.6 * F.col("score") + 0.4 * F.coalesce("novelty", F.lit(0.0)), 6).alias("rank_score")).orderBy(F.desc("rank_score"), "hypothesis_id").limit(20)
 
 
-@registry.query("failure_patterns", _TRIAL + " SELECT t AS hypothesis_type, count(*) AS trials, count_if(NOT passed) AS failures, round(count_if(NOT passed) / count(*), 6) AS failure_rate, count_if(score < 0.3) AS low_scores FROM tp GROUP BY t")
+@registry.query("failure_patterns", typed(_TRIAL + " SELECT t AS hypothesis_type, count(*) AS trials, count_if(NOT passed) AS failures, round(count_if(NOT passed) / count(*), 6) AS failure_rate, count_if(score < 0.3) AS low_scores FROM tp GROUP BY t", "BIGINT", "failures", "low_scores"))
 def failure_patterns(spark: SparkSession, folder: str) -> DataFrame:
     t = en.trial(en.evaluate(hypotheses(spark, folder))).withColumn("hypothesis_type", F.coalesce("hypothesis_type", F.lit("other")))
     return t.groupBy("hypothesis_type").agg(F.count("*").alias("trials"), F.count_if(~F.col("passed")).alias("failures"), F.round(F.count_if(~F.col("passed")) / F.count("*"), 6).alias("failure_rate"), F.count_if(F.col("score") < 0.3).alias("low_scores"))

@@ -9,7 +9,7 @@ from quillon.functions import chemistry as ch
 from quillon.functions.lexicons import sql_list
 from quillon.operators.extraction import extract
 from quillon.operators.quantities import name_forms
-from quillon.plans.registry import Registry
+from quillon.plans.registry import Registry, typed
 from quillon.plans.text_queries import PAPERS, papers
 from quillon.sources.tables import first_per_key, table
 
@@ -79,7 +79,7 @@ def prediction_interval(spark: SparkSession, folder: str) -> DataFrame:
 RANGES = {"band_gap": (0.0, 15.0), "hardness": (0.0, 150.0), "thermal_conductivity": (0.0, 5000.0), "curie_temperature": (1.0, 2000.0), "mass_density": (0.1, 25.0), "youngs_modulus": (0.0, 1300.0), "ionic_conductivity": (0.0, 1000.0), "work_function": (1.0, 7.0)}
 
 
-@registry.query("property_range_check", f"WITH {TRIPLES} SELECT property_name, count(*) AS readings, count_if(property_value BETWEEN lo AND hi) AS in_range FROM t1 JOIN (VALUES {', '.join(f'({k!r}, {a}, {b})' for k, (a, b) in RANGES.items())}) r(p, lo, hi) ON property_name = p WHERE property_value IS NOT NULL AND property_unit = CASE p WHEN 'band_gap' THEN 'eV' WHEN 'hardness' THEN 'GPa' WHEN 'thermal_conductivity' THEN 'W/mK' WHEN 'curie_temperature' THEN 'K' WHEN 'mass_density' THEN 'g/cm³' WHEN 'youngs_modulus' THEN 'GPa' WHEN 'ionic_conductivity' THEN 'mS/cm' WHEN 'work_function' THEN 'eV' END GROUP BY property_name")
+@registry.query("property_range_check", typed(f"WITH {TRIPLES} SELECT property_name, count(*) AS readings, count_if(property_value BETWEEN lo AND hi) AS in_range FROM t1 JOIN (VALUES {', '.join(f'({k!r}, {a}, {b})' for k, (a, b) in RANGES.items())}) r(p, lo, hi) ON property_name = p WHERE property_value IS NOT NULL AND property_unit = CASE p WHEN 'band_gap' THEN 'eV' WHEN 'hardness' THEN 'GPa' WHEN 'thermal_conductivity' THEN 'W/mK' WHEN 'curie_temperature' THEN 'K' WHEN 'mass_density' THEN 'g/cm³' WHEN 'youngs_modulus' THEN 'GPa' WHEN 'ionic_conductivity' THEN 'mS/cm' WHEN 'work_function' THEN 'eV' END GROUP BY property_name", "BIGINT", "in_range"))
 def property_range_check(spark: SparkSession, folder: str) -> DataFrame:
     """Readings in the common unit against the plausible bounds of their property."""
     bounds = spark.createDataFrame([(k, a, b) for k, (a, b) in RANGES.items()], "property_name string, lo double, hi double")

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillon.session import ship
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -18,9 +21,20 @@ class Registry:
         def add(f: Query) -> Query:
             if name in self.queries:
                 raise ValueError(f"query {name} is registered twice")
-            self.queries[name] = f
+
+            @wraps(f)
+            def run(spark: SparkSession, folder: str) -> DataFrame:
+                ship(spark)
+                return f(spark, folder)
+
+            self.queries[name] = run
             if sql:
                 self.sql[name] = sql
             return f
 
         return add
+
+
+def typed(sql: str, kind: str, *columns: str) -> str:
+    """``sql`` with ``columns`` cast to ``kind``, where SQL's own type differs from the query's."""
+    return f"SELECT * REPLACE ({', '.join(f'CAST({c} AS {kind}) AS {c}' for c in columns)}) FROM ({sql})"

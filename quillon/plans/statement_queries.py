@@ -10,7 +10,7 @@ from quillon.functions.lexicons import sql_list
 from quillon.operators import gaps, statements
 from quillon.plans.hypothesis_queries import _HYPO, _any, hypotheses
 from quillon.plans.material_queries import TRIPLES, triples
-from quillon.plans.registry import Registry
+from quillon.plans.registry import Registry, typed
 from quillon.plans.text_queries import paper_pairs, papers, words_sql
 from quillon.sources.tables import table
 
@@ -123,7 +123,7 @@ def unit_compatibility(spark: SparkSession, folder: str) -> DataFrame:
     return t.join(known, ["u", "common_unit"], "left").groupBy("property_name").agg(F.count("*").alias("triples"), F.count("fits").alias("fitting"))
 
 
-@registry.query("hypothesis_trial_join", f"WITH {_HYPO}, t AS (SELECT hypothesis_id, novelty >= 0.5 AS passed FROM h) SELECT h.hypothesis_type, count(*) AS hypotheses, count_if(t.passed) AS passed FROM h JOIN t USING (hypothesis_id) GROUP BY h.hypothesis_type")
+@registry.query("hypothesis_trial_join", typed(f"WITH {_HYPO}, t AS (SELECT hypothesis_id, novelty >= 0.5 AS passed FROM h) SELECT h.hypothesis_type, count(*) AS hypotheses, count_if(t.passed) AS passed FROM h JOIN t USING (hypothesis_id) GROUP BY h.hypothesis_type", "BIGINT", "passed"))
 def hypothesis_trial_join(spark: SparkSession, folder: str) -> DataFrame:
     """Hypotheses met with their verdicts by id."""
     h = hypotheses(spark, folder)
@@ -131,8 +131,8 @@ def hypothesis_trial_join(spark: SparkSession, folder: str) -> DataFrame:
     return h.select("hypothesis_id", "hypothesis_type").join(verdicts, "hypothesis_id").groupBy("hypothesis_type").agg(F.count("*").alias("hypotheses"), F.count_if("passed").alias("passed"))
 
 
-@registry.query("last_pairs_ratio", """WITH pp AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY paired_at) rn FROM paper_pairs) WHERE rn = 1), l AS (SELECT * FROM pp ORDER BY paired_at DESC, pair_id LIMIT 100)
-    SELECT count(*) AS pairs, count_if(cross_domain) AS cross_domain, count_if(NOT cross_domain) AS same_domain, count_if(similarity < 0.5 AND pair_type <> 'direct_similarity') AS implicit FROM l""")
+@registry.query("last_pairs_ratio", typed("""WITH pp AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY paired_at) rn FROM paper_pairs) WHERE rn = 1), l AS (SELECT * FROM pp ORDER BY paired_at DESC, pair_id LIMIT 100)
+    SELECT count(*) AS pairs, count_if(cross_domain) AS cross_domain, count_if(NOT cross_domain) AS same_domain, count_if(similarity < 0.5 AND pair_type <> 'direct_similarity') AS implicit FROM l""", "BIGINT", "cross_domain", "same_domain", "implicit"))
 def last_pairs_ratio(spark: SparkSession, folder: str) -> DataFrame:
     """Across and within domains among the last hundred pairs."""
     last = paper_pairs(spark, folder, "cross_domain", "similarity", "pair_type").orderBy(F.desc("paired_at"), "pair_id").limit(100)

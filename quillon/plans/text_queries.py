@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillon.functions import text as tx
 from quillon.functions.lexicons import EVIDENCE_TERMS, GENERIC_WORDS, MECHANISM_TERMS, METADATA_TERMS, METHOD_WORDS, METRIC_UNITS, PROBLEM_WORDS, STOP_WORDS, WEAK_BRIDGE_TERMS, sql_list
 from quillon.operators import pairing, quality, tfidf
-from quillon.plans.registry import Registry
+from quillon.plans.registry import Registry, typed
 from quillon.sources.tables import first_per_key, table
 
 registry = Registry()
@@ -147,8 +147,8 @@ def whitespace_and_domain(spark: SparkSession, folder: str) -> DataFrame:
     return papers(spark, folder, "title", "categories").select("paper_id", tx.whitespace_normal(F.col("title")).alias("title_normal"), domain.alias("domain"))
 
 
-@registry.query("origin_tags", f"""WITH {PAPERS} SELECT origin, count(*) AS papers, sum(CASE WHEN data_source = 'online' THEN 1 ELSE 0 END) AS marked_online
-    FROM (SELECT *, CASE WHEN paper_id LIKE 'paper\\_%' ESCAPE '\\' THEN 'offline_fallback' ELSE 'online' END AS origin FROM papers1) GROUP BY origin""")
+@registry.query("origin_tags", typed(f"""WITH {PAPERS} SELECT origin, count(*) AS papers, sum(CASE WHEN data_source = 'online' THEN 1 ELSE 0 END) AS marked_online
+    FROM (SELECT *, CASE WHEN paper_id LIKE 'paper\\_%' ESCAPE '\\' THEN 'offline_fallback' ELSE 'online' END AS origin FROM papers1) GROUP BY origin""", "BIGINT", "marked_online"))
 def origin_tags(spark: SparkSession, folder: str) -> DataFrame:
     """Rows from the built-in corpus, told by their ids, against the rest."""
     p = papers(spark, folder, "data_source").withColumn("origin", F.when(F.startswith("paper_id", F.lit("paper_")), "offline_fallback").otherwise("online"))
