@@ -91,6 +91,24 @@ class Engine:
         self.tables["verified"] = v.withColumn("discovery", F.col("discovery") & ~F.col("forced")).withColumn("level", F.when(F.col("forced"), "override").otherwise(F.col("level")))
         return self.tables["verified"]
 
+    def attention(self, stage: str) -> list[str]:
+        """Reasons for which a stage's result asks for feedback; [] if it does not."""
+        if stage == "crawl":
+            t = self._table("accepted").agg(F.count("*").alias("n"), F.count_if(F.col("data_source") == "offline_fallback").alias("f")).first()
+            checks = [(t.n == 0, "no_papers"), (t.f > 0, "fallback_papers")]
+        elif stage == "pair":
+            t = self._table("pairs").agg(F.count("*").alias("n"), F.count_if("cross_domain").alias("x")).first()
+            checks = [(t.n == 0, "no_pairs"), (t.x > 0, "cross_domain_pairs")]
+        elif stage == "hypothesize":
+            t = self._table("hypotheses").agg(F.count("*").alias("n"), F.count_if("numeric").alias("x")).first()
+            checks = [(t.n == 0, "no_hypotheses"), (t.n > 0 and t.x == 0, "none_numeric")]
+        elif stage == "trial":
+            t = self._table("trials").agg(F.count_if("passed").alias("p"), F.count_if(~F.col("passed")).alias("f")).first()
+            checks = [(t.p > 0 and t.f == 0, "all_pass"), (t.f > 0 and t.p == 0, "all_fail"), (t.p > 0 and t.f > 0 and abs(t.p - t.f) <= 2, "mixed")]
+        else:
+            raise ValueError(f"unknown stage: {stage!r}")
+        return [reason for hit, reason in checks if hit]
+
     def graph(self) -> DataFrame:
         e = graph.paper_edges(self._table("papers"))
         return e.unionByName(graph.hypothesis_edges(self._table("hypotheses"), e, self._table("papers")))

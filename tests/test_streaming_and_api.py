@@ -65,6 +65,12 @@ def test_stages(engine, tmp_path):
     assert not t["h0"].passed and t["h1"].passed and t["h1"].forced
     v = {r.hypothesis_id: r for r in engine.verify().collect()}
     assert "h0" not in v and v["h1"].level == "override" and not v["h1"].discovery
+    assert "no_papers" not in engine.attention("crawl") and engine.attention("hypothesize") == []
+    assert ("cross_domain_pairs" in engine.attention("pair")) == any(r.cross_domain for r in pairs)
+    passed = sum(r.passed for r in t.values())
+    assert ("all_pass" in engine.attention("trial")) == (passed == len(t))
+    with pytest.raises(ValueError):
+        engine.attention("nonsense")
     assert engine.graph().count() > 0 and engine.directions().count() >= 1
     assert all(r.papers for r in engine.gaps().collect())
     text = engine.report("Run", ["hardness", "band_gap"])
