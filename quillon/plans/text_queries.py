@@ -9,6 +9,7 @@ from quillon.functions import text as tx
 from quillon.functions.lexicons import EVIDENCE_TERMS, GENERIC_WORDS, MECHANISM_TERMS, METADATA_TERMS, METHOD_WORDS, METRIC_UNITS, PROBLEM_WORDS, STOP_WORDS, WEAK_BRIDGE_TERMS, sql_list
 from quillon.operators import pairing, quality, tfidf
 from quillon.plans.registry import Registry, typed
+from quillon.session import cut
 from quillon.sources.tables import first_per_key, table
 
 registry = Registry()
@@ -71,11 +72,11 @@ _VECS = f"""WITH {PAPERS}, n AS (SELECT count(*) AS n FROM papers1),
     vec AS (SELECT paper_id, token, w / sqrt(sum(w * w) OVER (PARTITION BY paper_id)) AS w FROM raw)"""
 
 
-def _vectors(spark: SparkSession, folder: str) -> DataFrame:
+def _terms(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Counts of the papers' tokens, and the vocabulary within the usual limits."""
     p = papers(spark, folder, "title", "abstract").withColumn("t", paper_text())
-    counts = tfidf.term_counts(p, "paper_id", "t")
-    # Common tokens (over 1 % of the papers, or 1000 postings) say little and would make lists that grow with the corpus.
-    return tfidf.vectors(counts, tfidf.vocabulary(counts, p.count(), max_df=0.01, most_postings=1000), "paper_id")
+    counts = cut(tfidf.term_counts(p, "paper_id", "t"))
+    return counts, cut(tfidf.vocabulary(counts, p.count()))
 
 
 @registry.query("tfidf_topk_per_paper", _VECS + " SELECT paper_id, token, round(w, 6) AS w, rn FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY round(w, 9) DESC, token) AS rn FROM vec) WHERE rn <= 5")
@@ -83,7 +84,7 @@ def tfidf_topk_per_paper(spark: SparkSession, folder: str) -> DataFrame:
     from pyspark.sql import Window
 
     w = Window.partitionBy("paper_id").orderBy(F.desc(F.round("w", 9)), "token")
-    return _vectors(spark, folder).withColumn("rn", F.row_number().over(w).cast("bigint")).where("rn <= 5").select("paper_id", "token", F.round("w", 6).alias("w"), "rn")
+    return tfidf.vectors(*_terms(spark, folder), "paper_id").withColumn("rn", F.row_number().over(w).cast("bigint")).where("rn <= 5").select("paper_id", "token", F.round("w", 6).alias("w"), "rn")
 
 
 @registry.query(
@@ -93,8 +94,7 @@ def tfidf_topk_per_paper(spark: SparkSession, folder: str) -> DataFrame:
 )
 def pair_cosine_topk(spark: SparkSession, folder: str) -> DataFrame:
     """Flagship: the most similar pairs of papers by TF-IDF cosine."""
-    pairs = tfidf.cosine_pairs(_vectors(spark, folder), "paper_id", 0.3).withColumn("similarity", F.round("similarity", 6))
-    return pairs.orderBy(F.desc("similarity"), "paper_id_a", "paper_id_b").limit(200)
+    return tfidf.top_pairs(*_terms(spark, folder), "paper_id", 0.3, 200)
 
 
 _KW = "list_filter(list_transform(regexp_split_to_array(lower(coalesce({0}, '')), '\\s+'), lambda x: regexp_replace(x, '^[.,;:!?()\\[\\]{{}}\"'']+|[.,;:!?()\\[\\]{{}}\"'']+$', '', 'g')), lambda w: length(w) > 3 AND NOT list_contains(" + STOP + ", w))"
