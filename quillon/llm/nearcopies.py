@@ -6,6 +6,10 @@ both to make them equal. Every fingerprint emits all variants within half the ra
 what is left after dropping all but MIDDLE of its shingles. Variants are shuffled;
 records that meet in enough of them are compared exactly.
 
+What balls can miss, prefix lists find: in one global order of shingles, rarest first,
+two records as similar as the threshold share one of the first few of each, whose
+number follows from the threshold. Both give candidates; the comparison is exact.
+
 A ball in the Hamming space of fixed-length bit fingerprints cannot serve a
 similarity of one half (see the README); the ball here is one of dropped shingles.
 """
@@ -19,6 +23,7 @@ from quillon.session import cut
 
 FINGERPRINT = 24  # shingles in a fingerprint
 MEETINGS = 3  # variants (pairs of shingles) in which two records must meet: three shared shingles
+SKETCH = 8  # longs of the parity sketch that goes with a shingle of a prefix list
 
 
 def word_list(text: Column) -> Column:
@@ -57,14 +62,49 @@ def fingerprints(classes: DataFrame, k: int) -> DataFrame:
     return top.select("num", "size", F.array_sort(F.transform("rs", lambda r: r["s"])).alias("print"))
 
 
-def near_classes(classes: DataFrame, threshold: float, *, k: int = FINGERPRINT, meetings: int = MEETINGS) -> DataFrame:
-    """(a, b, similarity), a < b, of classes with similarity >= ``threshold``, found by ball hashing and compared exactly."""
+def _balls(classes: DataFrame, threshold: float, k: int, meetings: int) -> DataFrame:
+    """(a, b), a < b, of classes that meet in at least ``meetings`` variants of their fingerprints."""
     prints = fingerprints(classes, k)
     variants = F.flatten(F.transform("print", lambda x, i: F.transform(F.slice(F.col("print"), i + 2, k), lambda y: F.xxhash64(x, y))))
     balls = prints.select("num", "size", F.explode(variants).alias("v"))
     x, y = balls.select(F.col("num").alias("a"), F.col("size").alias("na"), "v"), balls.select(F.col("num").alias("b"), F.col("size").alias("nb"), "v")
     fit = (F.col("na") >= threshold * F.col("nb")) & (F.col("nb") >= threshold * F.col("na"))
-    met = x.join(y, "v").where((F.col("a") < F.col("b")) & fit).groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= meetings).select("a", "b")
+    met = x.join(y, "v").where((F.col("a") < F.col("b")) & fit).groupBy("a", "b").agg(F.count("*").alias("n"))
+    return met.where(F.col("n") >= meetings).select("a", "b")
+
+
+def _prefixes(classes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a < b, among them all classes with similarity >= ``threshold``.
+
+    A similarity of t needs t * size shingles in common, so one of the first
+    size - ceil(t * size) + 1 of either in an order of all shingles. The first shingle in
+    common leaves no more than the rest of either after it, which has to be enough; a
+    pair whose later meetings alone pass is only one candidate more. Every shingle flips
+    one bit of a sketch, so two sketches differ in no more bits than shingles are in one
+    record alone.
+    """
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(x, 8), F.lit(64)).cast("int"))
+    parity = lambda j: F.aggregate(F.filter("set", lambda x: F.pmod(x, F.lit(SKETCH)) == j), F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(bit(x)))
+    sketches = classes.select("num", F.array(*[parity(j) for j in range(SKETCH)]).alias("m"))
+    tokens = classes.select("num", "size", F.explode("set").alias("s"))
+    df = tokens.groupBy("s").agg(F.count("*").alias("df"))
+    order = F.array_sort(F.collect_list(F.struct("df", F.xxhash64("s").alias("mix"), "s")))
+    lists = tokens.join(df, "s").groupBy("num", "size").agg(order.alias("o")).join(sketches, "num")
+    # A little less than the threshold, so that no rounding shortens a prefix.
+    least = threshold - 1e-9
+    first = lists.select("num", "size", "m", F.posexplode(F.slice("o", 1, F.col("size") - F.ceil(least * F.col("size")).cast("int") + 1)).alias("i", "x")).where("x.df > 1")
+    x, y = (first.select(F.col("num").alias(c), F.col("size").alias(f"n{c}"), F.col("i").alias(f"i{c}"), F.col("m").alias(f"m{c}"), F.col("x.s").alias("s")) for c in ("a", "b"))
+    fit = (F.col("na") >= least * F.col("nb")) & (F.col("nb") >= least * F.col("na"))
+    rest = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
+    enough = rest * (1 + least) >= least * (F.col("na") + F.col("nb"))
+    differ = sum((F.bit_count(F.col("ma")[j].bitwiseXOR(F.col("mb")[j])) for j in range(SKETCH)), F.lit(0))
+    alike = differ * (1 + least) <= (1 - least) * (F.col("na") + F.col("nb"))
+    return x.join(y, "s").where((F.col("a") < F.col("b")) & fit & enough & alike).select("a", "b").distinct()
+
+
+def near_classes(classes: DataFrame, threshold: float, *, k: int = FINGERPRINT, meetings: int = MEETINGS) -> DataFrame:
+    """(a, b, similarity), a < b, of classes with similarity >= ``threshold``, found by ball hashing and prefix lists and compared exactly."""
+    met = _balls(classes, threshold, k, meetings).unionByName(_prefixes(classes, threshold)).distinct()
     sa, sb = classes.select(F.col("num").alias("a"), F.col("set").alias("sa")), classes.select(F.col("num").alias("b"), F.col("set").alias("sb"))
     both = met.join(sa, "a").join(sb, "b").select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("n"), (F.size("sa") + F.size("sb")).alias("total"))
     return both.where(F.col("n") >= threshold * (F.col("total") - F.col("n"))).select("a", "b", (F.col("n") / (F.col("total") - F.col("n"))).alias("similarity"))

@@ -71,3 +71,21 @@ def test_a_third_of_near_copies(spark):
     texts = {f"n{i:02}": base + f" e{i} f{i}" for i in range(40)} | {f"u{i:02}": " ".join(f"u{i}x{j}" for j in range(60)) for i in range(80)}
     got, _, _ = found(spark, texts, threshold=0.8, words=3, least=30)
     assert got == brute(texts, 0.8, 3, 30)
+
+
+def test_families_within_a_group(spark):
+    """Rare passages of single families fill the fingerprints; the text that all share still counts."""
+    rng = random.Random(7)
+    base = [f"b{i}" for i in range(120)]
+    texts = {}
+    for f in range(30):
+        family = [*base[:60], *[f"f{f}x{i}" for i in range(26)], *base[60:]]
+        for c in range(3):
+            t = list(family)
+            t[rng.randrange(len(t))] = f"v{f}x{c}"
+            texts[f"{f:02}-{c}"] = " ".join(t)
+    want = brute(texts, 0.5, 3, 30)
+    got, links, members = found(spark, texts, threshold=0.5, words=3, least=30)
+    assert len(want) > 700 and got == want
+    groups = components(links, "a", "b")
+    assert groups.count() == 90 and groups.select("component").distinct().count() == 1
