@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as tx
 from quillon.functions.lexicons import EVIDENCE_TERMS, GENERIC_WORDS, MECHANISM_TERMS, METADATA_TERMS, METHOD_WORDS, METRIC_UNITS, PROBLEM_WORDS, STOP_WORDS, WEAK_BRIDGE_TERMS, sql_list
-from quillon.operators import pairing, quality, tfidf
+from quillon.operators import inverted, pairing, quality, tfidf
 from quillon.plans.registry import Registry, typed
 from quillon.session import cut
 from quillon.sources.tables import first_per_key, table
@@ -132,9 +132,8 @@ def exact_dup_first_wins(spark: SparkSession, folder: str) -> DataFrame:
 
 @registry.query("inverted_index_roundtrip", r"SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''), ' ') AS decoded FROM documents WHERE text IS NOT NULL AND length(text) < 400")
 def inverted_index_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
-    """Short documents decoded from their own inverted index (the form in which one source delivers abstracts, which are short)."""
-    d = table(spark, folder, "documents", "doc_id", "text").where("text is not null and length(text) < 400")
-    return d.withColumn("ix", tx.inverted_index(F.col("text"))).select("doc_id", tx.from_inverted_index(F.col("ix")).alias("decoded"))
+    """Documents decoded from their own inverted index (the form in which one source delivers abstracts)."""
+    return inverted.texts_of(inverted.index_texts(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text"), "doc_id")
 
 
 @registry.query("whitespace_and_domain", r"""WITH """ + PAPERS + r""" SELECT paper_id, trim(regexp_replace(lower(coalesce(title, '')), '\s+', ' ', 'g')) AS title_normal,
