@@ -8,26 +8,42 @@ from pyspark.sql import functions as F
 MOST_SUPPORT, MOST_COUNTER = 5, 8
 
 
+WORD = r"[a-z0-9][a-z0-9.]*[a-z0-9]|[a-z0-9]"
+
+
 def _words(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9][a-z0-9.]*[a-z0-9]|[a-z0-9]"), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
+
+
+def _foreign(text: Column) -> Column:
+    """Runs of letters and digits that are not all ASCII."""
+    return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda w: w.rlike(r"[^\x00-\x7f]")))
+
+
+def _holds(text: Column, k: Column) -> Column:
+    """Whether ``k`` stands in ``text`` with no letter or digit going on at an end that is one, nor a point between digits or letters."""
+    before = F.when(k.rlike(r"^[\p{L}\p{N}]"), r"(?<![\p{L}\p{N}])(?<![\p{L}\p{N}]\.)").otherwise("")
+    after = F.when(k.rlike(r"[\p{L}\p{N}]$"), r"(?![\p{L}\p{N}]|\.[\p{L}\p{N}])").otherwise("")
+    return F.contains(text, k) & F.regexp_like(text, F.concat(before, F.lit(r"\Q"), k, F.lit(r"\E"), after))
 
 
 def mentions(needles: DataFrame, key: str, words: str, papers: DataFrame) -> DataFrame:
     """(key, paper_id, hits): how many of its key words each paper's title or abstract holds, as whole words or phrases.
 
     A key word meets papers by its rarest word, an equi-join on words, and is then looked
-    for as a whole; nothing is compared with every paper. ``hits`` counts key words.
+    for as a whole; nothing is compared with every paper. ``hits`` counts key words. One
+    without ASCII letters and digits meets by other ones; one of signs alone meets nothing.
     """
     text = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("abstract", F.lit(""))))
     docs = papers.select("paper_id", text.alias("_t"))
-    tokens = docs.select("paper_id", F.explode(_words(F.col("_t"))).alias("w"))
+    tokens = docs.select("paper_id", F.explode(F.concat(_words(F.col("_t")), _foreign(F.col("_t")))).alias("w"))
     k = needles.select(F.col(key).alias("_key"), F.explode(words).alias("k")).where("k is not null").select("_key", F.trim(F.lower("k")).alias("k")).where("k <> ''").distinct()
-    phrases = k.select("k").distinct().select("k", F.explode(_words(F.col("k"))).alias("w"))
+    phrases = k.select("k").distinct().select("k", F.explode(F.when(F.col("k").rlike("[a-z0-9]"), _words(F.col("k"))).otherwise(_foreign(F.col("k")))).alias("w"))
     df = tokens.join(phrases.select("w").distinct(), "w", "left_semi").groupBy("w").agg(F.count("*").alias("df"))
     rarest = phrases.join(df, "w").groupBy("k").agg(F.min_by("w", F.struct("df", "w")).alias("w"))
     met = rarest.join(tokens, "w").select("k", "paper_id")
-    single = ~F.contains("k", F.lit(" "))
-    whole = met.where(single).unionByName(met.where(~single).join(docs, "paper_id").where(F.contains("_t", F.col("k"))).select("k", "paper_id"))
+    single = F.col("k").rlike(f"^(?:{WORD})$")
+    whole = met.where(single).unionByName(met.where(~single).join(docs, "paper_id").where(_holds(F.col("_t"), F.col("k"))).select("k", "paper_id"))
     return k.join(whole, "k").groupBy("_key", "paper_id").agg(F.count("*").alias("hits")).withColumnRenamed("_key", key)
 
 
