@@ -16,6 +16,7 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -49,11 +50,20 @@ def ship(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
+    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where it is unset and the master is local.
+
+    Raises ``RuntimeError`` on a cluster that names no folder: a folder of one machine
+    would not be seen by the others.
+    """
     known = spark.sparkContext.getCheckpointDir()
     if known:
         return known
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillon-checkpoint-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="quillon-checkpoint-")
     spark.sparkContext.setCheckpointDir(folder)
     return spark.sparkContext.getCheckpointDir() or folder
 
@@ -62,7 +72,12 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder once and go on from the files.
 
     Use it where a result is read more than once and is costly to make again.
-    The files outlive executors, which a local copy would not.
+    The files outlive executors, which a local copy would not. A checkpointed frame
+    keeps the optimizer's guess of its size, in which an array counts as one element, so
+    that a join could broadcast it however large it is; what is returned here has no
+    guess: joins shuffle, and only sizes measured at run time can turn them.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    done = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(done.queryExecution().toRdd(), done.schema(), False), spark)
