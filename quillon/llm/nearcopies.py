@@ -1,14 +1,15 @@
 """Records that are nearly the same writing (problem 2).
 
-Meet-in-the-middle ball hashing. The fingerprint of a record is the set of its rarest
-shared word shingles; the distance of two fingerprints is what has to be dropped from
-both to make them equal. Every fingerprint emits all variants within half the radius:
-what is left after dropping all but MIDDLE of its shingles. Variants are shuffled;
-records that meet in enough of them are compared exactly.
-
-What balls can miss, prefix lists find: in one global order of shingles, rarest first,
-two records as similar as the threshold share one of the first few of each, whose
-number follows from the threshold. Both give candidates; the comparison is exact.
+Meet-in-the-middle ball hashing over sets of word shingles. The fingerprint of a record
+is its set of shingles, the distance of two records what has to be dropped from both to
+make them equal, and two similar records meet in the middle: in the shingles that they
+share. The threshold bounds how many shingles either record may drop, so every record
+emits all variants within its half of the radius. The variants of a record are
+exponentially many, but they can be named by their rarest shingle left, and these names
+are few: with ``r`` drops, one of the first ``r + 1`` shingles in one global order, rarest
+first. Variants are shuffled by name; pairs that collide are tested by how much can be
+left after the shingle that they met in and by a sketch of their sets, come down to one
+row each, and are compared exactly. No pair with the threshold's similarity is lost.
 
 A ball in the Hamming space of fixed-length bit fingerprints cannot serve a
 similarity of one half (see the README); the ball here is one of dropped shingles.
@@ -16,14 +17,19 @@ similarity of one half (see the README); the ball here is one of dropped shingle
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.session import cut
 
-FINGERPRINT = 24  # shingles in a fingerprint
-MEETINGS = 3  # variants (pairs of shingles) in which two records must meet: three shared shingles
-SKETCH = 8  # longs of the parity sketch that goes with a shingle of a prefix list
+SKETCH = 8  # longs of the parity sketch that goes with a variant
+BUCKETS = 1 << 20  # counts of shingles that order the variants: 8 MB, broadcast
+SLICE = 2_000_000  # shingles that a worker orders at once
+FEW = 500_000  # colliding pairs (two longs each) that are broadcast to the sets; more are shuffled
 
 
 def word_list(text: Column) -> Column:
@@ -41,76 +47,101 @@ def _classes(records: DataFrame, key: str, text: Column, words: int, least: int)
     """Classes (num, set, size) of records with equal sets, and members (key, num)."""
     sets = records.where(F.col(key).isNotNull()).select(F.col(key).alias("_k"), word_list(text).alias("w")).select("_k", F.array_sort(shingles(F.col("w"), words)).alias("set"))
     # No filter on the set before this point: it would be pushed below and work out the set again for every run.
-    sets = cut(sets.withColumn("digest", F.md5(F.array_join(F.col("set").cast("array<string>"), ",").cast("binary"))))
+    sets = cut(sets.select("_k", "set", F.xxhash64("set").alias("h"), F.xxhash64("set", F.lit(1)).alias("g")))
     # Copies come down to one row per partition before the shuffle.
-    classes = cut(sets.groupBy("digest").agg(F.first("set").alias("set")).select("digest", "set", F.size("set").alias("size"), F.monotonically_increasing_id().alias("num")).where(F.col("size") >= least))
-    members = cut(sets.select("_k", "digest").join(classes.select("digest", "num"), "digest").select("_k", "num").distinct())
-    return classes.drop("digest"), members
-
-
-def fingerprints(classes: DataFrame, k: int) -> DataFrame:
-    """(num, size, print): the ``k`` rarest shingles that another class has too, in order.
-
-    Rarity counts in steps of three doublings, within a step the hash decides, so that
-    near copies choose alike; a class of nothing but common text takes common shingles.
+    classes = sets.where(F.size("set") >= least).groupBy("h", "g").agg(F.first("set").alias("set"))
+    classes = cut(classes.select("h", "g", "set", F.size("set").alias("size"), F.monotonically_increasing_id().alias("num")))
+    members = cut(sets.select("_k", "h", "g").join(classes.select("h", "g", "num"), ["h", "g"]).select("_k", "num").distinct())
+    return classes.select("num", "set", "size"), members
+
+
+def _counts(classes: DataFrame) -> np.ndarray:
+    """Shingles of all classes in each of BUCKETS buckets: a table of fixed size, whatever the corpus."""
+    at = classes.select(F.explode("set").alias("s")).select(F.col("s").bitwiseAND(F.lit(BUCKETS - 1)).alias("b"))
+    out = np.zeros(BUCKETS, dtype=np.int64)
+    for part in at.groupBy("b").agg(F.count("*").alias("n")).toArrow().to_batches():
+        out[part["b"].to_numpy()] = part["n"].to_numpy()
+    return out
+
+
+def _named(batch: pa.RecordBatch, counts: np.ndarray, least: float) -> pa.RecordBatch:
+    """Classes (num, size, set) with their first names in the global order and their sketches instead of the sets."""
+    sizes = batch["size"].to_numpy().astype(np.int64)
+    flat = batch["set"].flatten().to_numpy()
+    rec = np.repeat(np.arange(len(sizes)), sizes)
+    start = np.cumsum(sizes) - sizes
+    # The global order: shingles of rare buckets first, then by a mix of the hash.
+    order = np.lexsort((flat * np.int64(-7046029254386353131), counts[flat & (BUCKETS - 1)], rec))
+    names = sizes - np.ceil(least * sizes).astype(np.int64) + 1
+    keep = (np.arange(len(flat)) - start[rec]) < names[rec]
+    bits = np.bincount(rec * (64 * SKETCH) + (flat >> 20) % (64 * SKETCH), minlength=len(sizes) * 64 * SKETCH) & 1
+    sketch = np.packbits(bits.astype(np.uint8).reshape(-1, 64), axis=1, bitorder="little").view(np.int64).reshape(-1, SKETCH)
+    ends = np.concatenate([[0], np.cumsum(np.minimum(names, sizes))]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat[order][keep]))
+    return pa.RecordBatch.from_arrays([batch["num"], batch["size"], lists, *[pa.array(np.ascontiguousarray(sketch[:, j])) for j in range(SKETCH)]], ["num", "size", "names", *[f"m{j}" for j in range(SKETCH)]])
+
+
+def variants(classes: DataFrame, threshold: float) -> DataFrame:
+    """(num, size, at, s, middle, m0, m1, ...): the names ``s`` of all variants of each class.
+
+    ``at`` counts the shingles before ``s``, ``middle`` says that the class may drop as
+    many and still be the smaller of a pair, m0 and so on are its sketch. Rarity only
+    orders the names, so counts by bucket serve as well as counts by shingle: texts need
+    not be shuffled by shingle to learn them.
     """
-    tokens = classes.select("num", "size", F.explode("set").alias("s"))
-    df = tokens.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
-    step = F.floor(F.log2(F.col("df").cast("double") + 0.5) / 3).cast("int")
-    ranked = tokens.join(df, "s").select("num", "size", F.struct(step.alias("step"), F.xxhash64("s").alias("mix"), "s").alias("r"))
-    top = ranked.groupBy("num", "size").agg(F.slice(F.array_sort(F.collect_list("r")), 1, k).alias("rs"))
-    return top.select("num", "size", F.array_sort(F.transform("rs", lambda r: r["s"])).alias("print"))
-
-
-def _balls(classes: DataFrame, threshold: float, k: int, meetings: int) -> DataFrame:
-    """(a, b), a < b, of classes that meet in at least ``meetings`` variants of their fingerprints."""
-    prints = fingerprints(classes, k)
-    variants = F.flatten(F.transform("print", lambda x, i: F.transform(F.slice(F.col("print"), i + 2, k), lambda y: F.xxhash64(x, y))))
-    balls = prints.select("num", "size", F.explode(variants).alias("v"))
-    x, y = balls.select(F.col("num").alias("a"), F.col("size").alias("na"), "v"), balls.select(F.col("num").alias("b"), F.col("size").alias("nb"), "v")
-    fit = (F.col("na") >= threshold * F.col("nb")) & (F.col("nb") >= threshold * F.col("na"))
-    met = x.join(y, "v").where((F.col("a") < F.col("b")) & fit).groupBy("a", "b").agg(F.count("*").alias("n"))
-    return met.where(F.col("n") >= meetings).select("a", "b")
-
-
-def _prefixes(classes: DataFrame, threshold: float) -> DataFrame:
-    """(a, b), a < b, among them all classes with similarity >= ``threshold``.
-
-    A similarity of t needs t * size shingles in common, so one of the first
-    size - ceil(t * size) + 1 of either in an order of all shingles. The first shingle in
-    common leaves no more than the rest of either after it, which has to be enough; a
-    pair whose later meetings alone pass is only one candidate more. Every shingle flips
-    one bit of a sketch, so two sketches differ in no more bits than shingles are in one
-    record alone.
+    # A little less than the threshold, so that no rounding shortens the names.
+    least = threshold - 1e-9
+    counts = classes.sparkSession.sparkContext.broadcast(_counts(classes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # Slices of bounded memory, however long the texts.
+            at, total = 0, np.cumsum(batch["size"].to_numpy().astype(np.int64))
+            while at < len(total):
+                end = max(int(np.searchsorted(total, (total[at - 1] if at else 0) + SLICE, "right")), at + 1)
+                yield _named(batch.slice(at, end - at), counts.value, least)
+                at = end
+
+    sketch = [f"m{j}" for j in range(SKETCH)]
+    named = classes.select("num", "size", "set").mapInArrow(run, "num long, size int, names array<long>, " + ", ".join(f"{m} long" for m in sketch))
+    half = F.col("size") - F.ceil(2 * least / (1 + least) * F.col("size")).cast("int")
+    return named.select("num", "size", *sketch, F.posexplode("names").alias("at", "s")).withColumn("middle", F.col("at") <= half)
+
+
+def colliding(classes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), distinct, of classes that meet in a variant, among them all with similarity >= ``threshold``; ``a`` is no larger than ``b``.
+
+    Two sets of sizes m and n with similarity t share t / (1 + t) * (m + n) shingles, so
+    the first that they share has at least as many from there on in either set. For the
+    smaller set that is 2 t / (1 + t) of its size, which shortens its side. Each shingle
+    flips one bit of a sketch, so sketches differ in no more bits than there are
+    shingles in one set alone.
     """
-    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(x, 8), F.lit(64)).cast("int"))
-    parity = lambda j: F.aggregate(F.filter("set", lambda x: F.pmod(x, F.lit(SKETCH)) == j), F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(bit(x)))
-    sketches = classes.select("num", F.array(*[parity(j) for j in range(SKETCH)]).alias("m"))
-    tokens = classes.select("num", "size", F.explode("set").alias("s"))
-    df = tokens.groupBy("s").agg(F.count("*").alias("df"))
-    order = F.array_sort(F.collect_list(F.struct("df", F.xxhash64("s").alias("mix"), "s")))
-    lists = tokens.join(df, "s").groupBy("num", "size").agg(order.alias("o")).join(sketches, "num")
-    # A little less than the threshold, so that no rounding shortens a prefix.
     least = threshold - 1e-9
-    first = lists.select("num", "size", "m", F.posexplode(F.slice("o", 1, F.col("size") - F.ceil(least * F.col("size")).cast("int") + 1)).alias("i", "x")).where("x.df > 1")
-    x, y = (first.select(F.col("num").alias(c), F.col("size").alias(f"n{c}"), F.col("i").alias(f"i{c}"), F.col("m").alias(f"m{c}"), F.col("x.s").alias("s")) for c in ("a", "b"))
-    fit = (F.col("na") >= least * F.col("nb")) & (F.col("nb") >= least * F.col("na"))
-    rest = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
-    enough = rest * (1 + least) >= least * (F.col("na") + F.col("nb"))
-    differ = sum((F.bit_count(F.col("ma")[j].bitwiseXOR(F.col("mb")[j])) for j in range(SKETCH)), F.lit(0))
-    alike = differ * (1 + least) <= (1 - least) * (F.col("na") + F.col("nb"))
-    return x.join(y, "s").where((F.col("a") < F.col("b")) & fit & enough & alike).select("a", "b").distinct()
-
-
-def near_classes(classes: DataFrame, threshold: float, *, k: int = FINGERPRINT, meetings: int = MEETINGS) -> DataFrame:
-    """(a, b, similarity), a < b, of classes with similarity >= ``threshold``, found by ball hashing and prefix lists and compared exactly."""
-    met = _balls(classes, threshold, k, meetings).unionByName(_prefixes(classes, threshold)).distinct()
-    sa, sb = classes.select(F.col("num").alias("a"), F.col("set").alias("sa")), classes.select(F.col("num").alias("b"), F.col("set").alias("sb"))
-    both = met.join(sa, "a").join(sb, "b").select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("n"), (F.size("sa") + F.size("sb")).alias("total"))
-    return both.where(F.col("n") >= threshold * (F.col("total") - F.col("n"))).select("a", "b", (F.col("n") / (F.col("total") - F.col("n"))).alias("similarity"))
-
-
-def near_copies(records: DataFrame, key: str, text: Column, *, threshold: float = 0.8, words: int = 5, least: int = 1, k: int = FINGERPRINT) -> tuple[DataFrame, DataFrame]:
+    v = variants(classes, threshold)
+    x, y = (side.select(F.col("num").alias(c), F.col("size").alias(f"n{c}"), F.col("at").alias(f"i{c}"), "s", *[F.col(f"m{j}").alias(f"{c}{j}") for j in range(SKETCH)]) for side, c in ((v.where("middle"), "a"), (v, "b")))
+    na, nb = F.col("na"), F.col("nb")
+    smaller = ((na < nb) | ((na == nb) & (F.col("a") < F.col("b")))) & (na >= least * nb)
+    enough = F.least(na - F.col("ia"), nb - F.col("ib")) * (1 + least) >= least * (na + nb)
+    differ = sum((F.bit_count(F.col(f"a{j}").bitwiseXOR(F.col(f"b{j}"))) for j in range(1, SKETCH)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
+    alike = differ * (1 + least) <= (1 - least) * (na + nb)
+    # Sides of unknown size: sorted and merged, with skewed names split, never broadcast.
+    return x.join(y.hint("merge"), "s").where(smaller & enough & alike).select("a", "b").distinct()
+
+
+def near_classes(classes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity), a < b, of classes with similarity >= ``threshold``: colliding variants, compared exactly."""
+    met = cut(colliding(classes, threshold))
+    # Sets move once they are known to be compared: few pairs go to the sets, many pairs fetch them.
+    how = "broadcast" if met.count() <= FEW else "merge"
+    side = lambda c: classes.select(F.col("num").alias(c), F.col("set").alias(f"s{c}")).join(met.hint(how), c)
+    both = side("a").join(side("b").hint("merge"), ["a", "b"])
+    both = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("n"), (F.size("sa") + F.size("sb")).alias("total"))
+    near = both.where(F.col("n") >= threshold * (F.col("total") - F.col("n")))
+    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("n") / (F.col("total") - F.col("n"))).alias("similarity"))
+
+
+def near_copies(records: DataFrame, key: str, text: Column, *, threshold: float = 0.8, words: int = 5, least: int = 1) -> tuple[DataFrame, DataFrame]:
     """(links, members): pairs of classes that are nearly the same, and the class of each key.
 
     ``records`` holds one row per key; rows with a null key, and rows with fewer than
@@ -119,7 +150,7 @@ def near_copies(records: DataFrame, key: str, text: Column, *, threshold: float
     Columns other than the key and those in ``text`` are not read.
     """
     classes, members = _classes(records, key, text, words, least)
-    return cut(near_classes(classes, threshold, k=k)), members.select(F.col("_k").alias(key), F.col("num").alias("class"))
+    return cut(near_classes(classes, threshold)), members.select(F.col("_k").alias(key), F.col("num").alias("class"))
 
 
 def near_pairs(links: DataFrame, members: DataFrame, key: str) -> DataFrame:
@@ -127,5 +158,5 @@ def near_pairs(links: DataFrame, members: DataFrame, key: str) -> DataFrame:
     several = members.groupBy("class").agg(F.count("*").alias("n")).where("n > 1")
     all_links = links.select("a", "b").unionByName(several.select(F.col("class").alias("a"), F.col("class").alias("b")))
     x, y = members.select(F.col("class").alias("a"), F.col(key).alias("x")), members.select(F.col("class").alias("b"), F.col(key).alias("y"))
-    met = all_links.join(x, "a").join(y, "b").where((F.col("a") != F.col("b")) | (F.col("x") < F.col("y")))
+    met = all_links.join(x.hint("merge"), "a").join(y.hint("merge"), "b").where((F.col("a") != F.col("b")) | (F.col("x") < F.col("y")))
     return met.select(F.least("x", "y").alias(f"{key}_a"), F.greatest("x", "y").alias(f"{key}_b"))

@@ -89,3 +89,25 @@ def test_families_within_a_group(spark):
     assert len(want) > 700 and got == want
     groups = components(links, "a", "b")
     assert groups.count() == 90 and groups.select("component").distinct().count() == 1
+
+
+def test_common_half_and_rare_half(spark):
+    """Records of a few share rare text, of all share a template: the template alone makes them alike."""
+    rng = random.Random(3)
+    template = [f"t{i}" for i in range(70)]
+    texts = {}
+    for f in range(40):
+        rare = [f"f{f}y{i}" for i in range(24)]
+        for c in range(3):
+            t = [*template, *rare]
+            t[rng.randrange(len(t))] = f"w{f}z{c}"
+            texts[f"{f:02}-{c}"] = " ".join(t)
+    want = brute(texts, 0.5, 3, 30)
+    got, _, _ = found(spark, texts, threshold=0.5, words=3, least=30)
+    assert len(want) > 1000 and got == want
+
+
+def test_many_pairs_fetch_their_sets(spark, monkeypatch):
+    monkeypatch.setattr("quillon.llm.nearcopies.FEW", 0)
+    texts = corpus(4)
+    assert found(spark, texts, threshold=0.5, words=3, least=30)[0] == brute(texts, 0.5, 3, 30)
