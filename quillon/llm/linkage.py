@@ -1,8 +1,10 @@
 """Records of one work across sources that share no identifier (problem 1).
 
-Label-model linkage: records meet in blocks of a subject and a name; heuristic
-matching functions vote on each candidate; a generative model learns from the votes
-alone how accurate they are and which depend on each other, and gives the posterior.
+Label-model linkage: records meet in blocks of a subject and a name, or of rare title
+words where these lack; heuristic matching functions vote on each candidate; a
+generative model learns from the votes alone how accurate they are and which depend on
+each other, and gives the posterior. Words that sources put for each other in titles are
+learned from the candidates too.
 The model sees counts of vote patterns, a table bounded by 3 ** (number of functions).
 """
 
@@ -11,7 +13,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import combinations
 from types import SimpleNamespace
 from zlib import crc32
@@ -26,9 +28,11 @@ from quillon.session import cut
 
 VOTES = ["title", "series", "authors", "year", "abstract", "keywords"]
 VETO = {0: 0.002, 1: 0.0005, 2: 0.02}  # how often records of one work may differ in title, part or all authors
-# Notes around a title, and spellings of one word.
+RARE = 4  # rarest title words by which records without names meet others, two at a time
+SWAPS = 10_000  # learned pairs of words that stand for each other, the most frequent ones: what a worker holds
+LEAST_SWAPS = 4  # candidates of two sources that must show such a pair, for every one of a single source and one more
+# Notes around a title.
 _NOTES = re.compile(r"\[(?:preprint|accepted manuscript|in press|corrigendum)\]|\((?:preprint|accepted manuscript|in press)\)|^(?:preprint|title)\s*:|\*+$")
-_SAME = [("&", "and"), ("tailoring", "tuning"), ("obtained", "prepared"), ("via", "by"), ("heat", "thermal"), ("vapour", "vapor"), ("behaviour", "behavior"), ("fibre", "fiber"), ("fibres", "fibers"), ("influence", "effect"), ("grey", "gray"), ("colour", "color")]
 _ROMAN = {"i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6, "vii": 7, "viii": 8, "ix": 9, "x": 10}
 
 
@@ -96,9 +100,11 @@ def prepare(title, abstract, authors, keywords) -> dict:
     # Titles cut before or within their subject meet others by a name and a part of the title.
     bare = not subject or not part and (subject not in words or words[-1] == subject)
     loose = sorted({f"{n}<{head[a : a + 8]}" for n in names for a in (0, 8) if len(head) >= a + 8})
-    if not names and not subject:
-        blocks.add(f"={''.join(words)}")
-    return {"words": words, "part": part, "cut": cut_off, "names": names, "more": more, "runs": runs, "kws": sorted({k.strip().lower() for k in (keywords if keywords is not None else []) if k and k.strip()}), "blocks": sorted(blocks), "ends": ends, "loose": loose, "bare": bare, "nameless": not names}
+    if not names and len(set(words)) < 2:
+        ends.append(f"={''.join(words)}")
+    if subject == "" and names and head:
+        blocks |= {f"{n[:4]}={head[:16]}" for n in names}
+    return {"words": words, "part": part, "cut": cut_off, "names": names, "more": more, "runs": runs, "kws": sorted({k.strip().lower() for k in (keywords if keywords is not None else []) if k and k.strip()}), "blocks": sorted(blocks), "ends": ends, "loose": loose, "bare": bare, "nameless": not names, "lost": not subject}
 
 
 @lru_cache(maxsize=200_000)
@@ -112,11 +118,6 @@ def _near_word(a: str, b: str) -> bool:
     return edits(a, b, most) <= most
 
 
-@lru_cache(maxsize=200_000)
-def _same_word(a: str, b: str) -> bool:
-    return _near_word(a, b) or any((_near_word(a, x) and _near_word(b, y)) or (_near_word(a, y) and _near_word(b, x)) for x, y in _SAME)
-
-
 def _near_name(x: str, y: str) -> bool:
     return min(len(x), len(y)) > 5 and abs(len(x) - len(y)) <= 1 and (x[0] == y[0] or x[-1] == y[-1]) and edits(x, y, 1) <= 1
 
@@ -132,27 +133,41 @@ def _spell_out(a: list[str], b: list[str]) -> list[str]:
     return a
 
 
-def vote_title(a: list[str], b: list[str], cut_a: bool, cut_b: bool) -> int:
-    """1 the same words up to misspellings, 0 one is the beginning of the other or names no subject, -1 different."""
+def vote_title(a: list[str], b: list[str], cut_a: bool, cut_b: bool) -> tuple[int, int, list[str]]:
+    """The vote of two titles, the vote if the words named next stand for each other, and these words.
+
+    2 the same words up to misspellings, 1 the same and one names a subject, 0 one is the
+    beginning of the other, -1 different. The words are pairs "x y", x < y, of at most
+    three positions that differ, none with a digit; no pairs if the titles differ more.
+    """
     if not a or not b:
-        return 0
+        return 0, 0, []
     a, b = _spell_out(a, b), _spell_out(b, a)
     if len(a) > len(b):
         a, b, cut_a, cut_b = b, a, cut_b, cut_a
-    same = [_same_word(x, y) for x, y in zip(a, b)]
-    if len(a) == len(b) and all(same):
-        return 1 if any(re.search(r"\d", w) for w in a) else 0
-    last = all(same[:-1]) and (same[-1] or b[len(a) - 1].startswith(a[-1]) or (cut_a and cut_b and a[-1].startswith(b[len(a) - 1])))
-    if len(a) >= 4 and last and (len(a) < len(b) or cut_a or cut_b):
-        return 0
-    x, y = "".join(a), "".join(b)
-    if abs(len(a) - len(b)) == 1 and re.sub(r"\D", "", x) == re.sub(r"\D", "", y) and edits(x, y, 2) <= 2:
-        return 1
-    return -1
-
-
-def votes(a, b) -> tuple[int, ...]:
-    """The votes of all functions on two prepared records, in the order of VOTES."""
+    same = [_near_word(x, y) for x, y in zip(a, b)]
+
+    def verdict(same: list[bool]) -> int:
+        if len(a) == len(b) and all(same):
+            return 1 if any(re.search(r"\d", w) for w in a) else 2
+        last = all(same[:-1]) and (same[-1] or b[len(a) - 1].startswith(a[-1]) or (cut_a and cut_b and a[-1].startswith(b[len(a) - 1])))
+        if len(a) >= 4 and last and (len(a) < len(b) or cut_a or cut_b):
+            return 0
+        x, y = "".join(a), "".join(b)
+        if abs(len(a) - len(b)) == 1 and re.sub(r"\D", "", x) == re.sub(r"\D", "", y) and edits(x, y, 2) <= 2:
+            return 1
+        return -1
+
+    vote = verdict(same)
+    apart = [k for k, s in enumerate(same) if not s and not (k == len(a) - 1 and (cut_a or cut_b or len(a) < len(b)))]
+    if vote >= 0 or not 0 < len(apart) <= min(3, len(a) // 3) or any(re.search(r"\d", a[k] + b[k]) or a[k].isalpha() and b[k].isalpha() and min(len(a[k]), len(b[k])) < 2 for k in apart):
+        return vote, vote, []
+    granted = verdict([s or k in apart for k, s in enumerate(same)])
+    return vote, granted, [" ".join(sorted((a[k], b[k]))) for k in apart] if granted > vote else []
+
+
+def votes(a, b) -> tuple[tuple[int, ...], int, list[str]]:
+    """The votes of all functions on two prepared records, in the order of VOTES, then the title's other vote and its words (see ``vote_title``)."""
     series = 0 if not (a.part and b.part) else 1 if a.part == b.part else -1
     na, nb = list(a.names), list(b.names)
     authors = 0
@@ -171,7 +186,8 @@ def votes(a, b) -> tuple[int, ...]:
         x, y = set(a.kws), set(b.kws)
         j = len(x & y) / min(len(x), len(y))
         keywords = 1 if j >= 0.6 else -1 if j < 0.3 else 0
-    return (vote_title(list(a.words), list(b.words), a.cut, b.cut), series, authors, year, abstract, keywords)
+    title, granted, words = vote_title(list(a.words), list(b.words), a.cut, b.cut)
+    return (title, series, authors, year, abstract, keywords), granted, words
 
 
 class LabelModel:
@@ -254,11 +270,50 @@ def belief(v: np.ndarray) -> np.ndarray:
     return np.where((v[:, 0] < 0) | (v[:, 1] < 0), 0.02, np.where(balance >= 2, 0.95, np.where(balance <= 0, 0.1, 0.5)))
 
 
-def _meet(ready: DataFrame, blocks: str, kept: Column) -> DataFrame:
-    """(id_a, id_b), id_a < id_b, of records from different sources that share one of their ``blocks``."""
-    at = ready.select("id", "src", "bare", "nameless", F.explode(blocks).alias("block"))
-    x, y = (at.select(*[F.col(c).alias(f"{c}_{s}") for c in ("id", "src", "bare", "nameless")], "block") for s in ("a", "b"))
-    return x.join(y, "block").where((F.col("id_a") < F.col("id_b")) & (F.col("src_a") != F.col("src_b")) & kept).select("id_a", "id_b")
+def _meet(at: DataFrame, needs: str = "true", other: str = "true") -> DataFrame:
+    """(id_a, id_b, same), id_a < id_b, of records that share a ``block``, one of them as ``needs`` and one as ``other`` says, and whether they are of one source."""
+    x, y = at.where(needs).select(F.col("id").alias("x"), F.col("src").alias("p"), "block"), at.where(other).select(F.col("id").alias("y"), F.col("src").alias("q"), "block")
+    return x.join(y.hint("merge"), "block").where("x < y" if needs == other else "x <> y").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), (F.col("p") == F.col("q")).alias("same"))
+
+
+def _rare_words(ready: DataFrame) -> DataFrame:
+    """Blocks of every two of the RARE rarest words of a title, for records without names and those that they may meet."""
+    words = ready.select("id", F.explode(F.array_distinct("words")).alias("w"))
+    df = words.groupBy("w").agg(F.count("*").alias("df"))
+    rare = words.join(df.hint("merge"), "w").groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("df", "w"))), 1, RARE).alias("r"))
+    w = F.sort_array(F.transform("r", lambda x: x["w"]))
+    two = F.flatten(F.transform("w", lambda x, i: F.transform(F.slice(F.col("w"), i + 2, RARE), lambda y: F.concat_ws(" ", x, y))))
+    return ready.select("id", "src", "nameless", "lost").join(rare.select("id", w.alias("w")).hint("merge"), "id").select("id", "src", "nameless", "lost", F.explode(two).alias("block"))
+
+
+def _swaps(voted: DataFrame) -> list[str]:
+    """Pairs of words that stand for each other: titles of two sources differ in nothing else, titles of one source, which seldom writes one work in two ways, hardly ever do."""
+    alone = voted.where((F.size("swaps") > 0) & (F.col("granted") > 0)).select(F.array_join(F.sort_array("swaps"), "|").alias("s"), "same", F.col("votes")[2].alias("authors"), F.col("votes")[4].alias("abstract"))
+    alike = ~F.col("same") & (F.col("authors") == 1) & (F.col("abstract") == 1)
+    n = alone.groupBy("s").agg(F.count_if(alike).alias("n"), F.count_if("same").alias("m"))
+    return [r["s"] for r in n.where(F.col("n") >= LEAST_SWAPS * (F.col("m") + 1)).orderBy(F.desc("n"), "s").limit(SWAPS).collect()]
+
+
+def _granted(swaps: list[str]):
+    """A function of arrays of pairs of words: whether each is one of ``swaps``, up to misspellings."""
+
+    @F.pandas_udf("boolean")
+    def run(words: pd.Series) -> pd.Series:
+        known = set(swaps)
+        heads: dict[str, list[list[str]]] = {}
+        for s in {x for s in swaps for x in s.split("|")}:
+            x, y = s.split(" ")
+            heads.setdefault(x[0], []).append([x, y])
+            heads.setdefault(y[0], []).append([y, x])
+
+        @lru_cache(maxsize=100_000)
+        def one(s: str) -> bool:
+            x, y = s.split(" ")
+            return s in known or any(_near_word(x, u) and _near_word(y, v) for u, v in heads.get(x[0], []))
+
+        return words.map(lambda ws: all(map(one, ws)))
+
+    return run
 
 
 def link(records: DataFrame, *, key: str = "paper_id", source: str = "source", year: str = "year") -> DataFrame:
@@ -266,7 +321,8 @@ def link(records: DataFrame, *, key: str = "paper_id", source: str = "source", y
 
     ``records`` has one row per key, with title, abstract, authors and keywords. Rows
     with a null key or source meet nothing; nulls elsewhere make a function abstain.
-    A record without subject and authors meets equal titles only. An empty table gives
+    Records without authors meet others by the subject and either end of the title, or,
+    where one has no subject, by any two of the title's RARE rarest words. An empty table gives
     an empty result. Other columns are not read.
     """
     spark = records.sparkSession
@@ -274,22 +330,35 @@ def link(records: DataFrame, *, key: str = "paper_id", source: str = "source", y
 
     def prep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            done = pd.DataFrame([prepare(*x) for x in zip(b.title, b.abstract, b.authors, b.keywords)], index=b.index, columns=["words", "part", "cut", "names", "more", "runs", "kws", "blocks", "ends", "loose", "bare", "nameless"])
+            done = pd.DataFrame([prepare(*x) for x in zip(b.title, b.abstract, b.authors, b.keywords)], index=b.index, columns=["words", "part", "cut", "names", "more", "runs", "kws", "blocks", "ends", "loose", "bare", "nameless", "lost"])
             yield pd.concat([b[["id", "src", "year"]], done], axis=1)
 
-    ready = cut(base.mapInPandas(prep, "id string, src string, year double, words array<string>, part int, cut boolean, names array<string>, more boolean, runs array<long>, kws array<string>, blocks array<string>, ends array<string>, loose array<string>, bare boolean, nameless boolean"))
-    # A subject that fills a third of the rows is split by names; the other blocks serve the few records that lack a name or a subject.
-    met = _meet(ready, "blocks", F.lit(True)).unionByName(_meet(ready, "ends", F.col("nameless_a") | F.col("nameless_b"))).unionByName(_meet(ready, "loose", F.col("bare_a") | F.col("bare_b"))).distinct()
+    ready = cut(base.mapInPandas(prep, "id string, src string, year double, words array<string>, part int, cut boolean, names array<string>, more boolean, runs array<long>, kws array<string>, blocks array<string>, ends array<string>, loose array<string>, bare boolean, nameless boolean, lost boolean"))
+    at = lambda c: ready.select("id", "src", "bare", "nameless", F.explode(c).alias("block"))
+    # A subject that fills a third of the rows is split by names; the other blocks serve records that lack a name or a subject.
+    words = _rare_words(ready)
+    parts = [_meet(at("blocks")), _meet(at("ends"), "nameless"), _meet(at("loose"), "bare"), _meet(words, "nameless and lost"), _meet(words, "nameless", "lost")]
+    met = reduce(DataFrame.unionByName, parts).distinct()
     facts = ["year", "words", "part", "cut", "names", "more", "runs", "kws"]
     side = lambda s: ready.select(F.col("id").alias(f"id_{s}"), F.struct(*facts).alias(s))
-    both = met.join(side("a"), "id_a").join(side("b"), "id_b")
+    both = met.join(side("a").hint("merge"), "id_a").join(side("b").hint("merge"), "id_b")
 
     def ballot(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             a, c = ([SimpleNamespace(**(x if isinstance(x, dict) else x.asDict())) for x in b[s]] for s in ("a", "b"))
-            yield pd.DataFrame({"id_a": b.id_a, "id_b": b.id_b, "votes": [list(votes(p, q)) for p, q in zip(a, c)]})
-
-    voted = cut(both.mapInPandas(ballot, "id_a string, id_b string, votes array<int>"))
+            done = [votes(p, q) for p, q in zip(a, c)]
+            yield pd.DataFrame({"id_a": b.id_a, "id_b": b.id_b, "same": b.same, "votes": [list(d[0]) for d in done], "granted": [d[1] for d in done], "swaps": [d[2] for d in done], "title_a": ["".join(p.words) for p in a], "title_b": ["".join(p.words) for p in c]})
+
+    voted = cut(both.mapInPandas(ballot, "id_a string, id_b string, same boolean, votes array<int>, granted int, swaps array<string>, title_a string, title_b string"))
+    if swaps := _swaps(voted):
+        title = F.when((F.size("swaps") > 0) & _granted(swaps)("swaps"), F.col("granted")).otherwise(F.col("votes")[0])
+    else:
+        title = F.col("votes")[0]
+    # A title without a subject speaks for one work unless a source gives it to several records.
+    many = ready.groupBy(F.concat_ws("", "words").alias("t"), "src").agg(F.count("*").alias("n")).where("n > 1").select("t").distinct()
+    plain_pairs = voted.withColumn("title", title).join(many.select(F.col("t").alias("title_a"), F.lit(True).alias("_a")).hint("merge"), "title_a", "left").join(many.select(F.col("t").alias("title_b"), F.lit(True).alias("_b")).hint("merge"), "title_b", "left")
+    title = F.when(F.col("title") < 2, F.col("title")).when(F.col("_a").isNull() & F.col("_b").isNull(), 1).otherwise(0)
+    voted = cut(plain_pairs.where("not same").select("id_a", "id_b", F.concat(F.array(title), F.slice("votes", 2, len(VOTES))).alias("votes")))
     # At most 3 ** 6 patterns, however many candidates.
     patterns = voted.groupBy("votes").agg(F.count("*").alias("n")).orderBy("votes").collect()
     v = np.array([r["votes"] for r in patterns], dtype=int).reshape(-1, len(VOTES))

@@ -45,7 +45,7 @@ def shingles(tokens: Column, words: int) -> Column:
 
 def _classes(records: DataFrame, key: str, text: Column, words: int, least: int) -> tuple[DataFrame, DataFrame]:
     """Classes (num, set, size) of records with equal sets, and members (key, num)."""
-    sets = records.where(F.col(key).isNotNull()).select(F.col(key).alias("_k"), word_list(text).alias("w")).select("_k", F.array_sort(shingles(F.col("w"), words)).alias("set"))
+    sets = records.where(F.col(key).isNotNull()).select(F.col(key).alias("_k"), word_list(text).alias("w")).select("_k", F.sort_array(shingles(F.col("w"), words)).alias("set"))
     # No filter on the set before this point: it would be pushed below and work out the set again for every run.
     sets = cut(sets.select("_k", "set", F.xxhash64("set").alias("h"), F.xxhash64("set", F.lit(1)).alias("g")))
     # Copies come down to one row per partition before the shuffle.

@@ -22,7 +22,7 @@ SMALL = 12  # sets of up to this many tokens enumerate subsets, larger ones scan
 def clean_set(values: Column) -> Column:
     """Trimmed, lower-cased values without nulls, blanks and repeats, in order; null for null."""
     trimmed = F.transform(values, lambda v: F.lower(F.regexp_replace(v, r"^\s+|\s+$", "")))
-    return F.array_sort(F.array_distinct(F.filter(trimmed, lambda v: v.isNotNull() & (v != ""))))
+    return F.sort_array(F.array_distinct(F.filter(trimmed, lambda v: v.isNotNull() & (v != ""))))
 
 
 def least_overlap(a: int, b: int, threshold: Fraction) -> int:
@@ -89,7 +89,7 @@ def similar_classes(classes: DataFrame, threshold: float, *, least: int = 1, sma
     if not has_large.isEmpty():
         tokens = near.select("id", "size", F.explode("set").alias("token"))
         df = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-        ranked = tokens.join(df, "token").groupBy("id", "size").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ts"))
+        ranked = tokens.join(df, "token").groupBy("id", "size").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ts"))
         # Tokens that no other set has cannot be shared; they stand first and count as touched.
         kept = F.col("size") - F.ceil((F.lit(t.numerator) * F.col("size") / t.denominator).cast("decimal(20,9)")).cast("int") + 1 - (F.col("size") - F.size("ts"))
         lists = ranked.select("id", "size", F.explode(F.slice("ts", F.lit(1), F.greatest(kept, F.lit(0)))).alias("x")).select("id", "size", F.col("x.token").alias("token"))

@@ -97,7 +97,7 @@ def encode_corpus(docs: DataFrame, *, key: str = "doc_id", text: str = "text", p
     far = near.where(F.col("_head").isNull()).select("_k", "pos", "word").join(coded.select("word", "ids"), "word")
     rest = far.groupBy("_k").agg(F.collect_list(F.struct("pos", "ids")).alias("_rest"))
     none = F.array().cast("array<struct<pos:int,ids:array<int>>>")
-    parts = F.array_sort(F.concat(F.coalesce("_own", none), F.coalesce("_rest", none)))
+    parts = F.sort_array(F.concat(F.coalesce("_own", none), F.coalesce("_rest", none)))
     # Rows with a null or empty text have no pre-tokens and keep the empty list.
     return base.select("_k").join(own, "_k", "left").join(rest, "_k", "left").select(F.col("_k").alias(key), F.flatten(F.transform(parts, lambda p: p["ids"])).alias("ids"))
 
@@ -115,6 +115,6 @@ def decode_corpus(coded: DataFrame, *, key: str = "doc_id", ids: str = "ids", pa
     """
     table = token_bytes(coded.sparkSession, path)
     flat = coded.select(F.col(key).alias("_k"), F.posexplode(ids).alias("pos", "id")).join(F.broadcast(table), "id")
-    whole = flat.groupBy("_k").agg(F.array_sort(F.collect_list(F.struct("pos", F.hex("bytes").alias("h")))).alias("p"))
+    whole = flat.groupBy("_k").agg(F.sort_array(F.collect_list(F.struct("pos", F.hex("bytes").alias("h")))).alias("p"))
     text = whole.select("_k", F.decode(F.unhex(F.array_join(F.transform("p", lambda x: x["h"]), "")), "UTF-8").alias("text"))
     return coded.select(F.col(key).alias("_k")).join(text, "_k", "left").select(F.col("_k").alias(key), F.coalesce("text", F.lit("")).alias("text"))
