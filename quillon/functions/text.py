@@ -77,7 +77,7 @@ def inverted_index(text: Column) -> Column:
 def from_inverted_index(index: Column) -> Column:
     """The text that a map of words to positions stands for; null for null, '' for an empty map."""
     at = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
-    return F.array_join(F.transform(F.array_sort(at), lambda s: s["w"]), " ")
+    return F.array_join(F.transform(F.sort_array(at), lambda s: s["w"]), " ")
 
 
 def short_id(prefix: str, *parts: Column, length: int = 8) -> Column:

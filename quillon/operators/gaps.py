@@ -52,7 +52,7 @@ def support(mentioned: DataFrame, key: str, least: int = 2, most: int = MOST_SUP
     # Ranked before the shuffle too, so a key word that all papers have brings no more than ``most`` rows from each part.
     w = Window.partitionBy(key).orderBy(F.desc("hits"), "paper_id")
     top = mentioned.where(F.col("hits") >= least).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most)
-    ranked = top.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rn", "paper_id"))).alias("r"))
+    ranked = top.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("rn", "paper_id"))).alias("r"))
     return ranked.select(key, F.transform("r", lambda x: x["paper_id"]).alias("papers"))
 
 

@@ -32,7 +32,7 @@ def hypothesis_edges(hypotheses: DataFrame, edges: DataFrame, papers: DataFrame)
     at = hypotheses.select(F.col("hypothesis_id").alias("src"), F.posexplode(_words(F.col("keywords"))).alias("i", "k")).select("src", "i", concept_id(F.col("k")).alias("dst"))
     concepts = edges.select("dst").distinct()
     known = at.join(concepts, "dst", "left_semi").groupBy("src", "dst").agg(F.min("i").alias("i"))
-    three = known.groupBy("src").agg(F.slice(F.array_sort(F.collect_list(F.struct("i", "dst"))), 1, CONCEPTS_PER_HYPOTHESIS).alias("c")).select("src", F.explode("c").alias("x")).select("src", F.col("x.dst").alias("dst"))
+    three = known.groupBy("src").agg(F.slice(F.sort_array(F.collect_list(F.struct("i", "dst"))), 1, CONCEPTS_PER_HYPOTHESIS).alias("c")).select("src", F.explode("c").alias("x")).select("src", F.col("x.dst").alias("dst"))
     edge = lambda d, r: d.select("src", "dst", F.lit(r).alias("relation"), F.lit(WEIGHTS[r]).alias("weight"))
     return edge(origin, "derives_from").unionByName(edge(three, "validates"))
 

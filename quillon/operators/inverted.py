@@ -19,5 +19,5 @@ def index_texts(docs: DataFrame, key: str, text: str) -> DataFrame:
 def texts_of(index: DataFrame, key: str) -> DataFrame:
     """(key, decoded): the words of each row in the order of their positions, joined by blanks."""
     at = index.select(key, "row", "word", F.explode_outer("positions").alias("_p"))
-    words = at.groupBy(key, "row").agg(F.array_sort(F.collect_list(F.struct(F.col("_p"), "word"))).alias("_ws"))
+    words = at.groupBy(key, "row").agg(F.sort_array(F.collect_list(F.struct(F.col("_p"), "word"))).alias("_ws"))
     return words.select(key, F.array_join(F.transform("_ws", lambda x: x["word"]), " ").alias("decoded"))

@@ -66,7 +66,7 @@ def _classes(counts: DataFrame, vocab: DataFrame, key: str, most: int) -> tuple[
     """
     numbered = vocab.withColumn("i", F.row_number().over(Window.orderBy(F.desc("df"), "token")))  # a bounded table
     held = counts.join(F.broadcast(numbered.select("token", "idf", "i")), "token")
-    docs = held.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", (F.col("tf") * F.col("idf")).alias("w")))).alias("raw"))
+    docs = held.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", (F.col("tf") * F.col("idf")).alias("w")))).alias("raw"))
     docs = cut(docs.select(F.col(key).alias("_k"), "raw", F.xxhash64("raw").alias("h"), F.xxhash64(F.lit(1), "raw").alias("g")))
     w = Window.partitionBy("h", "g").orderBy("_k")
     first = cut(docs.select("_k", "h", "g").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most + 1))

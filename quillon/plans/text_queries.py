@@ -280,7 +280,7 @@ def keyword_cooccurrence(spark: SparkSession, folder: str) -> DataFrame:
     """Key words that stand together on three papers or more."""
     k = papers(spark, folder, "keywords").select("paper_id", F.explode("keywords").alias("k")).select("paper_id", F.trim(F.lower("k")).alias("k")).where("k <> ''").distinct()
     often = k.groupBy("k").agg(F.count("*").alias("n")).where("n >= 3").select("k")
-    sets = k.join(often, "k", "left_semi").groupBy("paper_id").agg(F.array_sort(F.collect_set("k")).alias("ks"))
+    sets = k.join(often, "k", "left_semi").groupBy("paper_id").agg(F.sort_array(F.collect_set("k")).alias("ks"))
     a = sets.select("ks", F.posexplode("ks").alias("i", "kw_a"))
     pairs = a.select("kw_a", F.explode(F.slice("ks", F.col("i") + 2, F.size("ks"))).alias("kw_b"))
     return pairs.groupBy("kw_a", "kw_b").agg(F.count("*").alias("papers")).where("papers >= 3")
