@@ -270,20 +270,27 @@ def belief(v: np.ndarray) -> np.ndarray:
     return np.where((v[:, 0] < 0) | (v[:, 1] < 0), 0.02, np.where(balance >= 2, 0.95, np.where(balance <= 0, 0.1, 0.5)))
 
 
-def _meet(at: DataFrame, needs: str = "true", other: str = "true") -> DataFrame:
-    """(id_a, id_b, same), id_a < id_b, of records that share a ``block``, one of them as ``needs`` and one as ``other`` says, and whether they are of one source."""
-    x, y = at.where(needs).select(F.col("id").alias("x"), F.col("src").alias("p"), "block"), at.where(other).select(F.col("id").alias("y"), F.col("src").alias("q"), "block")
-    return x.join(y.hint("merge"), "block").where("x < y" if needs == other else "x <> y").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), (F.col("p") == F.col("q")).alias("same"))
+def _meet(at: DataFrame) -> DataFrame:
+    """(id_a, id_b, same), id_a < id_b, distinct, of records that share a ``block`` and may meet in it, and whether they are of one source.
+
+    ``at``: (id, src, block, seeks, finds). Of two records in a block one has to seek
+    what the other finds: 1 anything, 2 only records without a subject; a seeker of 0
+    waits to be found.
+    """
+    x = at.where("seeks > 0").select(F.col("id").alias("x"), F.col("src").alias("p"), "block", "seeks")
+    y = at.select(F.col("id").alias("y"), F.col("src").alias("q"), "block", "finds", (F.col("seeks") == 1).alias("too"))
+    met = x.join(y.hint("merge"), "block").where("x <> y and (seeks = 1 or finds = 2) and not (seeks = 1 and too and x > y)")
+    return met.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), (F.col("p") == F.col("q")).alias("same")).distinct()
 
 
 def _rare_words(ready: DataFrame) -> DataFrame:
-    """Blocks of every two of the RARE rarest words of a title, for records without names and those that they may meet."""
+    """(id, block) for every two of the RARE rarest words of a title."""
     words = ready.select("id", F.explode(F.array_distinct("words")).alias("w"))
     df = words.groupBy("w").agg(F.count("*").alias("df"))
     rare = words.join(df.hint("merge"), "w").groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("df", "w"))), 1, RARE).alias("r"))
     w = F.sort_array(F.transform("r", lambda x: x["w"]))
     two = F.flatten(F.transform("w", lambda x, i: F.transform(F.slice(F.col("w"), i + 2, RARE), lambda y: F.concat_ws(" ", x, y))))
-    return ready.select("id", "src", "nameless", "lost").join(rare.select("id", w.alias("w")).hint("merge"), "id").select("id", "src", "nameless", "lost", F.explode(two).alias("block"))
+    return rare.select("id", w.alias("w")).select("id", F.explode(two).alias("block"))
 
 
 def _swaps(voted: DataFrame) -> list[str]:
@@ -334,11 +341,12 @@ def link(records: DataFrame, *, key: str = "paper_id", source: str = "source", y
             yield pd.concat([b[["id", "src", "year"]], done], axis=1)
 
     ready = cut(base.mapInPandas(prep, "id string, src string, year double, words array<string>, part int, cut boolean, names array<string>, more boolean, runs array<long>, kws array<string>, blocks array<string>, ends array<string>, loose array<string>, bare boolean, nameless boolean, lost boolean"))
-    at = lambda c: ready.select("id", "src", "bare", "nameless", F.explode(c).alias("block"))
+    # The facts of a record are wide and move once for its candidates; blocks are made from the narrow rest.
+    keys = cut(ready.select("id", "src", "bare", "nameless", "lost", "blocks", "ends", "loose", "words"))
+    role = lambda seeks, kind: keys.select("id", "src", F.explode(kind).alias("block"), F.when(F.expr(seeks), 1).otherwise(0).alias("seeks"), F.lit(1).alias("finds"))
     # A subject that fills a third of the rows is split by names; the other blocks serve records that lack a name or a subject.
-    words = _rare_words(ready)
-    parts = [_meet(at("blocks")), _meet(at("ends"), "nameless"), _meet(at("loose"), "bare"), _meet(words, "nameless and lost"), _meet(words, "nameless", "lost")]
-    met = reduce(DataFrame.unionByName, parts).distinct()
+    rare = _rare_words(keys).join(keys.select("id", "src", "nameless", "lost").hint("merge"), "id").select("id", "src", "block", F.expr("case when nameless and lost then 1 when nameless then 2 else 0 end").alias("seeks"), F.expr("if(lost, 2, 1)").alias("finds"))
+    met = _meet(reduce(DataFrame.unionByName, [role("true", "blocks"), role("nameless", "ends"), role("bare", "loose"), rare]))
     facts = ["year", "words", "part", "cut", "names", "more", "runs", "kws"]
     side = lambda s: ready.select(F.col("id").alias(f"id_{s}"), F.struct(*facts).alias(s))
     both = met.join(side("a").hint("merge"), "id_a").join(side("b").hint("merge"), "id_b")
