@@ -80,6 +80,26 @@ def from_inverted_index(index: Column) -> Column:
     return F.array_join(F.transform(F.sort_array(at), lambda s: s["w"]), " ")
 
 
+# Names of subject categories.
+DOMAINS = {
+    "cs.AI": "artificial intelligence", "cs.LG": "machine learning", "cs.RO": "robotics", "cs.CL": "natural language processing", "cs.CV": "computer vision", "cs.MA": "multi-agent systems", "cs.GT": "game theory", "cs.CR": "cryptography and security",
+    "cs.DB": "databases", "cs.IR": "information retrieval", "cs.DC": "distributed computing", "cs.NI": "networking", "cs.NA": "numerical analysis", "stat.ML": "statistical machine learning", "stat.ME": "statistical methodology", "q-bio.QM": "quantitative biology",
+    "q-bio.NC": "computational neuroscience", "physics": "physics", "physics.chem-ph": "chemical physics", "physics.flu-dyn": "fluid dynamics", "physics.comp-ph": "computational physics", "quant-ph": "quantum computing", "cond-mat.mtrl-sci": "materials science", "eess.SP": "signal processing",
+}
+
+
+def domain(category: Column) -> Column:
+    """The name of a subject category; a category without one names itself, a missing one is 'the target domain'."""
+    c = F.coalesce(category, F.lit(""))
+    named = F.element_at(F.create_map(*[F.lit(x) for kv in DOMAINS.items() for x in kv]), c)
+    return F.when(c.isin("", "unknown"), "the target domain").otherwise(F.coalesce(named, c))
+
+
+def without_opening(title: Column) -> Column:
+    """``title`` without one of TITLE_OPENINGS and the blank behind it, whatever the case; null for null."""
+    return F.regexp_replace(title, "^(?i:" + "|".join(TITLE_OPENINGS) + ") ", "")
+
+
 def short_id(prefix: str, *parts: Column, length: int = 8) -> Column:
     """``prefix`` and the first characters of the MD5 of the parts joined by '|'."""
     return F.concat(F.lit(prefix), F.substring(F.md5(F.concat_ws("|", *parts).cast("binary")), 1, length))

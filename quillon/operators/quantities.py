@@ -76,6 +76,17 @@ def resolve_names(values: DataFrame, column: str, forms: list[tuple[str, str]])
     return rest.mapInPandas(run, f"`{column}` string, entry string")
 
 
+def resolved(triples: DataFrame, column: str, forms: list[tuple[str, str]]) -> DataFrame:
+    """``triples`` with ``column`` in place of the entry of ``forms`` that its value means; rows whose value means none go.
+
+    Each distinct free-entered value is resolved once. Null and blank values mean none.
+    """
+    known = F.col(column).isin(sorted({e for e, _ in forms}))
+    found = resolve_names(triples, column, forms)
+    free = triples.where(~known).join(found, column).withColumn(column, F.col("entry")).drop("entry")
+    return triples.where(known).unionByName(free)
+
+
 def common_units(
     triples: DataFrame,
     terms: DataFrame,
@@ -101,6 +112,8 @@ def common_units(
     count once, the one with the least ``version`` (nulls last). Other columns are not
     read, so names that clash do no harm. An empty table gives an empty result.
     """
+    if units.cycle_error() > 1e-9:
+        raise ValueError("conversions contradict each other around a cycle")
     forms = name_forms(terms)
     spark = triples.sparkSession
     meta = terms.select(F.col("property_name").alias("_entry"), F.col("common_unit").alias("_common"), F.col("decimals").cast("int").alias("_decimals")).where(F.trim(F.coalesce("_common", F.lit(""))) != "").dropDuplicates(["_entry"])

@@ -56,18 +56,19 @@ def graph_bridge_concepts(spark: SparkSession, folder: str) -> DataFrame:
     return graph.common_neighbours(e, pairs, "paper_a_id", "paper_b_id")
 
 
-@registry.query("graph_bfs_hops", f"""WITH {_EDGES}, b AS (SELECT DISTINCT * FROM (SELECT src AS node, dst AS near FROM edges UNION ALL SELECT dst, src FROM edges)), s0 AS (SELECT min(paper_id) AS node FROM papers1),
-    s1 AS (SELECT DISTINCT near AS node FROM b WHERE node IN (SELECT node FROM s0) AND near NOT IN (SELECT node FROM s0)), u1 AS (SELECT node FROM s0 UNION SELECT node FROM s1),
-    s2 AS (SELECT DISTINCT near AS node FROM b WHERE node IN (SELECT node FROM s1) AND near NOT IN (SELECT node FROM u1)), u2 AS (SELECT node FROM u1 UNION SELECT node FROM s2),
-    s3 AS (SELECT DISTINCT near AS node FROM b WHERE node IN (SELECT node FROM s2) AND near NOT IN (SELECT node FROM u2))
-    SELECT hops, count(*) AS nodes, min(node) AS first_node FROM (SELECT 0 AS hops, node FROM s0 UNION ALL SELECT 1, node FROM s1 UNION ALL SELECT 2, node FROM s2 UNION ALL SELECT 3, node FROM s3) GROUP BY hops""")
+_HOPS = ", ".join(f"s{i} AS (SELECT DISTINCT near AS node FROM b WHERE node IN (SELECT node FROM s{i - 1}) AND near NOT IN (SELECT node FROM u{i - 1})), u{i} AS (SELECT node FROM u{i - 1} UNION SELECT node FROM s{i})" for i in range(1, 6))
+
+
+@registry.query("graph_bfs_hops", f"""WITH {_EDGES}, b AS (SELECT DISTINCT * FROM (SELECT src AS node, dst AS near FROM edges UNION ALL SELECT dst, src FROM edges)), s0 AS (SELECT min(paper_id) AS node FROM papers1), u0 AS (SELECT node FROM s0), {_HOPS}
+    SELECT hops, count(*) AS nodes, min(node) AS first_node FROM ({" UNION ALL ".join(f"SELECT {i} AS hops, node FROM s{i}" for i in range(6))}) GROUP BY hops""")
 def graph_bfs_hops(spark: SparkSession, folder: str) -> DataFrame:
-    """Nodes by their distance from the first paper, up to three edges."""
+    """Nodes by their distance from the first paper, up to five edges."""
     start = table(spark, folder, "papers", "paper_id").agg(F.min("paper_id")).first()[0]
-    return graph.hops(_graph(spark, folder), start, 3).groupBy("hops").agg(F.count("*").alias("nodes"), F.min("node").alias("first_node"))
+    return graph.hops(_graph(spark, folder), start, 5).groupBy("hops").agg(F.count("*").alias("nodes"), F.min("node").alias("first_node"))
 
 
-@registry.query("graph_components")
+@registry.query("graph_components", """WITH RECURSIVE e AS (SELECT DISTINCT paper_a_id AS a, paper_b_id AS b FROM paper_pairs WHERE paper_a_id <> paper_b_id), n AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, reached) AS (SELECT DISTINCT a, a FROM n UNION SELECT r.node, n.b FROM r JOIN n ON r.reached = n.a)
+    SELECT component, count(*) AS papers FROM (SELECT node, min(reached) AS component FROM r GROUP BY node) GROUP BY component""")
 def graph_components(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of papers that delivered pairs link, by size (tested against union-find)."""
     c = components(paper_pairs(spark, folder, "paper_a_id", "paper_b_id"), "paper_a_id", "paper_b_id")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from quillon.functions import chemistry as ch
 from quillon.functions.lexicons import sql_list
 from quillon.operators.extraction import extract
-from quillon.operators.quantities import name_forms
+from quillon.operators import coverage, physics
+from quillon.operators.quantities import common_units, name_forms, resolved
 from quillon.plans.registry import Registry, typed
 from quillon.plans.text_queries import PAPERS, papers
 from quillon.sources.tables import first_per_key, table
@@ -75,56 +76,47 @@ def prediction_interval(spark: SparkSession, folder: str) -> DataFrame:
     return t.select("triple_id", low.alias("low"), high.alias("high"))
 
 
-# Plausible bounds of properties in their common units.
-RANGES = {"band_gap": (0.0, 15.0), "hardness": (0.0, 150.0), "thermal_conductivity": (0.0, 5000.0), "curie_temperature": (1.0, 2000.0), "mass_density": (0.1, 25.0), "youngs_modulus": (0.0, 1300.0), "ionic_conductivity": (0.0, 1000.0), "work_function": (1.0, 7.0)}
+def property_forms(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
+    return name_forms(table(spark, folder, "property_terms"))
 
 
-@registry.query("property_range_check", typed(f"WITH {TRIPLES} SELECT property_name, count(*) AS readings, count_if(property_value BETWEEN lo AND hi) AS in_range FROM t1 JOIN (VALUES {', '.join(f'({k!r}, {a}, {b})' for k, (a, b) in RANGES.items())}) r(p, lo, hi) ON property_name = p WHERE property_value IS NOT NULL AND property_unit = CASE p WHEN 'band_gap' THEN 'eV' WHEN 'hardness' THEN 'GPa' WHEN 'thermal_conductivity' THEN 'W/mK' WHEN 'curie_temperature' THEN 'K' WHEN 'mass_density' THEN 'g/cm³' WHEN 'youngs_modulus' THEN 'GPa' WHEN 'ionic_conductivity' THEN 'mS/cm' WHEN 'work_function' THEN 'eV' END GROUP BY property_name", "BIGINT", "in_range"))
+def structure_forms(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
+    return name_forms(table(spark, folder, "structure_terms"), "structure_name", None)
+
+
+def readings(spark: SparkSession, folder: str) -> DataFrame:
+    """(triple_id, property_name, common): every readable quantity in the common unit of its property."""
+    t = table(spark, folder, "csp_triples", "triple_id", "property_name", "property_value", "property_unit", "value_str", "loaded_at")
+    return common_units(t, table(spark, folder, "property_terms")).select("triple_id", "property_name", "common")
+
+
+@registry.query("property_range_check")
 def property_range_check(spark: SparkSession, folder: str) -> DataFrame:
-    """Readings in the common unit against the plausible bounds of their property."""
-    bounds = spark.createDataFrame([(k, a, b) for k, (a, b) in RANGES.items()], "property_name string, lo double, hi double")
+    """All readings, converted to the common unit, against the plausible bounds of their property (tested on a small fixture)."""
     terms = table(spark, folder, "property_terms", "property_name", "common_unit")
-    t = triples(spark, folder, "property_name", "property_value", "property_unit").where("property_value is not null")
-    j = t.join(F.broadcast(bounds), "property_name").join(F.broadcast(terms), "property_name").where(F.col("property_unit") == F.col("common_unit"))
-    return j.groupBy("property_name").agg(F.count("*").alias("readings"), F.count_if(F.col("property_value").between(F.col("lo"), F.col("hi"))).alias("in_range"))
+    j = physics.check_ranges(readings(spark, folder).join(F.broadcast(terms), "property_name"), "property_name", "common", "common_unit").where("reference_unit is not null")
+    return j.groupBy("property_name").agg(F.count("*").alias("readings"), F.count_if("in_range").alias("in_range"))
 
 
-@registry.query("profile_constraints", f"WITH {TRIPLES}, v AS (SELECT composition, max(CASE WHEN property_name = 'mass_density' AND property_unit = 'g/cm³' THEN property_value END) AS density, min(CASE WHEN property_name = 'yield_strength' AND property_unit = 'MPa' THEN property_value END) AS strength, min(CASE WHEN property_name = 'hardness' AND property_unit = 'GPa' THEN property_value END) AS hardness FROM t1 WHERE composition IS NOT NULL GROUP BY composition) SELECT composition, coalesce(density <= 8, true) AND coalesce(strength >= 200, true) AND coalesce(hardness >= 1, true) AS meets, (density IS NULL)::INT + (strength IS NULL)::INT + (hardness IS NULL)::INT AS missing FROM v")
+PROFILE = [("mass_density", "max", 8.0), ("yield_strength", "min", 200.0), ("hardness", "min", 1.0)]
+
+
+@registry.query("profile_constraints")
 def profile_constraints(spark: SparkSession, folder: str) -> DataFrame:
-    """A light, strong material's limits on density, strength and hardness; what is missing is a warning only."""
-    t = triples(spark, folder, "composition", "property_name", "property_unit", "property_value").where("composition is not null")
-    pick = lambda p, u: F.when((F.col("property_name") == p) & (F.col("property_unit") == u), F.col("property_value"))
-    v = t.groupBy("composition").agg(F.max(pick("mass_density", "g/cm³")).alias("d"), F.min(pick("yield_strength", "MPa")).alias("s"), F.min(pick("hardness", "GPa")).alias("h"))
-    ok = F.coalesce(F.col("d") <= 8, F.lit(True)) & F.coalesce(F.col("s") >= 200, F.lit(True)) & F.coalesce(F.col("h") >= 1, F.lit(True))
-    return v.select("composition", ok.alias("meets"), (F.col("d").isNull().cast("int") + F.col("s").isNull().cast("int") + F.col("h").isNull().cast("int")).alias("missing"))
-
-
-@registry.query("triple_coverage_gap", f"""WITH {TRIPLES}, p AS (SELECT DISTINCT composition, property_name FROM t1 JOIN property_terms USING (property_name) WHERE composition IS NOT NULL), c AS (SELECT composition, list_sort(list(property_name)) AS props FROM p GROUP BY composition),
-    s AS (SELECT DISTINCT composition, structure FROM t1 JOIN structure_terms ON structure = structure_name WHERE composition IS NOT NULL), k AS (SELECT structure, composition, props FROM s JOIN c USING (composition)),
-    j AS (SELECT a.composition, b.composition AS peer, list_filter(b.props, lambda x: NOT list_contains(a.props, x)) AS missing FROM k a JOIN k b ON a.structure = b.structure AND a.composition <> b.composition WHERE len(a.props) >= 2)
-    SELECT composition, peer, array_to_string(missing, '|') AS missing FROM (SELECT *, row_number() OVER (PARTITION BY composition ORDER BY peer) AS rn FROM j WHERE len(missing) BETWEEN 1 AND 3) WHERE rn = 1""")
+    """A light, strong material's limits on density, strength and hardness in common units; what is missing is a warning only (tested on a small fixture)."""
+    comp = triples(spark, folder, "composition").where("composition is not null").select("triple_id", "composition")
+    wanted = readings(spark, folder).where(F.col("property_name").isin([p for p, _, _ in PROFILE]))
+    v = comp.join(wanted, "triple_id", "left").select("composition", "property_name", F.col("common").alias("value"))
+    return physics.profile(v, "composition", PROFILE)
+
+
+@registry.query("triple_coverage_gap")
 def triple_coverage_gap(spark: SparkSession, folder: str) -> DataFrame:
-    """For each composition the first peer of its structures that has one to three properties more.
-
-    Compositions with equal sets of properties within a structure count as one peer,
-    the first, so the join is on distinct sets and not on compositions.
-    """
-    t = triples(spark, folder, "composition", "structure", "property_name").where("composition is not null")
-    # Properties as bits of one number: the reference list is of fixed size and has fewer than 63 entries.
-    names = [r[0] for r in table(spark, folder, "property_terms", "property_name").orderBy("property_name").collect()]
-    if len(names) > 62:
-        raise ValueError("too many properties for the bits of one number")
-    bits = F.broadcast(spark.createDataFrame([(n, 1 << i) for i, n in enumerate(names)], "property_name string, bit long"))
-    structures = F.broadcast(table(spark, folder, "structure_terms", F.col("structure_name").alias("structure")))
-    masks = t.select("composition", "property_name").join(bits, "property_name").groupBy("composition").agg(F.bit_or("bit").alias("mine"))
-    k = t.select("composition", "structure").distinct().join(structures, "structure").join(masks, "composition")
-    sets = k.groupBy("structure", "mine").agg(F.min("composition").alias("peer"))
-    missing = F.col("theirs").bitwiseAND(F.bitwise_not("mine"))
-    met = sets.select("structure", "mine").join(sets.select("structure", F.col("mine").alias("theirs"), "peer"), "structure").where((F.bit_count("mine") >= 2) & F.bit_count(missing).between(1, 3))
-    best = met.groupBy("structure", "mine").agg(F.min(F.struct("peer", missing.alias("missing"))).alias("b"))
-    found = k.join(best, ["structure", "mine"]).groupBy("composition").agg(F.min("b").alias("b"))
-    named = F.filter(F.array(*[F.when(F.col("b.missing").bitwiseAND(F.lit(1 << i)) != 0, F.lit(n)) for i, n in enumerate(names)]), lambda x: x.isNotNull())
-    return found.select("composition", "b.peer", F.array_join(named, "|").alias("missing"))
+    """For each composition the first peer of its structures that has one to three properties more, whatever the names that were entered (tested by brute force)."""
+    t = triples(spark, folder, "composition", "structure", "property_name").where("composition is not null").select("composition", "structure", "property_name")
+    facts = resolved(t.select("composition", "property_name").distinct(), "property_name", property_forms(spark, folder)).distinct()
+    places = resolved(t.select("composition", "structure").distinct(), "structure", structure_forms(spark, folder)).distinct()
+    return coverage.coverage_gaps(facts, places)
 
 
 @registry.query("shared_property_pairs", f"""WITH {TRIPLES}, pp AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY paired_at) rn FROM paper_pairs) WHERE rn = 1),

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from quillon.functions import units
 from quillon.functions.lexicons import sql_list
-from quillon.operators import gaps, statements
+from quillon.operators import gaps, statements, titles
 from quillon.plans.hypothesis_queries import _HYPO, _any, hypotheses
-from quillon.plans.material_queries import TRIPLES, triples
+from quillon.operators.quantities import resolved
+from quillon.plans.material_queries import TRIPLES, property_forms, structure_forms, triples
 from quillon.plans.registry import Registry, typed
 from quillon.plans.text_queries import paper_pairs, papers, words_sql
 from quillon.sources.tables import table
@@ -56,27 +57,25 @@ def merged_keywords(spark: SparkSession, folder: str) -> DataFrame:
     return paper_pairs(spark, folder, "paper_a_keywords", "paper_b_keywords").select("pair_id", F.array_join(statements.merged_keywords(F.col("paper_a_keywords"), F.col("paper_b_keywords")), "|").alias("keywords"))
 
 
-@registry.query("search_queries", f"""WITH {TRIPLES}, t AS (SELECT DISTINCT composition, replace(property_name, '_', ' ') AS p FROM t1 JOIN property_terms USING (property_name) WHERE composition IS NOT NULL)
-    SELECT composition, p AS property, composition || ' ' || p || CASE p {' '.join(f"WHEN '{k}' THEN " + " || ".join(f"'|' || composition || ' {o}'" for o in v) for k, v in statements.SYNONYMS.items())} ELSE '' END AS queries FROM t""")
+@registry.query("search_queries")
 def search_queries(spark: SparkSession, folder: str) -> DataFrame:
-    """Queries for each composition and property, with synonyms."""
-    t = triples(spark, folder, "composition", "property_name").where("composition is not null").join(F.broadcast(table(spark, folder, "property_terms", "property_name")), "property_name")
+    """Queries for each composition and property, by whatever name it was entered, with synonyms (tested case by case)."""
+    t = triples(spark, folder, "composition", "property_name").where("composition is not null").select("composition", "property_name").distinct()
+    t = resolved(t, "property_name", property_forms(spark, folder))
     t = t.select("composition", F.replace("property_name", F.lit("_"), F.lit(" ")).alias("property")).distinct()
     return t.select("composition", "property", F.array_join(statements.search_queries(F.col("composition"), F.col("property")), "|").alias("queries"))
 
 
-_FACTS = f"""{TRIPLES}, f AS (SELECT source_paper_id AS pid, property_name, structure, composition, property_value, triple_id FROM t1 WHERE source_paper_id IS NOT NULL AND composition IS NOT NULL AND coalesce(structure, '') <> '' AND property_name IN (SELECT property_name FROM property_terms)),
-    g AS (SELECT pid, list_distinct(list(property_name)) AS props, list_distinct(list(structure)) AS structs, list_distinct(list(composition)) AS comps, count(property_value) > 0 AS val FROM f GROUP BY pid)"""
+def paper_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """Triples of papers with a composition, by the entries that their properties and structures mean."""
+    t = triples(spark, folder, "source_paper_id", "property_name", "structure", "composition", "property_value").where("source_paper_id is not null and composition is not null")
+    return resolved(resolved(t, "property_name", property_forms(spark, folder)), "structure", structure_forms(spark, folder))
 
 
-@registry.query("material_branches", f"""WITH {_FACTS}, pp AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY paired_at) rn FROM paper_pairs) WHERE rn = 1),
-    j AS (SELECT pair_id, a.pid IS NOT NULL AS va, b.pid IS NOT NULL AS vb, coalesce(list_has_any(a.props, b.props), false) AS sh, coalesce(a.val, false) AS xa, coalesce(b.val, false) AS xb, coalesce(list_has_any(a.structs, b.structs), false) AS ss, coalesce(list_has_any(a.comps, b.comps), false) AS sc FROM pp LEFT JOIN g a ON a.pid = paper_a_id LEFT JOIN g b ON b.pid = paper_b_id)
-    SELECT branch, count(*) AS pairs FROM (SELECT CASE WHEN NOT va AND NOT vb THEN 'fallback' WHEN va AND vb AND sh AND xa AND NOT sc AND ss THEN 'structure_property' WHEN va AND vb AND sh AND xa AND NOT sc THEN 'hidden_link' WHEN va AND vb AND sh THEN 'fallback' WHEN va AND vb AND xa AND xb AND NOT sc THEN 'hidden_link_pending'
-        WHEN va AND NOT vb AND xa THEN 'gap_filling_pending' ELSE 'fallback' END AS branch FROM j) GROUP BY branch""")
+@registry.query("material_branches")
 def material_branches(spark: SparkSession, folder: str) -> DataFrame:
-    """Which kind of material hypothesis each pair of papers leads to, by what their triples share."""
-    t = triples(spark, folder, "source_paper_id", "property_name", "structure", "composition", "property_value").where("source_paper_id is not null and composition is not null and coalesce(structure, '') <> ''")
-    t = t.join(F.broadcast(table(spark, folder, "property_terms", "property_name")), "property_name")
+    """Which kind of material hypothesis each pair of papers leads to, by what their triples share (tested case by case)."""
+    t = paper_facts(spark, folder)
     g = t.groupBy("source_paper_id").agg(F.collect_set("property_name").alias("props"), F.collect_set("structure").alias("structs"), F.collect_set("composition").alias("comps"), (F.count("property_value") > 0).alias("val"))
     side = lambda s: g.select(F.col("source_paper_id").alias(f"paper_{s}_id"), *[F.col(c).alias(f"{c}_{s}") for c in ("props", "structs", "comps", "val")])
     j = paper_pairs(spark, folder, "paper_a_id", "paper_b_id").join(side("a"), "paper_a_id", "left").join(side("b"), "paper_b_id", "left")
@@ -139,16 +138,9 @@ def last_pairs_ratio(spark: SparkSession, folder: str) -> DataFrame:
     return last.agg(F.count("*").alias("pairs"), F.count_if("cross_domain").alias("cross_domain"), F.count_if(~F.col("cross_domain")).alias("same_domain"), F.count_if((F.col("similarity") < 0.5) & (F.col("pair_type") != "direct_similarity")).alias("implicit"))
 
 
-@registry.query("title_containment", r"""WITH p AS (SELECT paper_id, trim(regexp_replace(regexp_replace(lower(coalesce(title, '')), '[^a-z0-9\s]', '', 'g'), '\s+', ' ', 'g')) AS k FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY ingested_at) rn FROM papers) WHERE rn = 1), w AS (SELECT paper_id, k, array_to_string(string_split(k, ' ')[1:4], ' ') AS head FROM p WHERE length(k) > 20)
-    SELECT a.paper_id AS short_id, b.paper_id AS long_id FROM w a JOIN w b ON a.head = b.head AND starts_with(b.k, a.k || ' ')""")
+@registry.query("title_containment", r"""WITH p AS (SELECT paper_id, trim(regexp_replace(regexp_replace(lower(coalesce(title, '')), '[^a-z0-9\s]', '', 'g'), '\s+', ' ', 'g')) AS k FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY ingested_at) rn FROM papers) WHERE rn = 1), w AS (SELECT paper_id, k FROM p WHERE length(k) > 20)
+    SELECT a.paper_id AS short_id, b.paper_id AS long_id FROM w a JOIN w b ON a.k <> b.k AND contains(b.k, a.k)""")
 def title_containment(spark: SparkSession, folder: str) -> DataFrame:
-    """Titles of over twenty characters that begin another title, word by word.
-
-    Every title gives out its beginnings, one for each word, and meets the whole titles
-    that equal one: an equi-join, in which only true pairs meet.
-    """
+    """Titles of over twenty characters that stand anywhere within another title."""
     k = F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce("title", F.lit(""))), r"[^a-z0-9\s]", ""), r"\s+", " "))
-    w = papers(spark, folder, "title").select("paper_id", k.alias("k")).where(F.length("k") > 20).withColumn("words", F.split("k", " "))
-    ends = F.filter(F.sequence(F.lit(1), F.size("words")), lambda i: i < F.size("words"))
-    begun = w.select(F.col("paper_id").alias("long_id"), F.explode(F.transform(ends, lambda i: F.array_join(F.slice("words", F.lit(1), i), " "))).alias("k"))
-    return w.select(F.col("paper_id").alias("short_id"), "k").join(begun.where(F.length("k") > 20), "k").select("short_id", "long_id")
+    return titles.contained(papers(spark, folder, "title").select("paper_id", k.alias("k")).where(F.length("k") > 20), "paper_id", "k", 20)

@@ -67,7 +67,7 @@ _VECS = f"""WITH {PAPERS}, n AS (SELECT count(*) AS n FROM papers1),
     t AS (SELECT paper_id, unnest({bigrams_sql("w")}) AS token FROM (SELECT paper_id, {words_sql(PAPER_TEXT)} AS w FROM papers1)),
     tf AS (SELECT paper_id, token, count(*) AS tf FROM t GROUP BY ALL),
     v AS (SELECT token, ln((1.0 + n) / (1 + df)) + 1 AS idf FROM (SELECT token, count(*) AS df FROM tf GROUP BY token), n
-          WHERE df >= least(greatest(1, n // 100), 2) AND df <= least(greatest(10, CASE WHEN n < 20 THEN n ELSE 0.01 * n END), 1000) ORDER BY df DESC, token LIMIT 2000),
+          WHERE df >= greatest(1, n // 100) AND df <= CASE WHEN n < 20 THEN n ELSE 0.98 * n END ORDER BY df DESC, token LIMIT 2000),
     raw AS (SELECT paper_id, token, tf * idf AS w FROM tf JOIN v USING (token)),
     vec AS (SELECT paper_id, token, w / sqrt(sum(w * w) OVER (PARTITION BY paper_id)) AS w FROM raw)"""
 
@@ -130,20 +130,20 @@ def exact_dup_first_wins(spark: SparkSession, folder: str) -> DataFrame:
     return d.groupBy(F.md5(F.col("text").cast("binary")).alias("h")).agg(F.min(F.struct("doc_id", "source")).alias("m")).select("m.doc_id", "m.source")
 
 
-@registry.query("inverted_index_roundtrip", r"SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''), ' ') AS decoded FROM documents WHERE text IS NOT NULL AND length(text) < 400")
+@registry.query("inverted_index_roundtrip", r"SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''), ' ') AS decoded FROM documents WHERE text IS NOT NULL")
 def inverted_index_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     """Documents decoded from their own inverted index (the form in which one source delivers abstracts)."""
     return inverted.texts_of(inverted.index_texts(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text"), "doc_id")
 
 
+_DOMAIN = "CASE coalesce(categories[1], '') " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in tx.DOMAINS.items()) + " WHEN '' THEN 'the target domain' WHEN 'unknown' THEN 'the target domain' ELSE categories[1] END"
+
+
 @registry.query("whitespace_and_domain", r"""WITH """ + PAPERS + r""" SELECT paper_id, trim(regexp_replace(lower(coalesce(title, '')), '\s+', ' ', 'g')) AS title_normal,
-    CASE coalesce(categories[1], '') WHEN 'cs.LG' THEN 'machine learning' WHEN 'cond-mat.mtrl-sci' THEN 'materials science' WHEN 'physics.app-ph' THEN 'applied physics' WHEN '' THEN 'general' WHEN 'unknown' THEN 'general' ELSE categories[1] END AS domain FROM papers1""")
+    """ + _DOMAIN + """ AS domain FROM papers1""")
 def whitespace_and_domain(spark: SparkSession, folder: str) -> DataFrame:
     """Title with one blank for any white space, and the name of the first category."""
-    names = {"cs.LG": "machine learning", "cond-mat.mtrl-sci": "materials science", "physics.app-ph": "applied physics", "": "general", "unknown": "general"}
-    first = F.coalesce(F.get("categories", F.lit(0)), F.lit(""))
-    domain = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), first), first)
-    return papers(spark, folder, "title", "categories").select("paper_id", tx.whitespace_normal(F.col("title")).alias("title_normal"), domain.alias("domain"))
+    return papers(spark, folder, "title", "categories").select("paper_id", tx.whitespace_normal(F.col("title")).alias("title_normal"), tx.domain(F.get("categories", F.lit(0))).alias("domain"))
 
 
 @registry.query("origin_tags", typed(f"""WITH {PAPERS} SELECT origin, count(*) AS papers, sum(CASE WHEN data_source = 'online' THEN 1 ELSE 0 END) AS marked_online
