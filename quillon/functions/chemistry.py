@@ -81,7 +81,7 @@ def known_principle(structure: Column, prop: Column) -> Column:
     return F.coalesce(hit, F.lit(False))
 
 
-def prediction_interval(value: Column, u: float, digits: int = 6) -> tuple[Column, Column]:
+def prediction_interval(value: Column, u: float | Column, digits: int = 6) -> tuple[Column, Column]:
     """``value`` minus and plus the share ``u`` of it, in order, rounded."""
     a, b = value * (1 - u), value * (1 + u)
     return F.round(F.least(a, b), digits), F.round(F.greatest(a, b), digits)

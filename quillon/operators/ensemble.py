@@ -90,24 +90,64 @@ def safe(scores: list[Column], weighted: Column, consistency: Column, threshold:
     return (F.least(*scores) >= 0.2) & (consistency >= threshold) & F.lit(len(scores) >= 3) & (weighted >= 0.3)
 
 
+def _flag(df: DataFrame, name: str) -> Column:
+    """A boolean column, false where it is null or missing."""
+    return F.coalesce(F.col(name), F.lit(False)) if name in df.columns else F.lit(False)
+
+
 def trial(evaluated: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """Adds score, consistency, is_safe, passed and weakest (evaluator); numeric materials hypotheses gain a factor of 1.15."""
+    """Adds score, consistency, is_safe, passed, weakest (evaluator) and failure_reason.
+
+    Numeric materials hypotheses gain a factor of 1.15. Where ``evaluated`` has the
+    columns, ``violations`` of the content gate end a trial with score and consistency 0,
+    and ``number_violations`` fail one at half its score; ``model_score``, an outside
+    judgement, counts as a further evaluator of weight 1.5 where it is not null.
+    """
     scores = [F.col(f"e{i}") for i in range(1, 7)]
     w = [F.lit((weights or {}).get(o, 1.0)) for o in OPERATORS]
     mn = F.coalesce(F.col("materials") & F.col("numeric"), F.lit(False))
+    listed = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0 if c in evaluated.columns else F.lit(False)
     weighted, consistency = fuse(scores, w)
-    base = settle(evaluated, {"score": weighted, "consistency": consistency})
+    if "model_score" in evaluated.columns:
+        m = F.col("model_score")
+        also, spread = fuse([*scores, m], [*w, F.lit(1.5)])
+        weighted, consistency = F.when(m.isNull(), weighted).otherwise(also), F.when(m.isNull(), consistency).otherwise(spread)
+    base = settle(evaluated, {"score": weighted, "consistency": consistency, "_bad": listed("violations"), "_off": listed("number_violations")})
     base = settle(base, {"is_safe": safe(scores, F.col("score"), F.col("consistency"), F.when(mn, 0.45).otherwise(0.6))})
-    raised = F.when(mn, F.least(F.lit(1.0), F.round(F.col("score") * 1.15, 4))).otherwise(F.col("score"))
+    raised = F.when(F.col("_off"), F.round(F.col("score") * 0.5, 6)).when(mn, F.least(F.lit(1.0), F.round(F.col("score") * 1.15, 4))).otherwise(F.col("score"))
     weakest = F.array_min(F.array(*[F.struct(F.round(F.col(f"e{i}"), 6).alias("s"), F.lit(o).alias("o")) for i, o in enumerate(OPERATORS, 1)]))["o"]
-    base = settle(base, {"score": raised, "weakest": weakest})
-    return settle(base, {"passed": F.col("is_safe") & (F.col("score") >= 0.5)})
+    zero = lambda c: F.when(F.col("_bad"), 0.0).otherwise(c)
+    base = settle(base, {"score": zero(raised), "consistency": zero(F.col("consistency")), "is_safe": F.col("is_safe") & ~F.col("_bad"), "weakest": weakest})
+    base = settle(base, {"passed": F.col("is_safe") & ~F.col("_off") & (F.col("score") >= 0.5)})
+    reason = F.when(F.col("passed"), None).when(F.col("_bad"), "content").when(F.col("_off"), "numbers").when(~F.col("is_safe"), "unsafe").otherwise("low_score")
+    return base.withColumn("failure_reason", reason).drop("_bad", "_off")
+
+
+def heuristic_trial(hypotheses: DataFrame) -> DataFrame:
+    """Trials without the ensemble: ``hypotheses`` with score, consistency, passed from plain signs.
+
+    0.25, and more for a statement of 30 characters, three key words, a number, a cue of
+    its type and a causal word; 0.15 less for each of ``violations``. Nulls count as empty.
+    """
+    s, t = F.coalesce("statement", F.lit("")), F.coalesce("hypothesis_type", F.lit("other"))
+    low = F.lower(s)
+    cue = F.lit(False)
+    for kind, words in TYPE_CUES.items():
+        cue = cue | ((t == kind) & any_of(low, words))
+    plus = lambda c, v: F.when(c, v).otherwise(0.0)
+    bad = F.coalesce(F.size("violations"), F.lit(0)) if "violations" in hypotheses.columns else F.lit(0)
+    score = 0.25 + plus(F.length(s) > 30, 0.1) + plus(F.size(F.coalesce("keywords", F.array().cast("array<string>"))) >= 3, 0.1) + plus(s.rlike("[0-9]"), 0.1) + plus(cue, 0.1) + plus(low.rlike(r"\b(because|leads? to|causes?|due to|therefore|if)\b"), 0.1) - 0.15 * bad
+    base = settle(hypotheses, {"score": F.round(clamp(score, 0.0, 1.0), 4)})
+    return base.withColumns({"consistency": F.lit(0.5), "passed": F.col("score") >= 0.5})
 
 
 def verify(trials: DataFrame) -> DataFrame:
     """Adds reproduce_rate, cross_share, stability, discovery and level: five repeats against THRESHOLDS and three subsets of evaluators.
 
     All repeats share one score, so its spread is none and the penalty for it is 0.10.
+    Where ``trials`` has the columns: known_principle, fallback limit the stability to
+    0.59, pending (and no number, and key words 'unknown' or 'general') to 0.79;
+    number_violations, a range_problem and self-reference among ``violations`` make it 0.
     """
     repro = sum((F.when(F.col("is_safe") & (F.col("score") >= t), 1).otherwise(0) for t in THRESHOLDS[1:]), F.when(F.col("is_safe") & (F.col("score") >= THRESHOLDS[0]), 1).otherwise(0)) / len(THRESHOLDS)
     ok = []
@@ -118,8 +158,16 @@ def verify(trials: DataFrame) -> DataFrame:
         ok.append(F.when(safe(scores, weighted, consistency, F.when(mn, 0.45).otherwise(0.6)), 1).otherwise(0))
     base = settle(trials, {"reproduce_rate": repro, "cross_share": (ok[0] + ok[1] + ok[2]) / 3})
     raw = 0.5 * F.col("reproduce_rate") + 0.5 * F.col("cross_share") - F.when(F.col("score") > 0, 0.10).otherwise(0.0)
-    capped = F.when(~F.coalesce("numeric", F.lit(False)), F.least(raw, F.lit(0.79))).otherwise(raw)
-    base = settle(base, {"stability": F.round(F.greatest(F.lit(0.0), capped), 6)})
+    vague = F.exists(F.coalesce("keywords", F.array().cast("array<string>")), lambda k: F.lower(k).isin("unknown", "general"))
+    cap = F.when(_flag(trials, "known_principle") | _flag(trials, "fallback"), 0.59).when(_flag(trials, "pending") | ~F.coalesce("numeric", F.lit(False)) | F.coalesce(vague, F.lit(False)), 0.79).otherwise(1.0)
+    out = F.lit(False)
+    if "number_violations" in trials.columns:
+        out = out | (F.coalesce(F.size("number_violations"), F.lit(0)) > 0)
+    if "violations" in trials.columns:
+        out = out | F.coalesce(F.arrays_overlap("violations", literal(("same_source_and_target", "refers_to_itself", "twice_the_same"))), F.lit(False))
+    if "range_problem" in trials.columns:
+        out = out | F.col("range_problem").isNotNull()
+    base = settle(base, {"stability": F.when(out, 0.0).otherwise(F.round(F.greatest(F.lit(0.0), F.least(raw, cap)), 6))})
     base = settle(base, {"discovery": (F.col("stability") >= 0.55) & (F.col("reproduce_rate") >= 0.6) & (F.col("cross_share") == 1.0)})
     return base.withColumn("level", F.when(~F.col("discovery"), "none").when(F.col("stability") >= 0.8, "gold").when(F.col("stability") >= 0.6, "silver").otherwise("bronze"))
 

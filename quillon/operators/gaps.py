@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.functions.text import set_jaccard
+from quillon.session import cut
+
 MOST_SUPPORT, MOST_COUNTER = 5, 8
 
 
@@ -84,3 +87,134 @@ def counter_evidence(gaps: DataFrame, triples: DataFrame, mentioned: DataFrame,
     w = Window.partitionBy("gap_id").orderBy("r", "paper_id")
     kept = best.withColumn("rn", F.row_number().over(w)).where((F.col("rn") <= most) | (F.col("r.rank") == 1))
     return kept.select("gap_id", "paper_id", F.element_at(F.array(F.lit("exact_match"), F.lit("keyword_overlap"), F.lit("composition_covered")), F.col("r.rank")).alias("role"))
+
+
+def resolve(words: DataFrame, key: str, triples: DataFrame) -> DataFrame:
+    """(key, composition, structure, property_name): the first of each, in order, that one of a key's ``words`` names, null if none does.
+
+    ``words``: key, word. A word names a composition or structure that equals it, or a
+    property whose words are its own, whatever the case.
+    """
+    w = words.where("word is not null").select(F.col(key).alias("_key"), F.trim(F.lower("word")).alias("w")).where("w <> ''").distinct()
+    out = words.select(F.col(key).alias("_key")).distinct()
+    for column in ("composition", "structure", "property_name"):
+        names = triples.select(F.col(column).alias("n")).where("n is not null").distinct().select("n", F.replace(F.lower("n"), F.lit("_"), F.lit(" ")).alias("w"))
+        out = out.join(w.join(names, "w").groupBy("_key").agg(F.min("n").alias(column)), "_key", "left")
+    return out.withColumnRenamed("_key", key)
+
+
+def context(words: DataFrame, key: str, triples: DataFrame, most: int = MOST_SUPPORT) -> DataFrame:
+    """(key, triples): the first ``most`` triples, by id, whose composition or structure is one of a key's ``words`` or whose property contains one as whole words.
+
+    Of each composition, structure and property only the first ``most`` triples can be
+    among them, so these are chosen first, before and after the shuffle.
+    """
+    w = words.where("word is not null").select(F.col(key).alias("_key"), F.replace(F.trim(F.lower("word")), F.lit("_"), F.lit(" ")).alias("w")).where("w <> ''").distinct()
+    fields = ["composition", "structure", "property_name"]
+    parts = []
+    for column in fields:
+        rank = Window.partitionBy(column).orderBy("triple_id")
+        firsts = triples.where(F.col(column).isNotNull()).select("triple_id", *fields).withColumn("rn", F.row_number().over(rank)).where(F.col("rn") <= most).drop("rn")
+        names = firsts.select(F.col(column).alias("n")).distinct().withColumn("t", F.replace(F.lower("n"), F.lit("_"), F.lit(" ")))
+        if column == "property_name":
+            # Words meet names by their first one and are then looked for as a whole.
+            at = names.select("n", "t", F.explode(F.array_distinct(F.split("t", " "))).alias("h"))
+            met = w.withColumn("h", F.element_at(F.split("w", " "), 1)).join(at, "h").where(F.contains(F.concat(F.lit(" "), "t", F.lit(" ")), F.concat(F.lit(" "), "w", F.lit(" "))))
+        else:
+            met = w.join(names, F.col("w") == F.col("t"))
+        parts.append(met.select("_key", "n").distinct().join(firsts.withColumn("n", F.col(column)), "n").drop("n"))
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct()
+    top = every.withColumn("rn", F.row_number().over(Window.partitionBy("_key").orderBy("triple_id", *fields))).where(F.col("rn") <= most)
+    return top.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("triple_id", *fields))).alias("triples")).withColumnRenamed("_key", key)
+
+
+def records(hypotheses: DataFrame, triples: DataFrame, papers: DataFrame) -> DataFrame:
+    """Research gaps with their evidence, one row each, best first by rank_score.
+
+    ``hypotheses`` of kinds gap and gap_filling with a statement of ten characters or more
+    count: hypothesis_id, hypothesis_type, statement, keywords, paper_a_id, paper_b_id.
+    Result: gap_id, gap_type, description, keywords (8), supporting (the two sources, then
+    papers that hold two key words, five in all; at least two), counter_evidence (paper
+    and role), context (triples), evidence, novelty, feasibility, rank_score, review,
+    why_not_known, verification_plan, evidence_chain. Gaps with the same first three key
+    words and type are one, with the evidence of all.
+    """
+    h = hypotheses.where(F.col("hypothesis_type").isin("gap", "gap_filling") & (F.length("statement") >= 10) & F.col("hypothesis_id").isNotNull()).withColumn("keywords", F.filter(F.coalesce("keywords", F.array().cast("array<string>")), lambda k: k.isNotNull()))
+    low = F.lower("statement")
+    kind = F.when(F.contains(low, F.lit("structure")) & ~F.contains(low, F.lit("unknown")), "structure_unexplored").when(F.contains(low, F.lit("property")) | F.contains(low, F.lit("performance")), "property_unpredicted").otherwise("csp_missing")
+    g = h.select(F.col("hypothesis_id").alias("gap_id"), kind.alias("gap_type"), "statement", "keywords", "paper_a_id", "paper_b_id")
+    words = g.select("gap_id", F.posexplode("keywords").alias("i", "word"))
+    m = mentions(g, "gap_id", "keywords", papers)
+    sources = g.select("gap_id", F.explode(F.array(F.struct("paper_a_id", F.lit("source_a").alias("role")), F.struct(F.col("paper_b_id").alias("paper_a_id"), F.lit("source_b").alias("role")))).alias("x")).select("gap_id", F.col("x.paper_a_id").alias("paper_id"), "x.role").where("paper_id is not null and paper_id <> ''")
+    more = m.where("hits >= 2").join(sources.select("gap_id", "paper_id"), ["gap_id", "paper_id"], "left_anti").select("gap_id", "paper_id", F.lit("word_match").alias("role"), "hits")
+    s = sources.withColumn("hits", F.lit(0).cast("long")).unionByName(more).withColumn("rn", F.row_number().over(Window.partitionBy("gap_id").orderBy(F.col("role") == "word_match", "role", F.desc("hits"), "paper_id"))).where(F.col("rn") <= MOST_SUPPORT)
+    named = resolve(words.select("gap_id", "word"), "gap_id", triples)
+    own = mentions(named.where("composition is not null").select("gap_id", F.array("composition").alias("ks")), "gap_id", "ks", papers).select("gap_id", "paper_id", F.lit(True).alias("has_composition"))
+    c = counter_evidence(named, triples, m.join(own, ["gap_id", "paper_id"], "left").withColumn("has_composition", F.coalesce("has_composition", F.lit(False))), s.select("gap_id", "paper_id"))
+    ctx = context(words.where("i < 3").select("gap_id", "word"), "gap_id", triples)
+    pack = lambda df, name: df.groupBy("gap_id").agg(F.sort_array(F.collect_list(F.struct("role", "paper_id"))).alias(name))
+    j = g.join(pack(s, "supporting"), "gap_id").join(pack(c, "counter_evidence"), "gap_id", "left").join(ctx.withColumnRenamed("triples", "context"), "gap_id", "left")
+    # One gap for equal first key words and type.
+    j = j.withColumn("same", F.concat_ws("|", F.sort_array(F.transform(F.slice("keywords", 1, 3), lambda k: F.lower(k))), F.col("gap_type")))
+    merged = j.groupBy("same").agg(F.min_by(F.struct("gap_id", "gap_type", "statement", "keywords", "context"), "gap_id").alias("first"), F.array_distinct(F.flatten(F.collect_list("supporting"))).alias("supporting"), F.array_distinct(F.flatten(F.collect_list("counter_evidence"))).alias("counter_evidence"))
+    count = lambda role: F.size(F.filter("counter_evidence", lambda x: x["role"] == role))
+    j = merged.select("first.*", F.sort_array("supporting").alias("supporting"), F.sort_array("counter_evidence").alias("counter_evidence")).where(F.size("supporting") >= 2)
+    j = j.withColumns({"p": F.size("supporting"), "n": F.size("counter_evidence"), "c": F.coalesce(F.size("context"), F.lit(0)), "x": count("exact_match"), "o": count("keyword_overlap"), "k": count("composition_covered")})
+    j = j.withColumn("c", F.greatest("c", F.lit(0))).withColumns(scores(F.col("p"), F.col("c"), F.col("x"), F.col("o"), F.col("k"), F.col("c") > 0, F.lit(True)))
+    first = F.get("context", F.lit(0))
+    why = F.when(F.col("x") > 0, "a triple of this composition and property is known; the range or the conditions may still be new").when(F.col("n") == 0, "no counter-evidence in the corpus, which proves nothing beyond it; search outside").when(F.col("n") <= 2, F.concat(F.col("n").cast("string"), F.lit(" papers overlap, none with the whole combination; probably new in part"))).otherwise(F.concat(F.col("n").cast("string"), F.lit(" papers overlap; close to known work, to be reviewed by hand")))
+    plan = F.when(F.col("c") > 0, F.concat(F.lit("compute "), F.coalesce(first["property_name"], F.lit("the property")), F.lit(" of "), F.coalesce(first["composition"], F.lit("the material")), F.lit(" in the predicted structure, compare with the predicted range, measure if nothing is known"))).otherwise("search the literature, then compute the predicted property")
+    chain = F.array(F.concat(F.col("p").cast("string"), F.lit(" supporting papers")), F.concat(F.col("c").cast("string"), F.lit(" related triples")), F.concat(F.col("n").cast("string"), F.lit(" papers with overlapping coverage")))
+    rank = F.round(0.5 * F.col("novelty") + 0.3 * F.col("evidence") + 0.2 * F.col("feasibility"), 6)
+    rounded = {x: F.round(x, 6) for x in ("evidence", "novelty", "feasibility")}
+    done = j.withColumns({"rank_score": rank, "why_not_known": why, "verification_plan": plan, "evidence_chain": chain, "keywords": F.slice("keywords", 1, 8), **rounded}).withColumnRenamed("statement", "description")
+    return done.drop("p", "n", "c", "x", "o", "k").orderBy(F.desc("rank_score"), "gap_id")
+
+
+def distinct_gaps(gaps: DataFrame, key: str = "gap_id", description: str = "description", above: float = 0.7, head: int = 50) -> DataFrame:
+    """``gaps`` without near-duplicates: in order of ``key`` each is kept whose words (of the first ``head`` characters) are no more alike than ``above``, by Jaccard, to those of any kept before.
+
+    Alike gaps meet by an equi-join on the rare words that a similarity above the limit
+    forces them to share. The sequential rule is settled in rounds on the cluster: a gap with
+    no earlier one alike that is still open is kept, one alike to a kept one goes.
+    """
+    gaps = cut(gaps)
+    w = gaps.select(F.col(key).alias("g"), F.array_distinct(F.filter(F.split(F.lower(F.substring(F.coalesce(description, F.lit("")), 1, head)), r"\s+"), lambda x: x != "")).alias("ws")).where(F.size("ws") > 0)
+    each = w.select("g", F.size("ws").alias("n"), F.explode("ws").alias("w"))
+    df = each.groupBy("w").agg(F.count("*").alias("df"))
+    first = each.join(df, "w").groupBy("g", "n").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("o")).select("g", F.explode(F.slice("o", F.lit(1), F.col("n") - F.ceil(above * F.col("n")).cast("int") + 1)).alias("x")).select("g", F.col("x.w").alias("w"))
+    met = first.select(F.col("g").alias("a"), "w").join(first.select(F.col("g").alias("b"), "w"), "w").where("a < b").select("a", "b").distinct()
+    ws = lambda c: w.select(F.col("g").alias(c), F.col("ws").alias(f"w{c}"))
+    alike = cut(met.join(ws("a"), "a").join(ws("b"), "b").where(set_jaccard(F.col("wa"), F.col("wb")) > above).select("a", "b"))
+    gone = None
+    while not alike.isEmpty():
+        # Those that no open earlier one is alike to are kept; what is alike to them goes, with its links.
+        kept = alike.select(F.col("a").alias("g")).distinct().join(alike.select(F.col("b").alias("g")), "g", "left_anti")
+        out = cut(alike.join(kept.withColumnRenamed("g", "a"), "a", "left_semi").select(F.col("b").alias("g")).distinct())
+        gone = out if gone is None else gone.unionByName(out)
+        alike = cut(alike.join(out.withColumnRenamed("g", "a"), "a", "left_anti").join(out.withColumnRenamed("g", "b"), "b", "left_anti").join(kept.withColumnRenamed("g", "a"), "a", "left_anti"))
+    return gaps if gone is None else gaps.join(gone.withColumnRenamed("g", key), key, "left_anti")
+
+
+def failing_directions(directions: DataFrame, least: int = 3) -> DataFrame:
+    """(gap_id, description, keywords) of directions that failed ``least`` times or more and found no support."""
+    bad = directions.where((F.col("failures") >= least) & (F.col("support") == 0))
+    return bad.select(F.concat(F.lit("gap_"), "direction_id").alias("gap_id"), F.concat(F.lit("trials in the direction '"), "label", F.lit("' failed "), F.col("failures").cast("string"), F.lit(" times; a technical gap may stand behind it")).alias("description"), F.slice("keywords", 1, 5).alias("keywords"))
+
+
+def simple_report(hypotheses: DataFrame, entries: DataFrame, triples: DataFrame, directions: DataFrame | None = None, *, last: int = 5, most: int = 10) -> DataFrame:
+    """(gap_id, description, gap_type, keywords, sources, known_entries, context) of the gaps among the ``last`` hypotheses, then of failing directions, ``most`` in all.
+
+    ``known_entries`` counts entries of knowledge (entry_id, keywords) that have the gap's
+    first key word: none means that the gap may well be new. A report, so short.
+    """
+    h = hypotheses.orderBy(F.desc("created_at"), "hypothesis_id").limit(last).where(F.col("hypothesis_type").isin("gap", "gap_filling"))
+    g = h.select("hypothesis_id", F.col("statement").alias("description"), F.col("hypothesis_type").alias("gap_type"), F.slice(F.coalesce("keywords", F.array().cast("array<string>")), 1, 5).alias("keywords"), F.filter(F.array("paper_a_id", "paper_b_id"), lambda p: p.isNotNull()).alias("sources"))
+    index = entries.select("entry_id", F.explode("keywords").alias("w")).select("entry_id", F.lower("w").alias("w")).distinct()
+    seen = g.select("hypothesis_id", F.lower(F.get("keywords", F.lit(0))).alias("w")).join(index, "w").groupBy("hypothesis_id").agg(F.count("*").alias("known_entries"))
+    ctx = context(g.select("hypothesis_id", F.explode(F.slice("keywords", 1, 3)).alias("word")), "hypothesis_id", triples).withColumnRenamed("triples", "context")
+    out = g.join(seen, "hypothesis_id", "left").join(ctx, "hypothesis_id", "left").select(F.concat(F.lit("gap_"), "hypothesis_id").alias("gap_id"), "description", "gap_type", "keywords", "sources", F.coalesce("known_entries", F.lit(0)).cast("long").alias("known_entries"), "context")
+    if directions is not None:
+        more = failing_directions(directions).withColumns({"gap_type": F.lit("trial_failure_cluster"), "sources": F.array().cast("array<string>"), "known_entries": F.lit(0).cast("long")})
+        out = out.unionByName(more, allowMissingColumns=True)
+    return out.orderBy(F.col("gap_type") == "trial_failure_cluster", "gap_id").limit(most)

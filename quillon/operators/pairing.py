@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +9,7 @@ from quillon.functions.lexicons import GENERIC_WORDS, METHOD_WORDS, PROBLEM_WORD
 from quillon.functions.settle import settle
 from quillon.functions.text import literal
 from quillon.operators.quality import technical_overlap
+from quillon.session import cut
 
 CROSS_THRESHOLD, SAME_THRESHOLD = 0.05, 0.10
 
@@ -69,22 +67,31 @@ def evaluate(pairs: DataFrame, *, need_bridge: bool = False) -> DataFrame:
 def greedy(pairs: DataFrame, a: str, b: str, score: str, *, per_node: int = 5, most: int = 50) -> DataFrame:
     """The pairs that a pass in descending ``score`` (ties by a, b) takes, with at most ``per_node`` per end and ``most`` in all.
 
-    The choice is global and sequential. What it reads is bounded: the best N rows, a
-    top-k, with N doubled until the pass is full or all rows were read.
+    The choice is global and sequential, but what it reads is bounded: the next best
+    4 * ``most`` rows at a time, a top-k that leaves out the ends that are full (at most
+    2 * ``most`` / ``per_node`` of them). The first row of every read is taken, so there
+    are at most ``most`` reads, however many rows a hub has. Rows with a null score or
+    end are left out.
     """
     spark = pairs.sparkSession
-    total, n = None, max(4 * most, 64)
-    while True:
-        rows = pairs.select(a, b, score).orderBy(F.desc(score), a, b).limit(n).collect()
-        used: dict = {}
-        taken = []
+    rest = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull() & F.col(score).isNotNull()).select(a, b, score)
+    n, used, taken, last = max(4 * most, 64), {}, [], None
+    while len(taken) < most:
+        now = rest
+        if last is not None:
+            full = [k for k, c in used.items() if c >= per_node]
+            tie = (F.col(score) == last[2]) & ((F.col(a) > last[0]) | ((F.col(a) == last[0]) & (F.col(b) > last[1])))
+            now = now.where(((F.col(score) < last[2]) | tie) & ~F.col(a).isin(full) & ~F.col(b).isin(full))
+        rows = now.orderBy(F.desc(score), a, b).limit(n).collect()
         for r in rows:
             if len(taken) < most and used.get(r[a], 0) < per_node and used.get(r[b], 0) < per_node:
                 taken.append((r[a], r[b], float(r[score])))
                 used[r[a]] = used.get(r[a], 0) + 1
                 used[r[b]] = used.get(r[b], 0) + 1
-        if len(taken) >= most or len(rows) < n:
+        if len(rows) < n:
             break
-        n *= 2
+        if last is None and len(taken) < most:
+            rest = cut(rest)
+        last = (rows[-1][a], rows[-1][b], rows[-1][score])
     kinds = dict(pairs.dtypes)
     return spark.createDataFrame(taken, f"`{a}` {kinds[a]}, `{b}` {kinds[b]}, `{score}` double")

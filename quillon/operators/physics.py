@@ -35,7 +35,7 @@ def bounds() -> dict[str, tuple[float, float, str]]:
 
 
 def check_ranges(df: DataFrame, prop: str, value: str, unit: str) -> DataFrame:
-    """``df`` with low, high, reference_unit, in_range and range_problem.
+    """``df`` with low_bound, high_bound, reference_unit, in_range and range_problem.
 
     The value is converted to the unit of the bounds; a value without a unit counts as
     given in it. range_problem: 'unit' where the unit does not measure the property (or
@@ -45,13 +45,13 @@ def check_ranges(df: DataFrame, prop: str, value: str, unit: str) -> DataFrame:
     """
     spark = df.sparkSession
     table = bounds()
-    limits = F.broadcast(spark.createDataFrame([(k, *v) for k, v in table.items()], f"`{prop}` string, low double, high double, reference_unit string"))
+    limits = F.broadcast(spark.createDataFrame([(k, *v) for k, v in table.items()], f"`{prop}` string, low_bound double, high_bound double, reference_unit string"))
     known = F.broadcast(spark.createDataFrame(units.conversion_rows(sorted({u for _, _, u in table.values() if u})), "_u string, reference_unit string, _factor double, _offset double"))
     given = F.trim(F.coalesce(F.col(unit), F.lit("")))
     j = df.join(limits, prop, "left").withColumn("_u", units.unit_key(given)).join(known, ["_u", "reference_unit"], "left")
     same = (given == "") | (F.col("reference_unit") == "") | (given == F.col("reference_unit"))
     v = F.when(same, F.col(value)).otherwise(F.col(value) * F.col("_factor") + F.col("_offset"))
-    problem = F.when(F.col("reference_unit").isNull() | F.col(value).isNull(), None).when(~same & F.col("_factor").isNull(), "unit").when((v < F.col("low")) | (v > F.col("high")), "range")
+    problem = F.when(F.col("reference_unit").isNull() | F.col(value).isNull(), None).when(~same & F.col("_factor").isNull(), "unit").when((v < F.col("low_bound")) | (v > F.col("high_bound")), "range")
     return j.withColumn("range_problem", problem).withColumn("in_range", F.col("range_problem").isNull()).drop("_u", "_factor", "_offset")
 
 

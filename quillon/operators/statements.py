@@ -8,15 +8,13 @@ from pyspark.sql import functions as F
 from quillon.functions.chemistry import stoichiometry_violation
 from quillon.functions.settle import settle
 from quillon.functions.text import literal, unigrams
+from quillon.operators import physics
 
 # Cue words of these English statements.
 OBSERVABLE = ("conductivity", "hardness", "modulus", "fatigue", "wear", "efficiency", "strength", "capacity", "band gap", "expansion", "resistance", "mobility", "polarization", "expected", "improve", "predict", "≈")
 FILLERS = ("may produce", "may exist", "may share", "may have", "not yet studied", "unexplored")
 VAGUE_TERMS = ("approach", "method", "framework", "model", "system", "analysis", "study", "research", "performance", "design")
 FRAGMENT = r"\b(numerical|investigation|experimental|theoretical|comprehensive)\s+(study|investigation|analysis|research|approach)\s+(of|on|for|protective|enhanced|novel)\b|\b(preliminary|detailed|systematic)\s+(study|investigation|analysis)\s+[a-z]{4,}\b"
-# Plausible bounds of properties named in statements.
-STATED_RANGES = {"hardness": (0.0, 150.0), "band gap": (0.0, 15.0), "elastic modulus": (0.0, 1300.0), "thermal conductivity": (0.0, 5000.0), "seebeck coefficient": (-2000.0, 2000.0)}
-
 
 def technical_terms(text: Column, most: int = 5) -> Column:
     """The first distinct words of five letters or more that are no stop words."""
@@ -61,16 +59,27 @@ def content_violations(h: DataFrame) -> DataFrame:
     return settle(h, {"violations": F.filter(F.array(*[F.when(c, F.lit(n)) for c, n in checks]), lambda x: x.isNotNull())})
 
 
+NUMBER = r"(?:^|[\s≈=(])(-?[0-9]+(?:\.[0-9]+)?)(?:[\s%,;)]|\.?$)"
+
+
+def stated_bounds() -> dict[str, tuple[float, float]]:
+    """Bounds by the names that statements use for properties of four letters or more."""
+    out = {k.replace("_", " "): (a, b) for k, (a, b, _) in physics.bounds().items() if len(k) >= 4}
+    return dict(sorted(out.items()))
+
+
 def number_violations(statement: Column) -> Column:
-    """Properties with a number out of their bounds near their name (50 characters before, 150 after); digits within words do not count."""
-    low = F.lower(F.coalesce(statement, F.lit("")))
-    out = []
-    for name, (a, b) in STATED_RANGES.items():
-        at = F.instr(low, F.lit(name))
-        near = F.substring(low, F.greatest(at - 50, F.lit(1)), F.lit(200))
-        numbers = F.transform(F.regexp_extract_all(near, F.lit(r"(?:^|[\s≈=(])(-?[0-9]+(?:\.[0-9]+)?)(?=[\s%,;)]|\.?$)"), F.lit(1)), lambda x: x.try_cast("double"))
-        out.append(F.when((at > 0) & F.exists(numbers, lambda v: (v < a) | (v > b)), F.lit(name)))
-    return F.filter(F.array(*out), lambda x: x.isNotNull())
+    """Properties with a number out of their bounds near their name (50 characters before, 150 after); digits within words do not count.
+
+    Every place of a name counts, as a whole word; places that lie within the reach of
+    one before are read with it.
+    """
+    # Blanks are doubled, so that a number takes none from the next one.
+    low = F.replace(F.lower(F.coalesce(statement, F.lit(""))), F.lit(" "), F.lit("  "))
+    limits = F.array(*[F.struct(F.lit(n.replace(" ", "  ")).alias("n"), F.lit(a).alias("a"), F.lit(b).alias("b")) for n, (a, b) in stated_bounds().items()])
+    near = lambda x: F.flatten(F.transform(F.regexp_extract_all(low, F.concat(F.lit(r"(?s).{0,50}\b"), x["n"], F.lit(r"\b.{0,150}")), F.lit(0)), lambda t: F.regexp_extract_all(t, F.lit(NUMBER), F.lit(1))))
+    bad = F.filter(F.filter(limits, lambda x: F.contains(low, x["n"])), lambda x: F.exists(near(x), lambda v: (v.try_cast("double") < x["a"]) | (v.try_cast("double") > x["b"])))
+    return F.transform(bad, lambda x: F.replace(x["n"], F.lit("  "), F.lit(" ")))
 
 
 def stated_range(statement: Column) -> tuple[Column, Column]:

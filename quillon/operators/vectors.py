@@ -22,10 +22,12 @@ def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int)
     """
     kind = dict(rows.dtypes)[key]
     q = queries.where(F.col(vector).isNotNull()).select(F.col(key).alias("q"), F.col(vector).alias("qv")).withColumn("b", F.pmod(F.xxhash64("q"), F.lit(max(1, -(-queries.count() // BLOCK)))))
-    blocks = q.groupBy("b").agg(F.collect_list(F.struct("q", "qv")).alias("qs"))
-    r = rows.where(F.col(vector).isNotNull()).select(F.col(key).alias("r"), F.col(vector).alias("rv")).withColumn("p", F.pmod(F.xxhash64("r"), F.lit(max(4, -(-rows.count() // PART)))))
+    parts = max(4, -(-rows.count() // PART))
+    r = rows.where(F.col(vector).isNotNull()).select(F.col(key).alias("r"), F.col(vector).alias("rv")).withColumn("p", F.pmod(F.xxhash64("r"), F.lit(parts)))
     groups = r.groupBy("p").agg(F.collect_list(F.struct("r", "rv")).alias("rs"))
-    met = blocks.select(F.lit(1).alias("one"), "qs").join(groups.select(F.lit(1).alias("one"), "rs"), "one").select("qs", "rs")
+    # Every block goes to every part by a shuffle on the part: an equi-join, nothing is broadcast.
+    blocks = q.groupBy("b").agg(F.collect_list(F.struct("q", "qv")).alias("qs")).select("qs", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("p")).withColumn("p", F.col("p").cast("long"))
+    met = blocks.join(groups.withColumn("p", F.col("p").cast("long")).hint("merge"), "p").select("qs", "rs")
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -36,7 +38,10 @@ def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int)
                 s = np.round((a @ b.T) / np.maximum(np.outer(na, nb), 1e-300), 6)
                 out = []
                 for i, row in enumerate(s):
-                    order = sorted((j for j in range(len(ri)) if ri[j] != qi[i] and na[i] > 0 and nb[j] > 0), key=lambda j: (-row[j], ri[j]))[:k]
+                    row = np.where(nb > 0, row, -np.inf) if na[i] > 0 else np.full(len(ri), -np.inf)
+                    # One more than asked for, as the query itself may be among them, and all that tie with the last.
+                    least = np.partition(row, len(row) - k - 1)[len(row) - k - 1] if len(row) > k + 1 else -np.inf
+                    order = sorted((j for j in np.flatnonzero((row >= least) & (row > -np.inf)) if ri[j] != qi[i]), key=lambda j: (-row[j], ri[j]))[:k]
                     out += [(qi[i], ri[j], float(row[j])) for j in order]
                 yield pd.DataFrame(out, columns=["query_id", key, "similarity"])
 

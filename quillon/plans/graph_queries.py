@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.operators import directions, gaps, graph, search
-from quillon.operators import ensemble as en
 from quillon.operators.components import components
-from quillon.plans.hypothesis_queries import _HYPO, hypotheses
+from quillon.plans.hypothesis_queries import _HYPO, hypotheses, trials
 from quillon.plans.material_queries import TRIPLES, triples
 from quillon.plans.registry import Registry, typed
 from quillon.plans.text_queries import PAPERS, paper_pairs, papers
@@ -83,24 +82,23 @@ def gap_support(spark: SparkSession, folder: str) -> DataFrame:
     return gaps.support(m, "hypothesis_id").select("hypothesis_id", F.array_join("papers", "|").alias("papers"), F.size("papers").alias("n"))
 
 
-@registry.query("gap_score_rank", typed(f"""WITH {_HYPO}, {TRIPLES}, g AS (SELECT * FROM h WHERE hypothesis_type IN ('gap', 'gap_filling')), k AS (SELECT DISTINCT hypothesis_id, lower(unnest(keywords)) AS kw FROM g), t AS (SELECT lower(composition) AS comp, lower(replace(property_name, '_', ' ')) AS prop, property_value FROM t1),
-    c AS (SELECT hypothesis_id, count(*) AS n_comp, count(property_value) AS n_val FROM k JOIN t ON comp = kw GROUP BY hypothesis_id), e AS (SELECT a.hypothesis_id, count(*) AS n_exact FROM k a JOIN t ON comp = a.kw JOIN k b ON a.hypothesis_id = b.hypothesis_id AND b.kw = prop WHERE property_value IS NOT NULL GROUP BY a.hypothesis_id),
-    s AS (SELECT hypothesis_id, 2 AS p, least(coalesce(n_comp, 0), 10) AS c, least(coalesce(n_exact, 0), 8) AS x, least(coalesce(n_val, 0), 8) AS m FROM g LEFT JOIN c USING (hypothesis_id) LEFT JOIN e USING (hypothesis_id)),
-    f AS (SELECT hypothesis_id, least(1.0, 0.15 * p + 0.1 * c) AS evidence, CASE WHEN x > 0 THEN greatest(0.05, 0.2 - 0.05 * x) WHEN x + m = 0 THEN least(0.95, 0.55 + 0.08 * p) ELSE greatest(0.15, 0.65 - 0.12 * m) END AS novelty,
-        least(0.95, greatest(0.1, 0.3 + CASE WHEN c > 0 THEN 0.2 ELSE 0 END + 0.2 + CASE WHEN x + m <= 1 THEN 0.15 ELSE 0 END - CASE WHEN x > 0 THEN 0.1 ELSE 0 END)) AS feasibility, CASE WHEN x + m <= 1 THEN 'moderate' WHEN x + m <= 3 THEN 'conditional' ELSE 'weak' END AS review FROM s)
-    SELECT hypothesis_id, review, round(evidence, 6) AS evidence, round(novelty, 6) AS novelty, round(feasibility, 6) AS feasibility, round(0.5 * novelty + 0.3 * evidence + 0.2 * feasibility, 6) AS rank_score FROM f""", "DOUBLE", "evidence", "novelty", "feasibility", "rank_score"))
+def _gaps(spark: SparkSession, folder: str) -> DataFrame:
+    t = triples(spark, folder, "composition", "structure", "property_name", "property_value", "source_paper_id")
+    return gaps.records(hypotheses(spark, folder), t, papers(spark, folder, "title", "abstract"))
+
+
+@registry.query("gap_score_rank")
 def gap_score_rank(spark: SparkSession, folder: str) -> DataFrame:
-    """Gap hypotheses scored by the triples that speak for or against them; each has its two papers as support."""
-    g = hypotheses(spark, folder).where(F.col("hypothesis_type").isin("gap", "gap_filling"))
-    k = g.select("hypothesis_id", F.explode(F.transform("keywords", lambda w: F.lower(w))).alias("kw")).distinct()
-    t = triples(spark, folder, "composition", "property_name", "property_value").select(F.lower("composition").alias("kw"), F.lower(F.replace("property_name", F.lit("_"), F.lit(" "))).alias("prop"), "property_value")
-    met = k.join(t, "kw")
-    c = met.groupBy("hypothesis_id").agg(F.count("*").alias("n_comp"), F.count("property_value").alias("n_val"))
-    e = met.where("property_value is not null").join(k.withColumnRenamed("kw", "prop"), ["hypothesis_id", "prop"]).groupBy("hypothesis_id").agg(F.count("*").alias("n_exact"))
-    z = lambda col, most: F.least(F.coalesce(col, F.lit(0)), F.lit(most))
-    s = g.select("hypothesis_id").join(c, "hypothesis_id", "left").join(e, "hypothesis_id", "left").select("hypothesis_id", z("n_comp", 10).alias("c"), z("n_exact", 8).alias("x"), z("n_val", 8).alias("m"))
-    f = s.withColumns(gaps.scores(F.lit(2), F.col("c"), F.col("x"), F.lit(0), F.col("m"), F.col("c") > 0, F.lit(True)))
-    return f.select("hypothesis_id", F.when((F.col("review") == "strong"), "moderate").otherwise(F.col("review")).alias("review"), *[F.round(x, 6).alias(x) for x in ("evidence", "novelty", "feasibility")], F.round(0.5 * F.col("novelty") + 0.3 * F.col("evidence") + 0.2 * F.col("feasibility"), 6).alias("rank_score"))
+    """Gaps scored by the papers and triples that speak for or against them (tested on a small fixture)."""
+    return _gaps(spark, folder).select("gap_id", "review", "evidence", "novelty", "feasibility", "rank_score")
+
+
+@registry.query("gap_records")
+def gap_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct gaps with their evidence, chain and plan (tested on a small fixture)."""
+    g = gaps.distinct_gaps(_gaps(spark, folder))
+    flat = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["role"], x["paper_id"])), "|")
+    return g.select("gap_id", "gap_type", "description", flat("supporting").alias("supporting"), flat("counter_evidence").alias("counter_evidence"), F.coalesce(F.size("context"), F.lit(0)).alias("context"), "review", "why_not_known", "verification_plan", "rank_score")
 
 
 _PARTS = "0.25 * evidence + 0.2 * novelty + 0.2 * plausibility + 0.15 * falsifiability + 0.1 * synthesizability + 0.1 * database_gap"
@@ -128,7 +126,7 @@ def evolution_search(spark: SparkSession, folder: str) -> DataFrame:
 @registry.query("direction_state_replay")
 def direction_state_replay(spark: SparkSession, folder: str) -> DataFrame:
     """Directions of each hypothesis type after all trials in order (stateful; tested event by event)."""
-    t = en.trial(en.evaluate(hypotheses(spark, folder)))
+    t = trials(spark, folder)
     events = t.select(F.coalesce("hypothesis_type", F.lit("other")).alias("host"), "created_at", F.col("hypothesis_id").alias("source"), F.when(F.col("passed"), "support").otherwise("failure").alias("kind"), "keywords", "score", F.coalesce("novelty", F.lit(0.0)).alias("novelty"), F.coalesce("hypothesis_type", F.lit("other")).alias("label"))
     d = directions.replay(events, "host", ["created_at", "source"])
     return d.select("host", "direction_id", "label", F.round("confidence", 6).alias("confidence"), "support", "failures", "promising")

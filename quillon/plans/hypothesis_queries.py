@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.lexicons import sql_list
 from quillon.operators import ensemble as en
+from quillon.operators import statements as st
 from quillon.plans.registry import Registry, typed
 from quillon.plans.text_queries import PAPERS, papers
 from quillon.sources.tables import first_per_key, table
@@ -62,13 +63,27 @@ def _safe_sql(cols: list[str], mean: str, cons: str) -> str:
 _ALL = [f"e{i}" for i in range(1, 7)]
 _MEAN, _CONS = _fuse_sql(_ALL)
 _SUB = [_safe_sql(c, *_fuse_sql(c)) for c in ([f"e{en.OPERATORS.index(o) + 1}" for o in s] for s in en.SUBSETS)]
-_TRIAL = _EVAL + f""", tr AS (SELECT *, {_MEAN} AS raw_score, {_CONS} AS consistency FROM g), ts AS (SELECT *, {_safe_sql(_ALL, "raw_score", "consistency")} AS is_safe, CASE WHEN num THEN least(1.0, round(raw_score * 1.15, 4)) ELSE raw_score END AS score FROM tr),
-    tp AS (SELECT *, is_safe AND score >= 0.5 AS passed FROM ts)"""
+_MOVE = "trim(regexp_extract(low, 'from (.+?) to (.+?)(?:[,.;]|$)', {0}))"
+_TWICE = "len(list_filter(regexp_extract_all(low, '\\b(\\w{{2,20}}) {0} ', 1), lambda x: regexp_matches(low, '\\b' || x || ' {0} ' || x || '\\b'))) > 0"
+_BOUNDS = "[" + ", ".join(f"{{'n': '{n.replace(' ', '  ')}', 'a': {lo!r}::DOUBLE, 'b': {hi!r}::DOUBLE}}" for n, (lo, hi) in st.stated_bounds().items()) + "]"
+_GATES = f""", ga AS (SELECT *, lower(s) AS low, replace(lower(s), ' ', '  ') AS low2, t IN ('analogy', 'combination') AS pairwise, list_transform(k, lambda w: lower(w)) AS kl FROM g),
+    gm AS MATERIALIZED (SELECT hypothesis_id, low2, b FROM ga, (SELECT unnest({_BOUNDS}) AS b) WHERE contains(low2, b.n)),
+    gn AS MATERIALIZED (SELECT DISTINCT hypothesis_id FROM gm WHERE len(list_filter(flatten(list_transform(regexp_extract_all(low2, '(?s).{{0,50}}\\b' || b.n || '\\b.{{0,150}}'), lambda w: regexp_extract_all(w, '{st.NUMBER}', 1))), lambda v: v::DOUBLE < b.a OR v::DOUBLE > b.b)) > 0),
+    gb AS MATERIALIZED (SELECT *, (pairwise AND {_MOVE.format(1)} <> '' AND {_MOVE.format(1)} = {_MOVE.format(2)}) OR (pairwise AND {_TWICE.format("in")}) OR {_TWICE.format("and")} AS itself, hypothesis_id IN (SELECT hypothesis_id FROM gn) AS off FROM ga),
+    gc AS (SELECT *, itself OR (pairwise AND len(kl) >= 2 AND len(list_distinct(kl)) < 0.5 * len(kl)) OR regexp_matches(low, '{st.FRAGMENT}') OR regexp_matches(low, '\\(unknown\\)|unknown structure') OR regexp_matches(low, '\\bgeneral\\b.*≈|general property') OR (t = 'analogy' AND contains(low, 'transfer') AND NOT x) OR length(trim(s)) < 20 AS bad FROM gb)"""
+_TRIAL = _EVAL + _GATES + f""", tr AS (SELECT *, {_MEAN} AS raw_score, {_CONS} AS raw_consistency FROM gc), ts AS (SELECT *, {_safe_sql(_ALL, "raw_score", "raw_consistency")} AND NOT bad AS is_safe, CASE WHEN bad THEN 0.0 ELSE raw_consistency END AS consistency, CASE WHEN bad THEN 0.0 WHEN off THEN round(raw_score * 0.5, 6) WHEN num THEN least(1.0, round(raw_score * 1.15, 4)) ELSE raw_score END AS score FROM tr),
+    tp AS (SELECT *, is_safe AND NOT off AND score >= 0.5 AS passed FROM ts)"""
 _VERIFY = _TRIAL + f""", v0 AS (SELECT *, ({" + ".join(f"CASE WHEN is_safe AND score >= {t} THEN 1 ELSE 0 END" for t in en.THRESHOLDS)}) / 5.0 AS reproduce_rate, ({" + ".join(f"CASE WHEN {s} THEN 1 ELSE 0 END" for s in _SUB)}) / 3.0 AS cross_share FROM tp),
-    v1 AS (SELECT *, round(greatest(0, least(0.5 * reproduce_rate + 0.5 * cross_share - CASE WHEN score > 0 THEN 0.1 ELSE 0 END, CASE WHEN num THEN 9 ELSE 0.79 END)), 6) AS stability FROM v0),
+    v1 AS (SELECT *, CASE WHEN off OR itself THEN 0.0 ELSE round(greatest(0, least(0.5 * reproduce_rate + 0.5 * cross_share - CASE WHEN score > 0 THEN 0.1 ELSE 0 END, CASE WHEN num AND NOT list_contains(kl, 'unknown') AND NOT list_contains(kl, 'general') THEN 9 ELSE 0.79 END)), 6) END AS stability FROM v0),
     v2 AS (SELECT *, stability >= 0.55 AND reproduce_rate >= 0.6 AND cross_share > 0.999 AS discovery FROM v1), v AS (SELECT *, CASE WHEN NOT discovery THEN 'none' WHEN stability >= 0.8 THEN 'gold' WHEN stability >= 0.6 THEN 'silver' ELSE 'bronze' END AS level FROM v2)"""
 
 
+def trials(spark: SparkSession, folder: str) -> DataFrame:
+    """All hypotheses tried, with the gates of content and numbers before."""
+    h = st.content_violations(hypotheses(spark, folder))
+    return en.trial(en.evaluate(h.withColumn("number_violations", st.number_violations(F.col("statement")))))
+
+
 @registry.query("ensemble_scores", _EVAL + " SELECT hypothesis_id, " + ", ".join(f"round({e}, 6) AS {e}" for e in _ALL) + " FROM g")
 def ensemble_scores(spark: SparkSession, folder: str) -> DataFrame:
     """The six evaluators on every hypothesis."""
@@ -77,25 +92,25 @@ def ensemble_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 @registry.query("trial_results", _TRIAL + " SELECT hypothesis_id, score, consistency, is_safe, passed FROM tp")
 def trial_results(spark: SparkSession, folder: str) -> DataFrame:
-    return en.trial(en.evaluate(hypotheses(spark, folder))).select("hypothesis_id", "score", "consistency", "is_safe", "passed")
+    return trials(spark, folder).select("hypothesis_id", "score", "consistency", "is_safe", "passed")
 
 
 @registry.query("failure_diagnosis", _TRIAL + " SELECT w AS weakest, count(*) AS failures, round(avg(consistency), 6) AS mean_consistency FROM (SELECT *, (list_sort([" + ", ".join(f"{{'s': round({e}, 6), 'o': '{o}'}}" for e, o in zip(_ALL, en.OPERATORS)) + "]))[1].o AS w FROM tp WHERE NOT passed) GROUP BY w")
 def failure_diagnosis(spark: SparkSession, folder: str) -> DataFrame:
     """Failed trials by their weakest evaluator."""
-    t = en.trial(en.evaluate(hypotheses(spark, folder))).where("not passed")
+    t = trials(spark, folder).where("not passed")
     return t.groupBy("weakest").agg(F.count("*").alias("failures"), F.round(F.avg("consistency"), 6).alias("mean_consistency"))
 
 
 @registry.query("verification_reports", _VERIFY + " SELECT hypothesis_id, round(reproduce_rate, 6) AS reproduce_rate, round(cross_share, 6) AS cross_share, stability, discovery, level FROM v")
 def verification_reports(spark: SparkSession, folder: str) -> DataFrame:
-    v = en.verify(en.trial(en.evaluate(hypotheses(spark, folder))))
+    v = en.verify(trials(spark, folder))
     return v.select("hypothesis_id", F.round("reproduce_rate", 6).alias("reproduce_rate"), F.round("cross_share", 6).alias("cross_share"), "stability", "discovery", "level")
 
 
 @registry.query("discovery_stats", typed(_VERIFY + " SELECT count(*) AS verified, count_if(discovery) AS discoveries, count_if(level = 'gold') AS gold, count_if(level = 'silver') AS silver, count_if(level = 'bronze') AS bronze, round(avg(stability), 6) AS mean_stability, round(avg(reproduce_rate), 6) AS mean_reproduce, round(count_if(discovery) / count(*), 6) AS rate FROM v WHERE passed", "BIGINT", "discoveries", "gold", "silver", "bronze"))
 def discovery_stats(spark: SparkSession, folder: str) -> DataFrame:
-    v = en.verify(en.trial(en.evaluate(hypotheses(spark, folder)))).where("passed")
+    v = en.verify(trials(spark, folder)).where("passed")
     level = lambda x: F.count_if(F.col("level") == x).alias(x)
     return v.agg(F.count("*").alias("verified"), F.count_if("discovery").alias("discoveries"), level("gold"), level("silver"), level("bronze"), F.round(F.avg("stability"), 6).alias("mean_stability"), F.round(F.avg("reproduce_rate"), 6).alias("mean_reproduce"), F.round(F.count_if("discovery") / F.count("*"), 6).alias("rate"))
 
@@ -103,7 +118,7 @@ def discovery_stats(spark: SparkSession, folder: str) -> DataFrame:
 @registry.query("discoveries_ranked", _VERIFY + " SELECT hypothesis_id, stability, level, substring(s, 1, 120) AS statement FROM v WHERE discovery ORDER BY stability DESC, hypothesis_id LIMIT 50")
 def discoveries_ranked(spark: SparkSession, folder: str) -> DataFrame:
     """The 50 most stable discoveries."""
-    v = en.verify(en.trial(en.evaluate(hypotheses(spark, folder)))).where("discovery")
+    v = en.verify(trials(spark, folder)).where("discovery")
     return v.select("hypothesis_id", "stability", "level", F.substring(F.coalesce("statement", F.lit("")), 1, 120).alias("statement")).orderBy(F.desc("stability"), "hypothesis_id").limit(50)
 
 
@@ -111,7 +126,7 @@ def discoveries_ranked(spark: SparkSession, folder: str) -> DataFrame:
     round(greatest(0.3, avg(CASE WHEN (predicted >= 0.5) = passed THEN 1.0 ELSE 0 END)), 6) AS weight, round(sqrt(avg(power(predicted - CASE WHEN passed THEN 1.0 ELSE 0 END, 2))), 6) AS rmse FROM long GROUP BY operator""")
 def operator_calibration(spark: SparkSession, folder: str) -> DataFrame:
     """How often each evaluator alone agrees with the trial, and the weight that follows."""
-    t = en.trial(en.evaluate(hypotheses(spark, folder)))
+    t = trials(spark, folder)
     long = t.select("passed", F.explode(F.array(*[F.struct(F.lit(o).alias("operator"), F.col(e).alias("predicted")) for e, o in zip(_ALL, en.OPERATORS)])).alias("x")).select("passed", "x.*")
     return en.calibrate(long)
 
@@ -151,19 +166,19 @@ def novelty_confidence(spark: SparkSession, folder: str) -> DataFrame:
 
 @registry.query("knowledge_summary", _TRIAL + " SELECT CASE WHEN passed THEN 'validated' ELSE 'failed' END AS entry_type, count(*) AS entries, round(avg(score), 6) AS mean_score, round(avg(novelty), 6) AS mean_novelty, round(avg(consistency), 6) AS mean_consistency FROM tp GROUP BY passed")
 def knowledge_summary(spark: SparkSession, folder: str) -> DataFrame:
-    t = en.trial(en.evaluate(hypotheses(spark, folder)))
+    t = trials(spark, folder)
     return t.groupBy(F.when(F.col("passed"), "validated").otherwise("failed").alias("entry_type")).agg(F.count("*").alias("entries"), *[F.round(F.avg(c), 6).alias(f"mean_{c}") for c in ("score", "novelty", "consistency")])
 
 
 @registry.query("top_validated", _TRIAL + " SELECT hypothesis_id, round(0.6 * score + 0.4 * coalesce(novelty, 0), 6) AS rank_score FROM tp WHERE passed ORDER BY rank_score DESC, hypothesis_id LIMIT 20")
 def top_validated(spark: SparkSession, folder: str) -> DataFrame:
-    t = en.trial(en.evaluate(hypotheses(spark, folder))).where("passed")
+    t = trials(spark, folder).where("passed")
     return t.select("hypothesis_id", F.round(0.6 * F.col("score") + 0.4 * F.coalesce("novelty", F.lit(0.0)), 6).alias("rank_score")).orderBy(F.desc("rank_score"), "hypothesis_id").limit(20)
 
 
 @registry.query("failure_patterns", typed(_TRIAL + " SELECT t AS hypothesis_type, count(*) AS trials, count_if(NOT passed) AS failures, round(count_if(NOT passed) / count(*), 6) AS failure_rate, count_if(score < 0.3) AS low_scores FROM tp GROUP BY t", "BIGINT", "failures", "low_scores"))
 def failure_patterns(spark: SparkSession, folder: str) -> DataFrame:
-    t = en.trial(en.evaluate(hypotheses(spark, folder))).withColumn("hypothesis_type", F.coalesce("hypothesis_type", F.lit("other")))
+    t = trials(spark, folder).withColumn("hypothesis_type", F.coalesce("hypothesis_type", F.lit("other")))
     return t.groupBy("hypothesis_type").agg(F.count("*").alias("trials"), F.count_if(~F.col("passed")).alias("failures"), F.round(F.count_if(~F.col("passed")) / F.count("*"), 6).alias("failure_rate"), F.count_if(F.col("score") < 0.3).alias("low_scores"))
 
 
@@ -178,7 +193,7 @@ def keyword_index_search(spark: SparkSession, folder: str) -> DataFrame:
 @registry.query("gap_failure_clusters", _TRIAL + ", x AS (SELECT hypothesis_id, lower(unnest(k[1:3])) AS kw FROM tp WHERE NOT passed) SELECT kw, count(DISTINCT hypothesis_id) AS failures FROM x GROUP BY kw HAVING count(DISTINCT hypothesis_id) >= 3")
 def gap_failure_clusters(spark: SparkSession, folder: str) -> DataFrame:
     """Key words (first three of each) on which three hypotheses or more failed."""
-    t = en.trial(en.evaluate(hypotheses(spark, folder))).where("not passed")
+    t = trials(spark, folder).where("not passed")
     x = t.select("hypothesis_id", F.explode(F.slice(F.filter("keywords", lambda k: k.isNotNull()), 1, 3)).alias("k")).select("hypothesis_id", F.lower("k").alias("kw")).distinct()
     return x.groupBy("kw").agg(F.count("*").alias("failures")).where("failures >= 3")
 
@@ -186,6 +201,6 @@ def gap_failure_clusters(spark: SparkSession, folder: str) -> DataFrame:
 @registry.query("recent_per_type", _TRIAL + " SELECT hypothesis_id, t AS hypothesis_type, rn FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY created_at DESC, hypothesis_id) AS rn FROM tp WHERE NOT passed) WHERE rn <= 5")
 def recent_per_type(spark: SparkSession, folder: str) -> DataFrame:
     """The last five failures of each type."""
-    t = en.trial(en.evaluate(hypotheses(spark, folder))).where("not passed").withColumn("hypothesis_type", F.coalesce("hypothesis_type", F.lit("other")))
+    t = trials(spark, folder).where("not passed").withColumn("hypothesis_type", F.coalesce("hypothesis_type", F.lit("other")))
     w = Window.partitionBy("hypothesis_type").orderBy(F.desc("created_at"), "hypothesis_id")
     return t.withColumn("rn", F.row_number().over(w).cast("bigint")).where("rn <= 5").select("hypothesis_id", "hypothesis_type", "rn")

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from quillon.functions import units
 from quillon.functions.lexicons import sql_list
-from quillon.operators import gaps, statements, titles
-from quillon.plans.hypothesis_queries import _HYPO, _any, hypotheses
+from quillon.operators import gaps, generation, statements, titles
+from quillon.plans.hypothesis_queries import _HYPO, _TRIAL, _any, hypotheses, trials
 from quillon.operators.quantities import resolved
 from quillon.plans.material_queries import TRIPLES, property_forms, structure_forms, triples
 from quillon.plans.registry import Registry, typed
 from quillon.plans.text_queries import paper_pairs, papers, words_sql
-from quillon.sources.tables import table
+from quillon.sources.tables import first_per_key, table
 
 registry = Registry()
 
@@ -68,7 +68,7 @@ def search_queries(spark: SparkSession, folder: str) -> DataFrame:
 
 def paper_facts(spark: SparkSession, folder: str) -> DataFrame:
     """Triples of papers with a composition, by the entries that their properties and structures mean."""
-    t = triples(spark, folder, "source_paper_id", "property_name", "structure", "composition", "property_value").where("source_paper_id is not null and composition is not null")
+    t = triples(spark, folder, "source_paper_id", "property_name", "structure", "composition", "property_value", "property_unit").where("source_paper_id is not null and composition is not null")
     return resolved(resolved(t, "property_name", property_forms(spark, folder)), "structure", structure_forms(spark, folder))
 
 
@@ -84,6 +84,28 @@ def material_branches(spark: SparkSession, folder: str) -> DataFrame:
     return b.groupBy("branch").agg(F.count("*").alias("pairs"))
 
 
+@registry.query("general_hypotheses")
+def general_hypotheses(spark: SparkSession, folder: str) -> DataFrame:
+    """A hypothesis for each delivered pair of papers, by templates (tested case by case)."""
+    return generation.general(pairs_with_categories(spark, folder)).select("hypothesis_id", "pair_id", "hypothesis_type", "statement", "falsifiability", F.array_join("keywords", "|").alias("keywords"), "novelty", "confidence")
+
+
+@registry.query("material_hypotheses")
+def material_hypotheses(spark: SparkSession, folder: str) -> DataFrame:
+    """A hypothesis for each delivered pair, with a predicted interval where the triples of both papers give one (tested case by case)."""
+    g = generation.material(pairs_with_categories(spark, folder), paper_facts(spark, folder))
+    return g.select("hypothesis_id", "pair_id", "hypothesis_type", "statement", "low", "high", "unit", "pending", "fallback", "known_principle", "novelty", "confidence")
+
+
+def pairs_with_categories(spark: SparkSession, folder: str) -> DataFrame:
+    cols = [f"paper_{s}_{c}" for s in "ab" for c in ("id", "title", "keywords", "abstract")]
+    pp = paper_pairs(spark, folder, *cols, "similarity", "cross_domain", "pair_type", "bridge_keywords", "connection_reason")
+    c = papers(spark, folder, "categories").select("paper_id", F.get("categories", F.lit(0)).alias("c"))
+    for s in "ab":
+        pp = pp.join(c.select(F.col("paper_id").alias(f"paper_{s}_id"), F.col("c").alias(f"category_{s}")), f"paper_{s}_id", "left")
+    return pp
+
+
 @registry.query("template_statements")
 def template_statements(spark: SparkSession, folder: str) -> DataFrame:
     """A statement for each pair with bridge words, from the template that a hash of the pair chooses (tested slot by slot)."""
@@ -122,12 +144,13 @@ def unit_compatibility(spark: SparkSession, folder: str) -> DataFrame:
     return t.join(known, ["u", "common_unit"], "left").groupBy("property_name").agg(F.count("*").alias("triples"), F.count("fits").alias("fitting"))
 
 
-@registry.query("hypothesis_trial_join", typed(f"WITH {_HYPO}, t AS (SELECT hypothesis_id, novelty >= 0.5 AS passed FROM h) SELECT h.hypothesis_type, count(*) AS hypotheses, count_if(t.passed) AS passed FROM h JOIN t USING (hypothesis_id) GROUP BY h.hypothesis_type", "BIGINT", "passed"))
+@registry.query("hypothesis_trial_join", typed(_TRIAL + " SELECT t AS hypothesis_type, count(*) AS hypotheses, count_if(passed) AS passed, round(avg(score), 6) AS mean_score FROM tp GROUP BY t", "BIGINT", "passed"))
 def hypothesis_trial_join(spark: SparkSession, folder: str) -> DataFrame:
-    """Hypotheses met with their verdicts by id."""
-    h = hypotheses(spark, folder)
-    verdicts = h.select("hypothesis_id", (F.col("novelty") >= 0.5).alias("passed"))
-    return h.select("hypothesis_id", "hypothesis_type").join(verdicts, "hypothesis_id").groupBy("hypothesis_type").agg(F.count("*").alias("hypotheses"), F.count_if("passed").alias("passed"))
+    """Hypotheses met with their trials by id: how many of each type pass, and their mean score."""
+    verdicts = trials(spark, folder).select("hypothesis_id", "passed", "score")
+    h = table(spark, folder, "hypotheses", "hypothesis_id", "hypothesis_type", "created_at")
+    h = first_per_key(h, "hypothesis_id", "created_at").select("hypothesis_id", F.coalesce("hypothesis_type", F.lit("other")).alias("hypothesis_type"))
+    return h.join(verdicts, "hypothesis_id").groupBy("hypothesis_type").agg(F.count("*").alias("hypotheses"), F.count_if("passed").alias("passed"), F.round(F.avg("score"), 6).alias("mean_score"))
 
 
 @registry.query("last_pairs_ratio", typed("""WITH pp AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY paired_at) rn FROM paper_pairs) WHERE rn = 1), l AS (SELECT * FROM pp ORDER BY paired_at DESC, pair_id LIMIT 100)
