@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from quillon.functions.names import AFTER, BEFORE, UNMATCHED, NameIndex, readings, simplify
 
+MOST_ENTRIES = 100_000  # of a reference list, which the driver and each worker hold
+
 _FRAME = {w for phrase in (*BEFORE, *AFTER) for w in phrase.split(" ")}
 
 
@@ -74,12 +76,15 @@ class Mentions:
 def forms_of(terms: DataFrame, name: str, *others: str) -> list[tuple[str, str]]:
     """(entry, surface form) from the name, single-valued and array columns of a reference table.
 
-    The reference list is held by the driver and by each worker: it must be of bounded
-    size (here tens of entries). Null names are left out; ties between entries that
-    share a form go to the least name.
+    The reference list is held by the driver and by each worker: ``ValueError`` beyond
+    MOST_ENTRIES entries. Null names are left out; ties between entries that share a form
+    go to the least name.
     """
     out: list[tuple[str, str]] = []
-    for row in terms.select(name, *others).where(F.col(name).isNotNull()).orderBy(name).collect():
+    rows = terms.select(name, *others).where(F.col(name).isNotNull()).orderBy(name).limit(MOST_ENTRIES + 1).collect()
+    if len(rows) > MOST_ENTRIES:
+        raise ValueError(f"a reference list of more than {MOST_ENTRIES} entries")
+    for row in rows:
         out.append((row[0], row[0]))
         for v in row[1:]:
             out += [(row[0], x) for x in ([v] if isinstance(v, str) else (v or [])) if x]

@@ -21,9 +21,12 @@ from pyspark.sql import functions as F
 
 # Letters of other alphabets that look like Latin ones, as (alphabet, Latin).
 LETTERS = [
-    ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧο", "ABEZHIKMNOPTYXo"),  # Greek
+    ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονρϲϳϹͿ", "ABEZHIKMNOPTYXovpcjCJ"),  # Greek
     ("АВЕЅІЈКМНОРСТУХаесорхуіјѕһԁԛԝӏ", "ABESIJKMHOPCTYXaecopxyijshdqwl"),  # Cyrillic
-    ("օոսհ", "onuh"),  # Armenian
+    ("օոսհցզՕՏԼ", "onuhgqOSL"),  # Armenian
+    ("ᎪᏴᏟᎠᎬᎻᎫᏦᏞᎷᏢᏒᏚᎢᏙᏔᏃ", "ABCDEHJKLMPRSTVWZ"),  # Cherokee
+    ("ꓮꓐꓚꓓꓰꓝꓖꓧꓲꓙꓗꓡꓟꓠꓳꓑꓣꓢꓔꓴꓦꓪꓫꓬꓜ", "ABCDEFGHIJKLMNOPRSTUVWXYZ"),  # Lisu
+    ("ⲂⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬⲟⲣⲥ", "BHIKMNOPCTYXopc"),  # Coptic
     ("ɡɑ", "ga"),  # phonetic
 ]
 # Signs with several codes, as strings that look alike.

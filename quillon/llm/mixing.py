@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 MAX_CELLS = 1_000_000  # source x language x topic; more means that a column is no category
+FEW_CELLS = 50_000  # cells that are broadcast to the documents
 BUCKET = 20_000  # documents in a bucket of the systematic sample, about
 
 
@@ -96,7 +97,8 @@ def mixture(sized: DataFrame, targets: DataFrame, *, key: str = "doc_id", tokens
     for c in cells:
         count[c["s"]] = count.get(c["s"], 0) + c["docs"]
     rated = spark.createDataFrame([(c["s"], c["l"], c["t"], r, -(-count[c["s"]] // BUCKET)) for c, r in zip(cells, rates)], "s string, l string, t string, rate double, buckets long")
-    at = docs.join(F.broadcast(rated), ["s", "l", "t"]).withColumn("h", F.xxhash64("_k", F.lit(seed)))
+    # A cell has about a hundred bytes: more of them than a broadcast should hold are met by a shuffle.
+    at = docs.join(F.broadcast(rated) if len(cells) <= FEW_CELLS else rated.hint("merge"), ["s", "l", "t"]).withColumn("h", F.xxhash64("_k", F.lit(seed)))
     at = at.withColumn("bucket", F.pmod("h", F.col("buckets")))
     # A large source is spread over buckets; within one, size order makes the sample follow the sizes.
     w = Window.partitionBy("s", "bucket").orderBy(F.desc("n"), "h", "_k").rowsBetween(Window.unboundedPreceding, Window.currentRow)

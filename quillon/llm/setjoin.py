@@ -79,30 +79,28 @@ def similar_classes(classes: DataFrame, threshold: float, *, least: int = 1, sma
     # A pair meets only under the overlap that its two sizes ask for, so each meeting is a match.
     num, den = t.numerator, t.numerator + t.denominator
     need = F.ceil((F.lit(num) * (F.col("size_a") + F.col("size_b")) / den).cast("decimal(20,9)")).cast("int")
-    met = a.join(b, ["c", "sig"]).where((F.col("id_a") < F.col("id_b")) & (need == F.col("c"))).select("id_a", "id_b")
+    met = a.join(b.hint("merge"), ["c", "sig"]).where((F.col("id_a") < F.col("id_b")) & (need == F.col("c"))).select("id_a", "id_b")
 
     # Large sets: lists of the tokens in the part of each set that a match must touch, rarest first.
     reach = t * (small + 1)
     floor = -(-reach.numerator // reach.denominator)
     near = sized.where(F.col("size") >= floor)
-    has_large = near.where(F.col("size") > small)
-    if not has_large.isEmpty():
-        tokens = near.select("id", "size", F.explode("set").alias("token"))
-        df = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-        ranked = tokens.join(df, "token").groupBy("id", "size").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ts"))
-        # Tokens that no other set has cannot be shared; they stand first and count as touched.
-        kept = F.col("size") - F.ceil((F.lit(t.numerator) * F.col("size") / t.denominator).cast("decimal(20,9)")).cast("int") + 1 - (F.col("size") - F.size("ts"))
-        lists = ranked.select("id", "size", F.explode(F.slice("ts", F.lit(1), F.greatest(kept, F.lit(0)))).alias("x")).select("id", "size", F.col("x.token").alias("token"))
-        p = lists.where(F.col("size") > small).select(F.col("id").alias("id_x"), F.col("size").alias("size_x"), "token")
-        q = lists.select(F.col("id").alias("id_y"), F.col("size").alias("size_y"), "token")
-        fit = (F.col("size_y") * t.denominator >= F.col("size_x") * t.numerator) & (F.col("size_x") * t.denominator >= F.col("size_y") * t.numerator)
-        scanned = p.join(q, "token").where((F.col("id_x") != F.col("id_y")) & fit).select(F.least("id_x", "id_y").alias("id_a"), F.greatest("id_x", "id_y").alias("id_b"))
-        met = met.unionByName(scanned)
+    tokens = near.select("id", "size", F.explode("set").alias("token"))
+    df = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = tokens.join(df, "token").groupBy("id", "size").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ts"))
+    # Tokens that no other set has cannot be shared; they stand first and count as touched.
+    kept = F.col("size") - F.ceil((F.lit(t.numerator) * F.col("size") / t.denominator).cast("decimal(20,9)")).cast("int") + 1 - (F.col("size") - F.size("ts"))
+    lists = ranked.select("id", "size", F.explode(F.slice("ts", F.lit(1), F.greatest(kept, F.lit(0)))).alias("x")).select("id", "size", F.col("x.token").alias("token"))
+    p = lists.where(F.col("size") > small).select(F.col("id").alias("id_x"), F.col("size").alias("size_x"), "token")
+    q = lists.select(F.col("id").alias("id_y"), F.col("size").alias("size_y"), "token")
+    fit = (F.col("size_y") * t.denominator >= F.col("size_x") * t.numerator) & (F.col("size_x") * t.denominator >= F.col("size_y") * t.numerator)
+    scanned = p.join(q.hint("merge"), "token").where((F.col("id_x") != F.col("id_y")) & fit).select(F.least("id_x", "id_y").alias("id_a"), F.greatest("id_x", "id_y").alias("id_b"))
+    met = met.unionByName(scanned)
     met = met.distinct()
     sa, sb = sized.select(F.col("id").alias("id_a"), F.col("set").alias("set_a")), sized.select(F.col("id").alias("id_b"), F.col("set").alias("set_b"))
     overlap = F.size(F.array_intersect("set_a", "set_b"))
     union = F.size("set_a") + F.size("set_b") - F.col("overlap")
-    both = met.join(sa, "id_a").join(sb, "id_b").withColumn("overlap", overlap)
+    both = met.join(sa.hint("merge"), "id_a").join(sb.hint("merge"), "id_b").withColumn("overlap", overlap)
     return both.where(F.col("overlap") * t.denominator >= union * t.numerator).select("id_a", "id_b", "overlap", (F.col("overlap") / union).alias("similarity"))
 
 
@@ -135,7 +133,7 @@ def overlapping_pairs(records: DataFrame, threshold: float, *, least: int = 1, a
     several = members.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("id_a"))
     links = links.unionByName(same.join(several, "id_a", "left_semi"))
     a, b = members.select(F.col("id").alias("id_a"), F.col("kind").alias("kind_a"), F.col("key").alias("x")), members.select(F.col("id").alias("id_b"), F.col("kind").alias("kind_b"), F.col("key").alias("y"))
-    met = links.join(a, "id_a").join(b, "id_b").where((F.col("id_a") != F.col("id_b")) | (F.col("x") < F.col("y")))
+    met = links.join(a.hint("merge"), "id_a").join(b.hint("merge"), "id_b").where((F.col("id_a") != F.col("id_b")) | (F.col("x") < F.col("y")))
     for kind in apart:
         met = met.where(~((F.col("kind_a") == kind) & (F.col("kind_b") == kind)))
     return met.where("x <> y").select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b"), "overlap", "similarity").distinct()
