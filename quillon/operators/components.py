@@ -7,21 +7,18 @@ from pyspark.sql import functions as F
 
 from quillon.session import cut
 
-MAX_ROUNDS = 50
-
-
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of ``edges``; the component is its least node.
 
     Each round replaces the edges by stars around least neighbours; the number of
     rounds grows with the logarithm of the longest path. Edges with a null end and
     loops are left out, repeated edges count once. Edges are cut from their lineage each
-    round, in the shared checkpoint folder. Raises ``RuntimeError`` beyond MAX_ROUNDS.
+    round, in the shared checkpoint folder, until nothing changes.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     e = cut(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     last = None
-    for _ in range(MAX_ROUNDS):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # Large star: neighbours above a node go to the least node around it.
@@ -34,4 +31,3 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if state == last:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
         last = state
-    raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
