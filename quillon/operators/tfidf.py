@@ -32,10 +32,39 @@ def vocabulary(counts: DataFrame, n_docs: int, *, max_features: int = 2000, max_
 
     At most ``max_features`` rows, so the table may be broadcast.
     """
+    return vocabulary_of(counts.groupBy("token").agg(F.count("*").alias("df")), n_docs, max_features=max_features, max_df=max_df)
+
+
+def _idf(n_docs: int):
+    return F.log((1 + F.lit(float(n_docs))) / (1 + F.col("df"))) + 1
+
+
+def vocabulary_of(df: DataFrame, n_docs: int, *, max_features: int = 2000, max_df: float = 0.98) -> DataFrame:
+    """As ``vocabulary``, from the document frequencies (token, df)."""
     least = max(1, n_docs // 100)
     most = float(n_docs) if n_docs < 20 else max_df * n_docs
-    df = counts.groupBy("token").agg(F.count("*").alias("df")).where((F.col("df") >= least) & (F.col("df") <= most))
-    return df.orderBy(F.desc("df"), "token").limit(max_features).withColumn("idf", F.log((1 + F.lit(float(n_docs))) / (1 + F.col("df"))) + 1)
+    return df.where((F.col("df") >= least) & (F.col("df") <= most)).orderBy(F.desc("df"), "token").limit(max_features).withColumn("idf", _idf(n_docs))
+
+
+def grown_frequencies(known: DataFrame, counts: DataFrame) -> DataFrame:
+    """(token, df): document frequencies of a corpus to which the documents of ``counts`` (key, token, tf) are added; no token is forgotten."""
+    new = counts.groupBy("token").agg(F.count("*").alias("df"))
+    return known.select("token", "df").unionByName(new).groupBy("token").agg(F.sum("df").alias("df"))
+
+
+def grown_vocabulary(known: DataFrame, df: DataFrame, n_docs: int, *, max_features: int = 2000) -> DataFrame:
+    """(token, df, idf) after the corpus has grown to ``n_docs``: the tokens of ``known`` with their new frequencies, and new ones within the limits only if all of them still fit under ``max_features``."""
+    rest = vocabulary_of(df, n_docs, max_features=2**31 - 1)
+    old = df.join(known.select("token"), "token", "left_semi").withColumn("idf", _idf(n_docs))
+    new = rest.join(known.select("token"), "token", "left_anti")
+    return old.unionByName(new) if old.count() + new.count() <= max_features else old
+
+
+def hashed_vectors(docs: DataFrame, key: str, text: str, size: int = 128) -> DataFrame:
+    """(key, token, w): vectors of unit length over ``size`` buckets of hashed tokens, for texts before any vocabulary is known; texts without tokens have none."""
+    at = term_counts(docs, key, text).select(key, F.pmod(F.xxhash64("token"), F.lit(size)).cast("int").alias("token"), "tf").groupBy(key, "token").agg(F.sum("tf").cast("double").alias("w"))
+    norm = at.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return at.join(norm, key).select(key, "token", (F.col("w") / F.col("norm")).alias("w"))
 
 
 def vectors(counts: DataFrame, vocab: DataFrame, key: str) -> DataFrame:

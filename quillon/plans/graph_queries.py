@@ -34,6 +34,14 @@ def graph_summary(spark: SparkSession, folder: str) -> DataFrame:
     return _graph(spark, folder).groupBy("relation").agg(F.count("*").alias("edges"), F.count_distinct("src").alias("sources"), F.count_distinct("dst").alias("targets"))
 
 
+@registry.query("graph_nodes", f"WITH {_EDGES}, n AS (SELECT src AS node, CASE relation WHEN 'relates_to' THEN 'paper' ELSE 'hypothesis' END AS kind FROM edges UNION SELECT dst, CASE relation WHEN 'derives_from' THEN 'paper' ELSE 'concept' END FROM edges) SELECT kind, count(*) AS nodes FROM n GROUP BY kind")
+def graph_nodes(spark: SparkSession, folder: str) -> DataFrame:
+    """Nodes of each kind that an edge has."""
+    e = _graph(spark, folder)
+    n = e.select(F.col("src").alias("node"), F.when(F.col("relation") == "relates_to", "paper").otherwise("hypothesis").alias("kind")).unionByName(e.select(F.col("dst").alias("node"), F.when(F.col("relation") == "derives_from", "paper").otherwise("concept").alias("kind")))
+    return n.distinct().groupBy("kind").agg(F.count("*").alias("nodes"))
+
+
 @registry.query("graph_degree", f"WITH {_EDGES}, b AS (SELECT DISTINCT * FROM (SELECT src AS node, dst AS near FROM edges UNION ALL SELECT dst, src FROM edges)) SELECT node, count(*) AS degree FROM b GROUP BY node ORDER BY degree DESC, node LIMIT 100")
 def graph_degree(spark: SparkSession, folder: str) -> DataFrame:
     """The hundred nodes with most neighbours."""
@@ -74,7 +82,16 @@ def graph_components(spark: SparkSession, folder: str) -> DataFrame:
     return c.groupBy("component").agg(F.count("*").alias("papers"))
 
 
-@registry.query("gap_support")
+_BEFORE = "CASE WHEN regexp_matches(k, '^[\\p{L}\\p{N}]') THEN '(?:^|[^\\p{L}\\p{N}.]|(?:^|[^\\p{L}\\p{N}])\\.)' ELSE '' END"
+_AFTER = "CASE WHEN regexp_matches(k, '[\\p{L}\\p{N}]$') THEN '(?:$|[^\\p{L}\\p{N}.]|\\.(?:$|[^\\p{L}\\p{N}]))' ELSE '' END"
+
+
+@registry.query("gap_support", f"""WITH {_HYPO}, kw AS (SELECT DISTINCT hypothesis_id, trim(lower(k)) AS k FROM (SELECT hypothesis_id, unnest(keywords) AS k FROM h WHERE hypothesis_type IN ('gap', 'gap_filling')) WHERE k IS NOT NULL AND trim(lower(k)) <> ''),
+    d AS MATERIALIZED (SELECT paper_id, t, regexp_extract_all(t, '{gaps.WORD}') AS ws FROM (SELECT paper_id, lower(coalesce(title, '') || ' ' || coalesce(abstract, '')) AS t FROM papers1)),
+    u AS (SELECT DISTINCT k FROM kw), c AS MATERIALIZED (SELECT k, paper_id, t, ws FROM u, d WHERE contains(t, k)),
+    m AS (SELECT k, paper_id FROM c WHERE CASE WHEN regexp_full_match(k, '{gaps.WORD}') THEN list_contains(ws, k) ELSE regexp_matches(k, '[\\p{{L}}\\p{{N}}]') AND regexp_matches(t, {_BEFORE} || regexp_escape(k) || {_AFTER}) END),
+    n AS (SELECT hypothesis_id, paper_id, count(*) AS hits FROM kw JOIN m USING (k) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY hypothesis_id ORDER BY hits DESC, paper_id) AS rn FROM n WHERE hits >= 2)
+    SELECT hypothesis_id, string_agg(paper_id, '|' ORDER BY rn) AS papers, CAST(count(*) AS INTEGER) AS n FROM r WHERE rn <= 5 GROUP BY hypothesis_id""")
 def gap_support(spark: SparkSession, folder: str) -> DataFrame:
     """For each gap hypothesis up to five papers that hold two of its key words or more (tested against brute force)."""
     h = hypotheses(spark, folder).where(F.col("hypothesis_type").isin("gap", "gap_filling"))

@@ -182,6 +182,32 @@ def failure_patterns(spark: SparkSession, folder: str) -> DataFrame:
     return t.groupBy("hypothesis_type").agg(F.count("*").alias("trials"), F.count_if(~F.col("passed")).alias("failures"), F.round(F.count_if(~F.col("passed")) / F.count("*"), 6).alias("failure_rate"), F.count_if(F.col("score") < 0.3).alias("low_scores"))
 
 
+@registry.query("knowledge_keywords", _TRIAL + ", kw AS (SELECT hypothesis_id, passed, score, trim(lower(unnest(k))) AS word FROM tp) SELECT word, count(DISTINCT hypothesis_id) AS entries, count(DISTINCT CASE WHEN passed THEN hypothesis_id END) AS validated FROM kw WHERE word <> '' GROUP BY word ORDER BY entries DESC, word LIMIT 10")
+def knowledge_keywords(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten key words with most entries, and how many of these are validated."""
+    kw = trials(spark, folder).select("hypothesis_id", "passed", F.explode(F.transform("keywords", lambda w: F.trim(F.lower(w)))).alias("word")).where("word <> ''").distinct()
+    return kw.groupBy("word").agg(F.count("*").alias("entries"), F.count_if("passed").alias("validated")).orderBy(F.desc("entries"), "word").limit(10)
+
+
+@registry.query("failure_learnings", _TRIAL + ", lo AS (SELECT hypothesis_id, trim(lower(unnest(k))) AS word FROM tp WHERE score < 0.3) SELECT word, count(DISTINCT hypothesis_id) AS low_scores FROM lo WHERE word <> '' GROUP BY word ORDER BY low_scores DESC, word LIMIT 5")
+def failure_learnings(spark: SparkSession, folder: str) -> DataFrame:
+    """The five key words that most low-scored hypotheses have."""
+    kw = trials(spark, folder).where("score < 0.3").select("hypothesis_id", F.explode(F.transform("keywords", lambda w: F.trim(F.lower(w)))).alias("word")).where("word <> ''").distinct()
+    return kw.groupBy("word").agg(F.count("*").alias("low_scores")).orderBy(F.desc("low_scores"), "word").limit(5)
+
+
+@registry.query("failures_by_pair_type", typed(_TRIAL + """, pt AS (SELECT least(paper_a_id, paper_b_id) AS a, greatest(paper_a_id, paper_b_id) AS b, min(pair_type) AS pair_type FROM paper_pairs WHERE paper_a_id IS NOT NULL AND paper_b_id IS NOT NULL GROUP BY ALL), ids AS (SELECT hypothesis_id, paper_a_id, paper_b_id FROM h)
+    SELECT coalesce(pair_type, '(none)') AS pair_type, count(*) AS trials, count_if(NOT passed) AS failures, round(avg(score), 6) AS mean_score FROM tp JOIN ids USING (hypothesis_id) LEFT JOIN pt ON a = least(paper_a_id, paper_b_id) AND b = greatest(paper_a_id, paper_b_id) AND paper_a_id IS NOT NULL AND paper_b_id IS NOT NULL GROUP BY 1""", "BIGINT", "failures"))
+def failures_by_pair_type(spark: SparkSession, folder: str) -> DataFrame:
+    """Trials by the type of the pair that the two papers of a hypothesis were delivered as, either way round."""
+    ends = lambda: (F.least("paper_a_id", "paper_b_id").alias("a"), F.greatest("paper_a_id", "paper_b_id").alias("b"))
+    both = F.col("paper_a_id").isNotNull() & F.col("paper_b_id").isNotNull()
+    pt = table(spark, folder, "paper_pairs", "paper_a_id", "paper_b_id", "pair_type").where(both).select(*ends(), "pair_type").groupBy("a", "b").agg(F.min("pair_type").alias("pair_type"))
+    t = trials(spark, folder).select("passed", "score", F.when(both, F.least("paper_a_id", "paper_b_id")).alias("a"), F.when(both, F.greatest("paper_a_id", "paper_b_id")).alias("b"))
+    j = t.join(pt, ["a", "b"], "left").withColumn("pair_type", F.coalesce("pair_type", F.lit("(none)")))
+    return j.groupBy("pair_type").agg(F.count("*").alias("trials"), F.count_if(~F.col("passed")).alias("failures"), F.round(F.avg("score"), 6).alias("mean_score"))
+
+
 @registry.query("keyword_index_search", f"WITH {_HYPO}, ix AS (SELECT DISTINCT hypothesis_id, lower(unnest(keywords)) AS k FROM h) SELECT hypothesis_id, count(*) AS hits FROM ix WHERE contains(k, 'conductivity') OR contains('conductivity', k) GROUP BY hypothesis_id")
 def keyword_index_search(spark: SparkSession, folder: str) -> DataFrame:
     """Entries of the inverted key-word index that hold a word, or that a word holds."""

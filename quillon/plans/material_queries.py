@@ -46,6 +46,13 @@ def triple_property_counts(spark: SparkSession, folder: str) -> DataFrame:
     return t.groupBy("property_name").agg(F.count("*").alias("triples"), F.count("property_value").alias("with_value"), F.count_distinct("composition").alias("compositions")).orderBy(F.desc("triples"), "property_name").limit(10)
 
 
+@registry.query("triple_structure_counts", f"WITH {TRIPLES} SELECT structure, count(*) AS triples, count(DISTINCT composition) AS compositions, count(DISTINCT property_name) AS properties FROM t1 WHERE structure IS NOT NULL AND structure <> '' GROUP BY structure ORDER BY triples DESC, structure LIMIT 10")
+def triple_structure_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten most frequent structures."""
+    t = triples(spark, folder, "structure", "composition", "property_name").where("structure is not null and structure <> ''")
+    return t.groupBy("structure").agg(F.count("*").alias("triples"), F.count_distinct("composition").alias("compositions"), F.count_distinct("property_name").alias("properties")).orderBy(F.desc("triples"), "structure").limit(10)
+
+
 @registry.query("triple_dedup_first", f"WITH {TRIPLES} SELECT composition, structure, property_name, min(triple_id) AS triple_id, count(*) AS n FROM t1 GROUP BY ALL")
 def triple_dedup_first(spark: SparkSession, folder: str) -> DataFrame:
     """The first triple of each composition, structure and property."""

@@ -73,6 +73,33 @@ def from_atom(pages: DataFrame, body: str = "body") -> DataFrame:
     return _conform(out)
 
 
+READERS = {"openalex": from_openalex, "sciverse": from_sciverse, "arxiv": from_atom}
+
+
+def collected(pages: DataFrame, mode: str, corpus: DataFrame | None = None, *, size: int = 20, cursor: int = 0) -> DataFrame:
+    """Papers of saved ``pages`` (source, body) by ``mode``: one source, 'all' of them, or 'offline'.
+
+    Each id counts once. Where the pages give no paper, and in the mode 'offline', the next
+    ``size`` papers of the built-in ``corpus`` stand in, if there is one, tagged as such.
+    Raises ``ValueError`` for a mode that is none.
+    """
+    if mode not in (*READERS, "all", "offline"):
+        raise ValueError(f"unknown mode: {mode!r}")
+    wanted = [] if mode == "offline" else list(READERS) if mode == "all" else [mode]
+    found = None
+    for source in wanted:
+        part = READERS[source](pages.where(F.col("source") == source))
+        found = part if found is None else found.unionByName(part)
+    if found is not None:
+        found = found.dropDuplicates(["paper_id"])
+        if corpus is None or not found.isEmpty():
+            return found
+    if corpus is None:
+        raise ValueError("the mode 'offline' needs a corpus")
+    batch = offline_batch(corpus, size, cursor)
+    return batch if mode == "offline" else batch.withColumn("data_source", F.lit("offline_fallback"))
+
+
 def offline_batch(corpus: DataFrame, size: int, cursor: int = 0, seed: int = 0) -> DataFrame:
     """Rows ``cursor`` to ``cursor + size`` of a seeded permutation of a built-in corpus, tagged offline.
 
