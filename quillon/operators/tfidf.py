@@ -147,8 +147,9 @@ def _all(classes: DataFrame, least: float, most: int) -> DataFrame:
     """(a, b, similarity) with similarity >= ``least``, by products of blocks; only the ``most`` best of a product leave it."""
     parts = max(1, -(-classes.count() // BLOCK))
     blocks = classes.withColumn("p", F.pmod(F.xxhash64("num"), F.lit(parts)).cast("int")).groupBy("p").agg(F.collect_list(F.struct("num", "head", "v")).alias("rows"))
-    x, y = blocks.select(F.col("p").alias("pa"), F.col("rows").alias("ra")), blocks.select(F.col("p").alias("pb"), F.col("rows").alias("rb"))
-    met = x.repartition(max(1, min(parts, 200)), "pa").join(y, F.col("pa") <= F.col("pb")).select("ra", "rb")
+    # Every block goes to itself and the later ones by a shuffle: an equi-join, nothing is broadcast.
+    x, y = blocks.select(F.col("rows").alias("ra"), F.explode(F.sequence("p", F.lit(parts - 1))).alias("pb")), blocks.select(F.col("p").alias("pb"), F.col("rows").alias("rb"))
+    met = x.join(y.hint("merge"), "pb").select("ra", "rb")
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
