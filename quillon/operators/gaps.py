@@ -30,23 +30,48 @@ def _holds(text: Column, k: Column) -> Column:
     return F.contains(text, k) & F.regexp_like(text, F.concat(before, F.lit(r"\Q"), k, F.lit(r"\E"), after))
 
 
+LONGEST = 6  # words by which a key word is met; what a longer one has beyond them is looked for in the text
+FEW = 200_000  # key words (a hash and a short text each) that are broadcast to the texts; more are met by a shuffle
+
+
+def _grams(words: Column, gaps_: Column, n: int) -> Column:
+    """Hashes of all runs of ``n`` words with what stands between them."""
+    parts = lambda i: [x for j in range(n) for x in ([F.get(words, i + j)] if j == 0 else [F.get(gaps_, i + j), F.get(words, i + j)])]
+    at = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.xxhash64(F.concat(*parts(i))))
+
+
 def mentions(needles: DataFrame, key: str, words: str, papers: DataFrame) -> DataFrame:
     """(key, paper_id, hits): how many of its key words each paper's title or abstract holds, as whole words or phrases.
 
-    A key word meets papers by its rarest word, an equi-join on words, and is then looked
-    for as a whole; nothing is compared with every paper. ``hits`` counts key words. One
-    without ASCII letters and digits meets by other ones; one of signs alone meets nothing.
+    Every text gives out its runs of words, with the signs between them, in the lengths
+    that key words have, and key words meet the runs that equal them; texts are not
+    moved, nor compared with every key word. A key word with signs at its ends, or of more than
+    LONGEST words, is then looked for as a whole in the texts that it met. ``hits``
+    counts key words. One without ASCII letters and digits meets texts by its other
+    letters; one of signs alone meets nothing.
     """
     text = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("abstract", F.lit(""))))
     docs = papers.select("paper_id", text.alias("_t"))
-    tokens = docs.select("paper_id", F.explode(F.concat(_words(F.col("_t")), _foreign(F.col("_t")))).alias("w"))
-    k = needles.select(F.col(key).alias("_key"), F.explode(words).alias("k")).where("k is not null").select("_key", F.trim(F.lower("k")).alias("k")).where("k <> ''").distinct()
-    phrases = k.select("k").distinct().select("k", F.explode(F.when(F.col("k").rlike("[a-z0-9]"), _words(F.col("k"))).otherwise(_foreign(F.col("k")))).alias("w"))
-    df = tokens.join(phrases.select("w").distinct(), "w", "left_semi").groupBy("w").agg(F.count("*").alias("df"))
-    rarest = phrases.join(df, "w").groupBy("k").agg(F.min_by("w", F.struct("df", "w")).alias("w"))
-    met = rarest.join(tokens, "w").select("k", "paper_id")
-    single = F.col("k").rlike(f"^(?:{WORD})$")
-    whole = met.where(single).unionByName(met.where(~single).join(docs, "paper_id").where(_holds(F.col("_t"), F.col("k"))).select("k", "paper_id"))
+    k = cut(needles.select(F.col(key).alias("_key"), F.explode(words).alias("k")).where("k is not null").select("_key", F.trim(F.lower("k")).alias("k")).where("k <> ''").distinct())
+    split = {"_w": F.regexp_extract_all("k", F.lit(WORD), F.lit(0)), "_g": F.split("k", WORD)}
+    plain = k.select("k").distinct().where(F.col("k").rlike("[a-z0-9]")).select("k", *[c.alias(n) for n, c in split.items()]).withColumn("n", F.least(F.size("_w"), F.lit(LONGEST)))
+    # Whether the run of words is all of the key word.
+    plain = plain.withColumn("all", (F.size("_w") <= LONGEST) & (F.get("_g", F.lit(0)) == "") & (F.element_at("_g", -1) == ""))
+    lengths = [r[0] for r in plain.select("n").distinct().orderBy("n").collect()]  # at most LONGEST numbers
+    hashed = F.lit(None).cast("array<bigint>")
+    for n in lengths:
+        hashed = F.when(F.col("n") == n, _grams(F.slice("_w", 1, n), F.col("_g"), n)).otherwise(hashed)
+    needle = cut(plain.select("k", "all", F.get(hashed, F.lit(0)).alias("h")))
+    runs = docs.select("paper_id", F.regexp_extract_all("_t", F.lit(WORD), F.lit(0)).alias("_w"), F.split("_t", WORD).alias("_g"))
+    grams = F.array_distinct(F.concat(*[_grams(F.col("_w"), F.col("_g"), n) for n in lengths])) if lengths else F.array().cast("array<bigint>")
+    each = runs.select("paper_id", F.explode(grams).alias("h"))
+    met = each.join(needle.hint("broadcast" if needle.count() <= FEW else "merge"), "h").select("paper_id", "k", "all")
+    foreign = k.select("k").distinct().where(~F.col("k").rlike("[a-z0-9]")).select("k", F.explode(_foreign(F.col("k"))).alias("w"))
+    other = docs.select("paper_id", F.explode(_foreign(F.col("_t"))).alias("w")).join(foreign, "w").select("paper_id", "k", F.lit(False).alias("all"))
+    met = met.unionByName(other).distinct()
+    rest = met.where("not all").join(docs, "paper_id").where(_holds(F.col("_t"), F.col("k"))).select("k", "paper_id")
+    whole = met.where("all").select("k", "paper_id").unionByName(rest)
     return k.join(whole, "k").groupBy("_key", "paper_id").agg(F.count("*").alias("hits")).withColumnRenamed("_key", key)
 
 
@@ -144,11 +169,11 @@ def records(hypotheses: DataFrame, triples: DataFrame, papers: DataFrame) -> Dat
     kind = F.when(F.contains(low, F.lit("structure")) & ~F.contains(low, F.lit("unknown")), "structure_unexplored").when(F.contains(low, F.lit("property")) | F.contains(low, F.lit("performance")), "property_unpredicted").otherwise("csp_missing")
     g = h.select(F.col("hypothesis_id").alias("gap_id"), kind.alias("gap_type"), "statement", "keywords", "paper_a_id", "paper_b_id")
     words = g.select("gap_id", F.posexplode("keywords").alias("i", "word"))
-    m = mentions(g, "gap_id", "keywords", papers)
+    m = cut(mentions(g, "gap_id", "keywords", papers))
     sources = g.select("gap_id", F.explode(F.array(F.struct("paper_a_id", F.lit("source_a").alias("role")), F.struct(F.col("paper_b_id").alias("paper_a_id"), F.lit("source_b").alias("role")))).alias("x")).select("gap_id", F.col("x.paper_a_id").alias("paper_id"), "x.role").where("paper_id is not null and paper_id <> ''")
     more = m.where("hits >= 2").join(sources.select("gap_id", "paper_id"), ["gap_id", "paper_id"], "left_anti").select("gap_id", "paper_id", F.lit("word_match").alias("role"), "hits")
     s = sources.withColumn("hits", F.lit(0).cast("long")).unionByName(more).withColumn("rn", F.row_number().over(Window.partitionBy("gap_id").orderBy(F.col("role") == "word_match", "role", F.desc("hits"), "paper_id"))).where(F.col("rn") <= MOST_SUPPORT)
-    named = resolve(words.select("gap_id", "word"), "gap_id", triples)
+    named = cut(resolve(words.select("gap_id", "word"), "gap_id", triples))
     own = mentions(named.where("composition is not null").select("gap_id", F.array("composition").alias("ks")), "gap_id", "ks", papers).select("gap_id", "paper_id", F.lit(True).alias("has_composition"))
     c = counter_evidence(named, triples, m.join(own, ["gap_id", "paper_id"], "left").withColumn("has_composition", F.coalesce("has_composition", F.lit(False))), s.select("gap_id", "paper_id"))
     ctx = context(words.where("i < 3").select("gap_id", "word"), "gap_id", triples)

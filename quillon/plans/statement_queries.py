@@ -13,6 +13,7 @@ from quillon.operators.quantities import resolved
 from quillon.plans.material_queries import TRIPLES, property_forms, structure_forms, triples
 from quillon.plans.registry import Registry, typed
 from quillon.plans.text_queries import paper_pairs, papers, words_sql
+from quillon.session import cut
 from quillon.sources.tables import first_per_key, table
 
 registry = Registry()
@@ -127,7 +128,7 @@ def counter_evidence(spark: SparkSession, folder: str) -> DataFrame:
     comp = words.where(F.col("k").rlike(r"^([A-Z][a-z]?[0-9.]*){2,}$")).groupBy("hypothesis_id").agg(F.min("k").alias("composition"))
     g = h.select("hypothesis_id").join(comp, "hypothesis_id", "left").join(prop, "hypothesis_id", "left").withColumnRenamed("hypothesis_id", "gap_id")
     p = papers(spark, folder, "title", "abstract")
-    m = gaps.mentions(h, "hypothesis_id", "keywords", p)
+    m = cut(gaps.mentions(h, "hypothesis_id", "keywords", p))
     own = gaps.mentions(g.where("composition is not null").select("gap_id", F.array("composition").alias("ks")), "gap_id", "ks", p).select("gap_id", "paper_id", F.lit(True).alias("has_composition"))
     mentioned = m.withColumnRenamed("hypothesis_id", "gap_id").join(own, ["gap_id", "paper_id"], "left").withColumn("has_composition", F.coalesce("has_composition", F.lit(False)))
     s = gaps.support(m, "hypothesis_id").select(F.col("hypothesis_id").alias("gap_id"), F.explode("papers").alias("paper_id"))
