@@ -41,38 +41,106 @@ def _grams(words: Column, gaps_: Column, n: int) -> Column:
     return F.transform(at, lambda i: F.xxhash64(F.concat(*parts(i))))
 
 
-def mentions(needles: DataFrame, key: str, words: str, papers: DataFrame) -> DataFrame:
-    """(key, paper_id, hits): how many of its key words each paper's title or abstract holds, as whole words or phrases.
+def _wanted(needles: DataFrame, key: str, words: str) -> DataFrame:
+    """(_key, k): the key words of each key once, trimmed and in lower case."""
+    return needles.select(F.col(key).alias("_key"), F.explode(words).alias("k")).where("k is not null").select("_key", F.trim(F.lower("k")).alias("k")).where("k <> ''").distinct()
+
+
+def _numbered(k: DataFrame) -> DataFrame:
+    """(k, i): the key words with a number each, those of fewer keys first."""
+    return cut(k.groupBy("k").agg(F.count("*").alias("n")).orderBy("n", "k").select("k", F.monotonically_increasing_id().alias("i")))
+
+
+def _found(k: DataFrame, papers: DataFrame) -> DataFrame:
+    """(paper_id, ks): the numbers of the key words ``k`` (k, i) that each paper's title or abstract holds, in order.
 
     Every text gives out its runs of words, with the signs between them, in the lengths
     that key words have, and key words meet the runs that equal them; texts are not
     moved, nor compared with every key word. A key word with signs at its ends, or of more than
-    LONGEST words, is then looked for as a whole in the texts that it met. ``hits``
-    counts key words. One without ASCII letters and digits meets texts by its other
-    letters; one of signs alone meets nothing.
+    LONGEST words, is then looked for as a whole in the texts that it met. One without
+    ASCII letters and digits meets texts by its other letters; one of signs alone meets nothing.
     """
     text = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("abstract", F.lit(""))))
     docs = papers.select("paper_id", text.alias("_t"))
-    k = cut(needles.select(F.col(key).alias("_key"), F.explode(words).alias("k")).where("k is not null").select("_key", F.trim(F.lower("k")).alias("k")).where("k <> ''").distinct())
     split = {"_w": F.regexp_extract_all("k", F.lit(WORD), F.lit(0)), "_g": F.split("k", WORD)}
-    plain = k.select("k").distinct().where(F.col("k").rlike("[a-z0-9]")).select("k", *[c.alias(n) for n, c in split.items()]).withColumn("n", F.least(F.size("_w"), F.lit(LONGEST)))
+    plain = k.where(F.col("k").rlike("[a-z0-9]")).select("k", "i", *[c.alias(n) for n, c in split.items()]).withColumn("n", F.least(F.size("_w"), F.lit(LONGEST)))
     # Whether the run of words is all of the key word.
     plain = plain.withColumn("all", (F.size("_w") <= LONGEST) & (F.get("_g", F.lit(0)) == "") & (F.element_at("_g", -1) == ""))
     lengths = [r[0] for r in plain.select("n").distinct().orderBy("n").collect()]  # at most LONGEST numbers
     hashed = F.lit(None).cast("array<bigint>")
     for n in lengths:
         hashed = F.when(F.col("n") == n, _grams(F.slice("_w", 1, n), F.col("_g"), n)).otherwise(hashed)
-    needle = cut(plain.select("k", "all", F.get(hashed, F.lit(0)).alias("h")))
+    needle = cut(plain.select("i", "all", F.get(hashed, F.lit(0)).alias("h")))
+    foreign = k.where(~F.col("k").rlike("[a-z0-9]")).select("i", F.explode(_foreign(F.col("k"))).alias("w"))
+    count, parts = needle.agg(F.count("*"), F.count_if(~F.col("all"))).first()
     runs = docs.select("paper_id", F.regexp_extract_all("_t", F.lit(WORD), F.lit(0)).alias("_w"), F.split("_t", WORD).alias("_g"))
     grams = F.array_distinct(F.concat(*[_grams(F.col("_w"), F.col("_g"), n) for n in lengths])) if lengths else F.array().cast("array<bigint>")
     each = runs.select("paper_id", F.explode(grams).alias("h"))
-    met = each.join(needle.hint("broadcast" if needle.count() <= FEW else "merge"), "h").select("paper_id", "k", "all")
-    foreign = k.select("k").distinct().where(~F.col("k").rlike("[a-z0-9]")).select("k", F.explode(_foreign(F.col("k"))).alias("w"))
-    other = docs.select("paper_id", F.explode(_foreign(F.col("_t"))).alias("w")).join(foreign, "w").select("paper_id", "k", F.lit(False).alias("all"))
-    met = met.unionByName(other).distinct()
-    rest = met.where("not all").join(docs, "paper_id").where(_holds(F.col("_t"), F.col("k"))).select("k", "paper_id")
-    whole = met.where("all").select("k", "paper_id").unionByName(rest)
-    return k.join(whole, "k").groupBy("_key", "paper_id").agg(F.count("*").alias("hits")).withColumnRenamed("_key", key)
+    met = each.join(needle.hint("broadcast" if count <= FEW else "merge"), "h").select("paper_id", "i", "all")
+    whole = met.where("all").select("paper_id", "i")
+    # Texts are read again only where some key word has to be looked for as a whole.
+    some = not foreign.isEmpty()
+    if parts or some:
+        rest = met.where("not all").select("paper_id", "i")
+        if some:
+            rest = rest.unionByName(docs.select("paper_id", F.explode(_foreign(F.col("_t"))).alias("w")).join(foreign, "w").select("paper_id", "i"))
+        rest = rest.distinct().join(k, "i").join(docs, "paper_id").where(_holds(F.col("_t"), F.col("k")))
+        whole = whole.unionByName(rest.select("paper_id", "i"))
+    return whole.groupBy("paper_id").agg(F.sort_array(F.collect_set("i")).alias("ks"))
+
+
+def mentions(needles: DataFrame, key: str, words: str, papers: DataFrame) -> DataFrame:
+    """(key, paper_id, hits): how many of its key words each paper's title or abstract holds, as whole words or phrases.
+
+    All pairs of a key and a paper, so as many as both make; ``nearest`` has the first of each key only.
+    """
+    k = cut(_wanted(needles, key, words))
+    numbered = _numbered(k)
+    found = _found(numbered, papers).select("paper_id", F.explode("ks").alias("i"))
+    return k.join(numbered, "k").join(found, "i").groupBy("_key", "paper_id").agg(F.count("*").alias("hits")).withColumnRenamed("_key", key)
+
+
+MOST_WORDS = 8  # key words of a key, of those that any paper holds, whose subsets are all listed
+
+
+def nearest(needles: DataFrame, key: str, words: str, papers: DataFrame, most: int, own: str | None = None) -> DataFrame:
+    """(key, paper_id, hits): of ``mentions`` the first ``most`` papers of each key by hits, then id, that have two hits or more, or one and its word ``own``.
+
+    Neither all pairs of a key and a paper nor all papers of a pair of words are made. A
+    paper is among the first of a key only if it is among the first ``most``, by id, that
+    hold all the words which both have, as each of those before it has as many hits. So
+    every set of two words or more of a key is listed once, with its first papers, and a
+    key's papers are the best of its sets' lists. Papers meet the sets by the two words of
+    fewest keys. A key of more than MOST_WORDS words has too many sets: it meets its papers
+    word by word.
+    """
+    k = _wanted(needles, key, words).withColumns({"counts": F.lit(True), "own": F.lit(False)})
+    if own:
+        k = k.unionByName(needles.select(F.col(key).alias("_key"), F.trim(F.lower(own)).alias("k")).where("k <> ''").distinct().withColumns({"counts": F.lit(False), "own": F.lit(True)}))
+    k = cut(k.groupBy("_key", "k").agg(F.max("counts").alias("counts"), F.max("own").alias("own")))
+    numbered = _numbered(k)
+    found = cut(_found(numbered, papers))
+    each = found.select("paper_id", "ks", F.explode("ks").alias("i"))
+    held = k.join(numbered, "k").join(each.select("i").distinct(), "i", "left_semi")
+    sets = cut(held.groupBy("_key").agg(F.sort_array(F.collect_list(F.when(F.col("counts"), F.col("i")))).alias("ws"), F.sort_array(F.collect_list(F.when(F.col("own"), F.col("i")))).alias("os")))
+    short, long = sets.where(F.size("ws") <= MOST_WORDS), sets.where(F.size("ws") > MOST_WORDS)
+    empty = F.array().cast("array<bigint>")
+    subsets = F.filter(F.aggregate("ws", F.array(empty), lambda done, w: F.concat(done, F.transform(done, lambda s: F.concat(s, F.array(w))))), lambda s: F.size(s) >= 2)
+    with_own = F.flatten(F.transform("os", lambda o: F.when(F.array_contains("ws", o), F.array(F.array(o))).otherwise(F.transform("ws", lambda w: F.array(F.least(w, o), F.greatest(w, o))))))
+    wanted = short.select("_key", F.explode(subsets).alias("s"), F.size("s").alias("hits")).unionByName(short.select("_key", F.explode(with_own).alias("s"), F.lit(1).alias("hits")))
+    heads = cut(wanted.groupBy(F.get("s", F.lit(0)).alias("i"), F.get("s", F.lit(1)).alias("j")).agg(F.collect_set(F.slice("s", F.lit(3), F.size("s"))).alias("tails")))
+    hint = "broadcast" if heads.count() <= FEW else "merge"
+    ones = each.join(heads.where("j is null").select("i").hint(hint), "i").select("paper_id", F.array("i").alias("s"))
+    pairs = each.withColumn("j", F.explode(F.filter("ks", lambda w: w > F.col("i")))).join(heads.where("j is not null").hint(hint), ["i", "j"])
+    more = pairs.select("paper_id", "i", "j", F.explode(F.filter("tails", lambda s: F.forall(s, lambda w: F.array_contains("ks", w)))).alias("t")).select("paper_id", F.concat(F.array("i", "j"), "t").alias("s"))
+    lists = ones.unionByName(more).withColumn("rn", F.row_number().over(Window.partitionBy("s").orderBy("paper_id"))).where(F.col("rn") <= most).drop("rn")
+    met = wanted.join(lists, "s").groupBy("_key", "paper_id").agg(F.max("hits").cast("long").alias("hits"))
+    if not long.isEmpty():
+        words_of = long.select("_key", F.explode("ws").alias("i"), F.lit(1).alias("n"), F.array_contains("os", F.col("i")).cast("int").alias("o")).unionByName(long.select("_key", F.explode(F.array_except("os", "ws")).alias("i"), F.lit(0).alias("n"), F.lit(1).alias("o")))
+        all_ = words_of.join(each.select("paper_id", "i"), "i").groupBy("_key", "paper_id").agg(F.sum("n").alias("hits"), F.max("o").alias("o"))
+        met = met.unionByName(all_.where("hits >= 2 or (hits = 1 and o = 1)").select("_key", "paper_id", "hits"))
+    best = met.withColumn("rn", F.row_number().over(Window.partitionBy("_key").orderBy(F.desc("hits"), "paper_id"))).where(F.col("rn") <= most)
+    return best.select(F.col("_key").alias(key), "paper_id", "hits")
 
 
 def support(mentioned: DataFrame, key: str, least: int = 2, most: int = MOST_SUPPORT) -> DataFrame:

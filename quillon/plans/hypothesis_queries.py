@@ -20,8 +20,13 @@ _HYPO = f"""{PAPERS}, h1 AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OV
         FROM h1 LEFT JOIN papers1 a ON a.paper_id = paper_a_id LEFT JOIN papers1 b ON b.paper_id = paper_b_id)"""
 
 
+def stated(spark: SparkSession, folder: str) -> DataFrame:
+    """Hypotheses once each, as they came."""
+    return first_per_key(table(spark, folder, "hypotheses"), "hypothesis_id", "created_at")
+
+
 def hypotheses(spark: SparkSession, folder: str) -> DataFrame:
-    h = first_per_key(table(spark, folder, "hypotheses"), "hypothesis_id", "created_at")
+    h = stated(spark, folder)
     p = papers(spark, folder, "categories").select("paper_id", F.coalesce(F.get("categories", F.lit(0)), F.lit("unknown")).alias("c"))
     a, b = p.select(F.col("paper_id").alias("paper_a_id"), F.col("c").alias("ca")), p.select(F.col("paper_id").alias("paper_b_id"), F.col("c").alias("cb"))
     u = F.lit("unknown")

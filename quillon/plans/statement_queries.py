@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillon.functions import units
 from quillon.functions.lexicons import sql_list
 from quillon.operators import gaps, generation, statements, titles
-from quillon.plans.hypothesis_queries import _HYPO, _TRIAL, _any, hypotheses, trials
+from quillon.plans.hypothesis_queries import _HYPO, _TRIAL, _any, hypotheses, stated, trials
 from quillon.operators.quantities import resolved
 from quillon.plans.material_queries import TRIPLES, property_forms, structure_forms, triples
 from quillon.plans.registry import Registry, typed
@@ -120,7 +120,7 @@ def template_statements(spark: SparkSession, folder: str) -> DataFrame:
 @registry.query("counter_evidence")
 def counter_evidence(spark: SparkSession, folder: str) -> DataFrame:
     """Papers that speak against each gap, by strength (tested on a small fixture)."""
-    h = hypotheses(spark, folder).where(F.col("hypothesis_type").isin("gap", "gap_filling"))
+    h = stated(spark, folder).where(F.col("hypothesis_type").isin("gap", "gap_filling"))
     t = triples(spark, folder, "composition", "property_name", "property_value", "source_paper_id")
     terms = table(spark, folder, "property_terms", "property_name", F.lower("label").alias("label"))
     words = h.select("hypothesis_id", F.explode("keywords").alias("k")).where("k is not null")
@@ -128,9 +128,9 @@ def counter_evidence(spark: SparkSession, folder: str) -> DataFrame:
     comp = words.where(F.col("k").rlike(r"^([A-Z][a-z]?[0-9.]*){2,}$")).groupBy("hypothesis_id").agg(F.min("k").alias("composition"))
     g = h.select("hypothesis_id").join(comp, "hypothesis_id", "left").join(prop, "hypothesis_id", "left").withColumnRenamed("hypothesis_id", "gap_id")
     p = papers(spark, folder, "title", "abstract")
-    m = cut(gaps.mentions(h, "hypothesis_id", "keywords", p))
-    own = gaps.mentions(g.where("composition is not null").select("gap_id", F.array("composition").alias("ks")), "gap_id", "ks", p).select("gap_id", "paper_id", F.lit(True).alias("has_composition"))
-    mentioned = m.withColumnRenamed("hypothesis_id", "gap_id").join(own, ["gap_id", "paper_id"], "left").withColumn("has_composition", F.coalesce("has_composition", F.lit(False)))
+    # Of the first papers five may be supporters; each exact match among them takes a place as well.
+    m = cut(gaps.nearest(h.join(comp, "hypothesis_id", "left"), "hypothesis_id", "keywords", p, gaps.MOST_SUPPORT + gaps.MOST_COUNTER, own="composition"))
+    mentioned = m.select(F.col("hypothesis_id").alias("gap_id"), "paper_id", "hits", (F.col("hits") == 1).alias("has_composition"))
     s = gaps.support(m, "hypothesis_id").select(F.col("hypothesis_id").alias("gap_id"), F.explode("papers").alias("paper_id"))
     return gaps.counter_evidence(g, t, mentioned, s)
 
