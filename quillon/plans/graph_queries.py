@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.operators import directions, gaps, graph, search
 from quillon.operators.components import components
-from quillon.plans.hypothesis_queries import _HYPO, hypotheses, trials
+from quillon.plans.hypothesis_queries import _HYPO, hypotheses, stated, trials
 from quillon.plans.material_queries import TRIPLES, triples
 from quillon.plans.registry import Registry, typed
 from quillon.plans.text_queries import PAPERS, paper_pairs, papers
@@ -94,14 +94,14 @@ _AFTER = "CASE WHEN regexp_matches(k, '[\\p{L}\\p{N}]$') THEN '(?:$|[^\\p{L}\\p{
     SELECT hypothesis_id, string_agg(paper_id, '|' ORDER BY rn) AS papers, CAST(count(*) AS INTEGER) AS n FROM r WHERE rn <= 5 GROUP BY hypothesis_id""")
 def gap_support(spark: SparkSession, folder: str) -> DataFrame:
     """For each gap hypothesis up to five papers that hold two of its key words or more (tested against brute force)."""
-    h = hypotheses(spark, folder).where(F.col("hypothesis_type").isin("gap", "gap_filling"))
-    m = gaps.mentions(h, "hypothesis_id", "keywords", papers(spark, folder, "title", "abstract"))
+    h = stated(spark, folder).where(F.col("hypothesis_type").isin("gap", "gap_filling"))
+    m = gaps.nearest(h, "hypothesis_id", "keywords", papers(spark, folder, "title", "abstract"), gaps.MOST_SUPPORT)
     return gaps.support(m, "hypothesis_id").select("hypothesis_id", F.array_join("papers", "|").alias("papers"), F.size("papers").alias("n"))
 
 
 def _gaps(spark: SparkSession, folder: str) -> DataFrame:
     t = triples(spark, folder, "composition", "structure", "property_name", "property_value", "source_paper_id")
-    return gaps.records(hypotheses(spark, folder), t, papers(spark, folder, "title", "abstract"))
+    return gaps.records(stated(spark, folder), t, papers(spark, folder, "title", "abstract"))
 
 
 @registry.query("gap_score_rank")

@@ -76,3 +76,8 @@ def test_counter_evidence_keeps_no_pairs(spark, tables, kept):
     assert set(got) == {f"h{i + 100}" for i in range(60)}
     assert all(x == {("exact_match", "p159"), *(("keyword_overlap", f"p{i}") for i in range(105, 112))} for x in got.values())
     assert max(kept) <= 60 * 13
+
+
+def test_gap_support_keeps_no_pairs(spark, tables, kept):
+    got = {r.hypothesis_id: (r.papers, r.n) for r in graph_queries.gap_support(spark, tables).collect()}
+    assert got == {f"h{i + 100}": ("p100|p101|p102|p103|p104", 5) for i in range(60)}
