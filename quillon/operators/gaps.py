@@ -200,9 +200,11 @@ def context(words: DataFrame, key: str, triples: DataFrame, most: int = MOST_SUP
     """(key, triples): the first ``most`` triples, by id, whose composition or structure is one of a key's ``words`` or whose property contains one as whole words.
 
     Of each composition, structure and property only the first ``most`` triples can be
-    among them, so these are chosen first, before and after the shuffle.
+    among them, so these are chosen first, before and after the shuffle, and of each word
+    likewise before it meets its keys.
     """
     w = words.where("word is not null").select(F.col(key).alias("_key"), F.replace(F.trim(F.lower("word")), F.lit("_"), F.lit(" ")).alias("w")).where("w <> ''").distinct()
+    each = w.select("w").distinct()
     fields = ["composition", "structure", "property_name"]
     parts = []
     for column in fields:
@@ -212,12 +214,13 @@ def context(words: DataFrame, key: str, triples: DataFrame, most: int = MOST_SUP
         if column == "property_name":
             # Words meet names by their first one and are then looked for as a whole.
             at = names.select("n", "t", F.explode(F.array_distinct(F.split("t", " "))).alias("h"))
-            met = w.withColumn("h", F.element_at(F.split("w", " "), 1)).join(at, "h").where(F.contains(F.concat(F.lit(" "), "t", F.lit(" ")), F.concat(F.lit(" "), "w", F.lit(" "))))
+            met = each.withColumn("h", F.element_at(F.split("w", " "), 1)).join(at, "h").where(F.contains(F.concat(F.lit(" "), "t", F.lit(" ")), F.concat(F.lit(" "), "w", F.lit(" "))))
         else:
-            met = w.join(names, F.col("w") == F.col("t"))
-        parts.append(met.select("_key", "n").distinct().join(firsts.withColumn("n", F.col(column)), "n").drop("n"))
-    every = parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct()
-    top = every.withColumn("rn", F.row_number().over(Window.partitionBy("_key").orderBy("triple_id", *fields))).where(F.col("rn") <= most)
+            met = each.join(names, F.col("w") == F.col("t"))
+        parts.append(met.select("w", "n").distinct().join(firsts.withColumn("n", F.col(column)), "n").drop("n"))
+    firsts_of = lambda df, k: df.distinct().withColumn("rn", F.row_number().over(Window.partitionBy(k).orderBy("triple_id", *fields))).where(F.col("rn") <= most).drop("rn")
+    of_words = firsts_of(parts[0].unionByName(parts[1]).unionByName(parts[2]), "w")
+    top = firsts_of(w.join(of_words, "w").drop("w"), "_key")
     return top.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("triple_id", *fields))).alias("triples")).withColumnRenamed("_key", key)
 
 
@@ -237,13 +240,13 @@ def records(hypotheses: DataFrame, triples: DataFrame, papers: DataFrame) -> Dat
     kind = F.when(F.contains(low, F.lit("structure")) & ~F.contains(low, F.lit("unknown")), "structure_unexplored").when(F.contains(low, F.lit("property")) | F.contains(low, F.lit("performance")), "property_unpredicted").otherwise("csp_missing")
     g = h.select(F.col("hypothesis_id").alias("gap_id"), kind.alias("gap_type"), "statement", "keywords", "paper_a_id", "paper_b_id")
     words = g.select("gap_id", F.posexplode("keywords").alias("i", "word"))
-    m = cut(mentions(g, "gap_id", "keywords", papers))
+    named = cut(resolve(words.select("gap_id", "word"), "gap_id", triples))
+    # Of the first papers five may be supporters; each exact match among them takes a place as well.
+    m = cut(nearest(g.join(named.select("gap_id", "composition"), "gap_id", "left"), "gap_id", "keywords", papers, MOST_SUPPORT + MOST_COUNTER, own="composition"))
     sources = g.select("gap_id", F.explode(F.array(F.struct("paper_a_id", F.lit("source_a").alias("role")), F.struct(F.col("paper_b_id").alias("paper_a_id"), F.lit("source_b").alias("role")))).alias("x")).select("gap_id", F.col("x.paper_a_id").alias("paper_id"), "x.role").where("paper_id is not null and paper_id <> ''")
     more = m.where("hits >= 2").join(sources.select("gap_id", "paper_id"), ["gap_id", "paper_id"], "left_anti").select("gap_id", "paper_id", F.lit("word_match").alias("role"), "hits")
     s = sources.withColumn("hits", F.lit(0).cast("long")).unionByName(more).withColumn("rn", F.row_number().over(Window.partitionBy("gap_id").orderBy(F.col("role") == "word_match", "role", F.desc("hits"), "paper_id"))).where(F.col("rn") <= MOST_SUPPORT)
-    named = cut(resolve(words.select("gap_id", "word"), "gap_id", triples))
-    own = mentions(named.where("composition is not null").select("gap_id", F.array("composition").alias("ks")), "gap_id", "ks", papers).select("gap_id", "paper_id", F.lit(True).alias("has_composition"))
-    c = counter_evidence(named, triples, m.join(own, ["gap_id", "paper_id"], "left").withColumn("has_composition", F.coalesce("has_composition", F.lit(False))), s.select("gap_id", "paper_id"))
+    c = counter_evidence(named, triples, m.withColumn("has_composition", F.col("hits") == 1), s.select("gap_id", "paper_id"))
     ctx = context(words.where("i < 3").select("gap_id", "word"), "gap_id", triples)
     pack = lambda df, name: df.groupBy("gap_id").agg(F.sort_array(F.collect_list(F.struct("role", "paper_id"))).alias(name))
     j = g.join(pack(s, "supporting"), "gap_id").join(pack(c, "counter_evidence"), "gap_id", "left").join(ctx.withColumnRenamed("triples", "context"), "gap_id", "left")

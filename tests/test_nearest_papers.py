@@ -81,3 +81,12 @@ def test_counter_evidence_keeps_no_pairs(spark, tables, kept):
 def test_gap_support_keeps_no_pairs(spark, tables, kept):
     got = {r.hypothesis_id: (r.papers, r.n) for r in graph_queries.gap_support(spark, tables).collect()}
     assert got == {f"h{i + 100}": ("p100|p101|p102|p103|p104", 5) for i in range(60)}
+
+
+def test_gap_records_keep_no_pairs(spark, tables, kept):
+    got = {r.gap_id: r for r in graph_queries._gaps(spark, tables).collect()}
+    assert set(got) == {"h100"}  # the first three key words of all are equal
+    g = got["h100"]
+    assert [(x.role, x.paper_id) for x in g.supporting] == [("source_a", "p100"), ("source_b", "p101"), *(("word_match", f"p{i}") for i in (102, 103, 104))]
+    assert [(x.role, x.paper_id) for x in g.counter_evidence] == [("exact_match", "p159"), *(("keyword_overlap", f"p{i}") for i in range(105, 112))]
+    assert max(kept) <= 60 * 13
