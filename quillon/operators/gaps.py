@@ -270,19 +270,29 @@ def records(hypotheses: DataFrame, triples: DataFrame, papers: DataFrame) -> Dat
 def distinct_gaps(gaps: DataFrame, key: str = "gap_id", description: str = "description", above: float = 0.7, head: int = 50) -> DataFrame:
     """``gaps`` without near-duplicates: in order of ``key`` each is kept whose words (of the first ``head`` characters) are no more alike than ``above``, by Jaccard, to those of any kept before.
 
-    Alike gaps meet by an equi-join on the rare words that a similarity above the limit
-    forces them to share. The sequential rule is settled in rounds on the cluster: a gap with
+    Of gaps with the same words only the first can be kept. Alike gaps meet by an equi-join
+    on the rare words that a similarity above the limit forces them to share: up to three
+    together, where the limit forces as many and heads are short. The sequential rule is settled in rounds on the cluster: a gap with
     no earlier one alike that is still open is kept, one alike to a kept one goes.
     """
     gaps = cut(gaps)
     w = gaps.select(F.col(key).alias("g"), F.array_distinct(F.filter(F.split(F.lower(F.substring(F.coalesce(description, F.lit("")), 1, head)), r"\s+"), lambda x: x != "")).alias("ws")).where(F.size("ws") > 0)
+    same = None
+    if above < 1:
+        kinds = cut(w.groupBy(F.sort_array("ws").alias("ws")).agg(F.min("g").alias("g")).select("g", "ws"))
+        same = w.select("g").join(kinds.select("g"), "g", "left_anti")
+        w = kinds
+    # Sets of fewer words than ``together`` are alike to equal ones only.
+    together = max(n for n in (1, 2, 3) if n == 1 or head <= 60 and above * n > n - 1 + 1e-9)
     each = w.select("g", F.size("ws").alias("n"), F.explode("ws").alias("w"))
     df = each.groupBy("w").agg(F.count("*").alias("df"))
-    first = each.join(df, "w").groupBy("g", "n").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("o")).select("g", F.explode(F.slice("o", F.lit(1), F.col("n") - F.ceil(above * F.col("n")).cast("int") + 1)).alias("x")).select("g", F.col("x.w").alias("w"))
-    met = first.select(F.col("g").alias("a"), "w").join(first.select(F.col("g").alias("b"), "w"), "w").where("a < b").select("a", "b").distinct()
+    prefix = F.transform(F.slice("o", F.lit(1), F.col("n") - F.ceil(above * F.col("n")).cast("int") + together), lambda x: x["w"])
+    runs = F.aggregate(prefix, F.array(F.array().cast("array<string>")), lambda done, x: F.concat(done, F.transform(F.filter(done, lambda s: F.size(s) < together), lambda s: F.concat(s, F.array(x)))))
+    first = each.join(df, "w").groupBy("g", "n").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("o")).select("g", "n", F.explode(F.filter(runs, lambda s: F.size(s) == together)).alias("s")).select("g", "n", F.array_join("s", " ").alias("s"))
+    met = first.select(F.col("g").alias("a"), F.col("n").alias("na"), "s").join(first.select(F.col("g").alias("b"), F.col("n").alias("nb"), "s"), "s").where("a < b").where(F.least("na", "nb") / F.greatest("na", "nb") > above).select("a", "b").distinct()
     ws = lambda c: w.select(F.col("g").alias(c), F.col("ws").alias(f"w{c}"))
     alike = cut(met.join(ws("a"), "a").join(ws("b"), "b").where(set_jaccard(F.col("wa"), F.col("wb")) > above).select("a", "b"))
-    gone = None
+    gone = same
     while not alike.isEmpty():
         # Those that no open earlier one is alike to are kept; what is alike to them goes, with its links.
         kept = alike.select(F.col("a").alias("g")).distinct().join(alike.select(F.col("b").alias("g")), "g", "left_anti")

@@ -90,3 +90,10 @@ def test_gap_records_keep_no_pairs(spark, tables, kept):
     assert [(x.role, x.paper_id) for x in g.supporting] == [("source_a", "p100"), ("source_b", "p101"), *(("word_match", f"p{i}") for i in (102, 103, 104))]
     assert [(x.role, x.paper_id) for x in g.counter_evidence] == [("exact_match", "p159"), *(("keyword_overlap", f"p{i}") for i in range(105, 112))]
     assert max(kept) <= 60 * 13
+
+
+def test_equal_descriptions_make_no_pairs(spark, kept):
+    rows = [(f"g{i:03}", f"the same gap in {'ab'[i % 2]} words") for i in range(80)] + [("h1", "The words same gap a in"), (None, "")]
+    got = gaps.distinct_gaps(spark.createDataFrame(rows, "gap_id string, description string"))
+    assert {r.gap_id for r in got.collect()} == {"g000", None}
+    assert max(kept[1:]) <= 2  # the table itself is kept first
